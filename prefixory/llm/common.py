@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +16,27 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 1000
 
 
+@lru_cache(maxsize=8)
+def _ship(application: str, spark: SparkSession) -> None:
+    """Sends this package to the executors, unless the Python path that they inherit has it."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    name = Path(__file__).resolve().parents[1].name
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{name}", "zip", root, name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, read by Spark whatever store it lies in."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepare(spark: SparkSession) -> None:
+    _ship(spark.sparkContext.applicationId, spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)

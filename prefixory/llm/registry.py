@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_model import op2_language_model
 from .lines import OP8_SQL, op8_lines
+from .minhash import op10_near_duplicates
 from .packing import op1_packing
 from .pieces import op5_pieces
 from .sharding import op6_sharding
@@ -15,9 +17,11 @@ from .sharding import op6_sharding
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_language_model": op2_language_model,
         "op5_pieces": op5_pieces,
         "op6_sharding": op6_sharding,
         "op8_lines": op8_lines,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
