@@ -15,7 +15,9 @@ Defined results: a null or empty text is the end id alone, one piece of length 1
 from __future__ import annotations
 
 import math
+import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -33,9 +35,23 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 _PLACED = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+#: Characters for which the tokenizer's normalisation is str.lower() and its byte map that of UTF-8: printable ASCII
+#: without the apostrophe (it begins contractions), and Latin letters with one lower case that need no composition.
+_PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_PRETOKENS = re.compile("[a-z\u00df-\u017f]+|[0-9]|[^a-z\u00df-\u017f0-9]+")
+
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where printable, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + other.index(b)) for b in range(256)]
+
+
 class Words:
     """Token ids of whole texts, word by word: the tokenizer never joins tokens over a space or a line end, so words
-    between them are encoded alone and kept."""
+    between them are encoded alone and kept. Words of plain characters go to the tokenizer's model in the pieces that its
+    own splitting makes; all others take the tokenizer as a whole."""
 
     def __init__(self, path: str):
         import os
@@ -44,10 +60,22 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.bytes = dict(enumerate(_byte_characters()))
         self.known = Cache(self._one)
+        self.parts = Cache(self._part)
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
     def _one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if not word:
+            return b""
+        if _PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.parts.__getitem__, _PRETOKENS.findall(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
