@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch; texts may be long, so batches stay short.
-BATCH_ROWS = 1000
+BATCH_ROWS = 200
 
 
 @lru_cache(maxsize=8)
