@@ -11,7 +11,9 @@ from .lines import OP8_SQL, op8_lines
 from .minhash import op10_near_duplicates
 from .neighbours import op4_neighbours
 from .packing import op1_packing
+from .pii import op7_personal_data
 from .pieces import op5_pieces
+from .quality import op3_quality
 from .sharding import op6_sharding
 from .spots import op9_spots
 
@@ -20,9 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_language_model": op2_language_model,
+        "op3_quality": op3_quality,
         "op4_neighbours": op4_neighbours,
         "op5_pieces": op5_pieces,
         "op6_sharding": op6_sharding,
+        "op7_personal_data": op7_personal_data,
         "op8_lines": op8_lines,
         "op9_spots": op9_spots,
         "op10_near_duplicates": op10_near_duplicates,
