@@ -128,7 +128,10 @@ class PieceModel:
         #: Cuts that no merge can cross, read off the vocabulary.
         self.cut_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.cut_lines = not any("\n" in p and len(p) > 1 for p in self.ids)
-        self.words = Cache(lambda w: self._packed(SPACE + w))
+        #: Bytes of the source that each id of a known piece or byte stands for, when spaces are single bytes.
+        self.widths = np.array([1 if kind == BYTE else len(p.replace(SPACE, " ").encode()) for p, kind in zip(names, kinds, strict=True)], "<u4")
+        self.library = None
+        self.words = Cache(self._word)
         self.bare = Cache(self._packed)
 
     # --- normalisation with alignment
@@ -218,6 +221,13 @@ class PieceModel:
                 lengths.append(len(p.encode()))
         return np.array(ids, "<u4").tobytes(), np.array(lengths, "<u4").tobytes()
 
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        """A word after a space. The library's dummy prefix is that space, so it encodes the segment as it stands."""
+        if self.library is None or not self.fallback:
+            return self._packed(SPACE + word)
+        ids = np.array(self.library.encode(word), "<u4")
+        return ids.tobytes(), self.widths[ids].tobytes()
+
     def _segments(self, text: str) -> list[str]:
         return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text) if self.cut_words else [text] * bool(text)
 
@@ -278,7 +288,10 @@ def load(path: str):
 
     with open(path, "rb") as f:
         raw = f.read()
-    return PieceModel(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    model, library = PieceModel(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    if not model.map.units and not model.collapse and model.dummy:
+        model.library = library
+    return model, library
 
 
 SPANS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
