@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -58,48 +59,58 @@ def line_hashes(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, h1 long, h2 long")
 
 
+class Run(NamedTuple):
+    """A run as a table bucketed and sorted by the hash, and as the files it consists of."""
+
+    sorted: DataFrame
+    files: DataFrame
+
+
 class LineRuns:
     """Runs of (h1, h2, docs, last), each a table bucketed and sorted by h1, h2; levels[0] has the newest."""
 
     def __init__(self, spark: SparkSession, fanout: int = 3, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.levels: list[list[DataFrame]] = [[]]
+        self.levels: list[list[Run]] = [[]]
 
-    def _run(self, entries: DataFrame) -> DataFrame:
+    def _run(self, entries: DataFrame) -> Run:
         name = f"line_run_{uuid.uuid4().hex}"
-        entries.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", scratch_path(self.spark, name)).saveAsTable(name)
-        return self.spark.table(name)
+        path = scratch_path(self.spark, name)
+        entries.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        return Run(self.spark.table(name), self.spark.read.schema(entries.schema).parquet(path))
 
     @property
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[Run]:
         return [r for level in self.levels for r in level]
 
     @staticmethod
-    def _summed(rows: DataFrame) -> DataFrame:
+    def _summed(runs: list[Run]) -> DataFrame:
+        """Sums over runs. They are read as plain files: the planner may take a union of bucketed tables for bucketed and
+        then read it unbucketed, which would leave a key's parts apart."""
+        rows = runs[0].files
+        for run in runs[1:]:
+            rows = rows.unionByName(run.files)
         return rows.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """The lines whose key no run has: merge-anti-joins with one run after the other."""
         for run in self.runs:
-            lines = lines.join(run.hint("merge"), ["h1", "h2"], "left_anti")
+            lines = lines.join(run.sorted.hint("merge"), ["h1", "h2"], "left_anti")
         return lines
 
     def add(self, lines: DataFrame) -> int:
         """Adds a batch (of `line_hashes`) as a run, compacting full levels. Returns how many of its keys are new."""
         entries = lines.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
         run = self._run(entries)
-        new = self.unseen(run).count()
+        new = self.unseen(run.sorted).count()
         self.levels[0].append(run)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if len(self.levels) == level + 1:
                 self.levels.append([])
             old, self.levels[level] = self.levels[level], []
-            merged = old[0]
-            for other in old[1:]:
-                merged = merged.unionByName(other)
-            self.levels[level + 1].append(self._run(self._summed(merged)))
+            self.levels[level + 1].append(self._run(self._summed(old)))
             level += 1
         return new
 
@@ -107,10 +118,7 @@ class LineRuns:
         """h1, h2, last of the keys that at least so many documents hold."""
         if not self.runs:
             return None
-        rows = self.runs[0]
-        for other in self.runs[1:]:
-            rows = rows.unionByName(other)
-        return self._summed(rows).where(F.col("docs") >= docs).drop("docs")
+        return self._summed(self.runs).where(F.col("docs") >= docs).drop("docs")
 
 
 def dropped_lines(docs: DataFrame, batches: int = 4, least: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -121,7 +129,8 @@ def dropped_lines(docs: DataFrame, batches: int = 4, least: int = LEAST_CHARS, l
     for b in range(batches):
         runs.add(lines.where(F.col("batch") == b).drop("batch"))
     loses = F.col("last").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
-    gone = lines.join(runs.frequent(least_docs), ["h1", "h2"]).where(loses)
+    # Written, so that both sides of the join come straight from an exchange and a hot key can be split.
+    gone = written(spark, lines.join(written(spark, runs.frequent(least_docs), "frequent"), ["h1", "h2"]).where(loses).select("doc_id", "text_hash", "h1", "h2"), "gone")
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
 
 

@@ -29,6 +29,7 @@ from .common import record, table, written
 BOOKS, WORDS, BEAM = 32, 256, 3
 SAMPLE, KEPT, TOP = 8192, 200, 10
 CODE_BLOCK, QUERY_BLOCK = 16384, 256
+BROADCAST_QUERIES = 50_000
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -82,12 +83,31 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & e.isNotNull() & fine & F.exists(e, lambda v: v != 0))
 
 
-_CODES = pa.schema([("ids", pa.binary()), ("codes", pa.binary()), ("norms", pa.binary())])
-_QUERIES = pa.schema([("query_ids", pa.binary()), ("vectors", pa.binary())])
+_CODES = pa.schema([("vec_id", pa.int64()), ("code", pa.binary()), ("norm", pa.float32())])
+_CODE_BLOCK = pa.schema([("ids", pa.binary()), ("codes", pa.binary()), ("norms", pa.binary())])
+_QUERY_BLOCK = pa.schema([("query_ids", pa.binary()), ("vectors", pa.binary())])
+#: Blocks in an Arrow batch.
+BATCH_BLOCKS = 8
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("near", pa.float64())])
 _EXACT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
+def _blocks(batches, rows: int):
+    """Tables of so many rows (the last may have fewer)."""
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, rows - n)
+            held.append(part)
+            n += part.num_rows
+            batch = batch.slice(part.num_rows)
+            if n == rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _vectors(column: pa.Array, d: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, d)
 
@@ -108,17 +128,22 @@ def search(rows: DataFrame, every: int = 100, top: int = TOP, kept: int = KEPT)
         for batch in batches:
             if batch.num_rows:
                 codes, norms = encode(_vectors(batch.column("embedding"), d), shared.value)
-                yield record(_CODES, ids=[batch.column("vec_id").to_numpy().tobytes()], codes=[codes.tobytes()], norms=[norms.astype(np.float32).tobytes()])
+                yield record(_CODES, vec_id=batch.column("vec_id"), code=[c.tobytes() for c in codes], norm=norms.astype(np.float32))
 
-    def block(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, QUERY_BLOCK):
-                part = batch.slice(i, QUERY_BLOCK)
-                yield record(_QUERIES, query_ids=[part.column("query_id").to_numpy().tobytes()], vectors=[_vectors(part.column("vector"), d).astype(np.float32).tobytes()])
+    def code_blocks(batches):
+        for t in _blocks(batches, CODE_BLOCK):
+            yield record(_CODE_BLOCK, ids=[t["vec_id"].to_numpy().tobytes()], codes=[b"".join(t["code"].to_pylist())], norms=[t["norm"].to_numpy().tobytes()])
+
+    def query_blocks(batches):
+        for t in _blocks(batches, QUERY_BLOCK):
+            vectors = _vectors(t["vector"].combine_chunks(), d).astype(np.float32)
+            yield record(_QUERY_BLOCK, query_ids=[t["query_id"].to_numpy().tobytes()], vectors=[vectors.tobytes()])
 
-    coded = written(spark, rows.mapInArrow(code, "ids binary, codes binary, norms binary"), "codes")
+    coded = written(spark, rows.mapInArrow(code, "vec_id long, code binary, norm float"), "codes")
     asked = written(spark, rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("vector")), "queries")
-    blocks = asked.mapInArrow(block, "query_ids binary, vectors binary")
+    n_queries = asked.count()
+    blocks = asked.repartition(n_queries // QUERY_BLOCK + 1).mapInArrow(query_blocks, "query_ids binary, vectors binary")
+    packed = coded.repartition(coded.count() // CODE_BLOCK + 1).mapInArrow(code_blocks, "ids binary, codes binary, norms binary")
 
     def meet(batches):
         words = shared.value
@@ -149,7 +174,14 @@ def search(rows: DataFrame, every: int = 100, top: int = TOP, kept: int = KEPT)
             a, b = (_vectors(batch.column(c), d).astype(np.float64) for c in ("vector", "embedding"))
             yield record(_EXACT, query_id=batch.column("query_id"), vec_id=batch.column("vec_id"), score=np.sqrt(((a - b) ** 2).sum(1)))
 
-    found = coded.crossJoin(F.broadcast(blocks) if asked.count() <= 100_000 else blocks).mapInArrow(meet, "query_id long, vec_id long, near double")
+    # Queries are a stated hundredth of the rows and meet all of them; up to BROADCAST_QUERIES they are broadcast.
+    pairs = packed.crossJoin(F.broadcast(blocks) if n_queries <= BROADCAST_QUERIES else blocks)
+    rows_a_batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_BLOCKS))
+    try:
+        found = written(spark, pairs.mapInArrow(meet, "query_id long, vec_id long, near double"), "found")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
     by_near = Window.partitionBy("query_id").orderBy("near", "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.min("near").alias("near")).withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= kept).drop("r", "near")
     scored = best.join(asked, "query_id").join(rows, "vec_id").select("query_id", "vec_id", "vector", "embedding").mapInArrow(exact, "query_id long, vec_id long, score double")

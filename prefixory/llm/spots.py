@@ -108,7 +108,7 @@ def with_next(docs: DataFrame, per_part: int = 5000) -> DataFrame:
     ends = spark.createDataFrame(before, "part int, id long")
     first = rows.drop("part").join(F.broadcast(ends), "id").select("doc_id", "text", "id", "part", F.lit(1).alias("kind"))  # one row for each run
     both = rows.withColumn("kind", F.lit(0)).unionByName(first)
-    return both.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "kind", "id", "text").drop("id")
+    return both.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "kind", "id", "text").drop("id")
 
 
 _OUT = pa.schema(
