@@ -9,9 +9,12 @@ from pyspark.sql.window import Window
 from ..settings import Settings
 
 
-def latency_summary(rows: DataFrame, *keys: str, value: str = "latency") -> DataFrame:
-    """count, min, max, mean, p50, p95, p99 (linear interpolation), 0 where there are no rows."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
+def latency_summary(rows: DataFrame, *keys: str, value: str = "latency", accuracy: int | None = None) -> DataFrame:
+    """count, min, max, mean, p50, p95, p99 (linear interpolation), 0 where there are no rows. Percentiles are exact, which
+    takes memory for each distinct value of a group (a window of latencies is bounded); with an accuracy they are
+    approximate and take bounded memory."""
+    shares = [0.5, 0.95, 0.99]
+    p = F.percentile(value, F.array(*map(F.lit, shares))) if accuracy is None else F.percentile_approx(value, shares, accuracy)
     out = rows.groupBy(*keys).agg(F.count(value).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), p.alias("p"))
     names = [("min", F.col("min")), ("max", F.col("max")), ("mean", F.col("mean")), *((f"p{n}", F.col("p")[i]) for i, n in enumerate((50, 95, 99)))]
     return out.select(*keys, "count", *(F.round(F.coalesce(c, F.lit(0.0)), 4).alias(n) for n, c in names))
@@ -37,12 +40,12 @@ def benchmark_summary(requests: int, hits: int, seconds: float, searches: int, u
 
 
 def newest_per(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The latest row of each key: of responses only the newest counts."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))
-    return rows.withColumn("_r", rank).where("_r = 1").drop("_r")
+    """The latest row of each key (of responses only the newest counts), by partial aggregates."""
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("_row"))
+    return newest.select("_row.*")
 
 
 def debounced(rows: DataFrame, session: str, ts: str, seconds: float, order: str) -> DataFrame:
     """Keystrokes that none of the same session follows within the time."""
     following = F.lead(ts).over(Window.partitionBy(session).orderBy(ts, order))
-    return rows.where(F.lit(True)).withColumn("_next", following).where(F.col("_next").isNull() | (F.col("_next") - F.col(ts) >= seconds)).drop("_next")
+    return rows.withColumn("_next", following).where(F.col("_next").isNull() | (F.col("_next") - F.col(ts) >= seconds)).drop("_next")

@@ -19,14 +19,13 @@ def recency_scores(events: DataFrame, now: Column | float, half_life: float = Se
     return events.groupBy("query").agg(F.sum(weight * decay(now - F.col("t"), half_life)).alias("score"), F.max("t").alias("updated"))
 
 
-def recency_fold(events: DataFrame, now: float, half_life: float = Settings.recency_half_life) -> DataFrame:
-    """The same by pairwise decay between a query's successive events (lag), to test the closed form: each event's own
-    weight decays over the gaps that follow it."""
-    by_time = Window.partitionBy("query").orderBy("t")
-    gaps = events.withColumn("gap", F.coalesce(F.lead("t").over(by_time), F.lit(float(now))) - F.col("t"))
-    after = Window.partitionBy("query").orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    aged = gaps.withColumn("age", F.sum(F.greatest("gap", F.lit(0.0))).over(after))
-    return aged.groupBy("query").agg(F.sum(decay(F.col("age"), half_life)).alias("score"))
+def recency_fold(events: DataFrame, now: float, half_life: float = Settings.recency_half_life, segment: float = 3600.0) -> DataFrame:
+    """query, score by lazy decay in steps: events decay to the last event of their segment of time, segments then decay to
+    now. Scores of segments can be kept and merged, and a hot query is spread over its segments."""
+    cut = events.withColumn("segment", F.floor(F.col("t") / F.lit(float(segment))))
+    last = cut.groupBy("query", "segment").agg(F.max("t").alias("end"))
+    held = cut.join(last, ["query", "segment"]).groupBy("query", "segment", "end").agg(F.sum(decay(F.col("end") - F.col("t"), half_life)).alias("held"))
+    return held.groupBy("query").agg(F.sum(F.col("held") * decay(F.lit(float(now)) - F.col("end"), half_life)).alias("score"))
 
 
 def trending(scores: DataFrame, counts: DataFrame, n: int) -> DataFrame:

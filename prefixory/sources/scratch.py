@@ -19,6 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get().rstrip("/")
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """The driver deletes the folder when it ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -26,4 +32,5 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    delete_on_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
