@@ -8,9 +8,10 @@ so the work is in proportion to elements + k log k. A shingle's weight is 1 + lo
 
 Equal texts are one node. Nodes that share a band are candidates; a candidate becomes a link if the Jaccard similarity of
 their shingle sets, computed in full, is at least 0.8; classes are the connected components of the links. A bucket is
-not expanded into pairs: its first member is tested against the others, and only where members remain in different
-components are further members tested against them (8, then 64, ... at a time) until every pair of the bucket is tested
-or connected. So no link within a bucket is lost, and a bucket of copies costs one test a member.
+not expanded into pairs: its head, the member that most others resemble, is tested against the others; only groups whose
+members then remain in different components are looked at again, whole, in cells of bounded size, where each member
+outside the largest component is compared with all others through an inverted index. So no link within a bucket is
+lost, a bucket of copies costs one test a member, and pairs are never rows.
 
 Defined results: a null text is the empty text; texts without words are only equal to equal texts; repeated rows and
 equal texts are in one class; class_id is the class's least doc_id (null only if all are null); an empty table gives no
@@ -31,6 +32,8 @@ from .shingles import mix, shingles
 
 K, BANDS, ROWS = 64, 16, 4
 WORDS, THRESHOLD = 5, 0.8
+#: Members, and bytes of their sets, in one part of a group.
+CELL_ROWS, CELL_BYTES = 1024, 16 << 20
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,32 +178,81 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+_CELL = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def _cell_links(nodes: list[bytes], labels: list[bytes], marks: list[bytes], threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links between members of different components, one for each pair of a member and a component. Members of the
+    largest component need not be looked at: every such pair has a member outside it."""
+    names, label = np.unique(np.array(labels, object), return_inverse=True)
+    if len(names) < 2:
+        return []
+    sets = [np.frombuffer(m, np.uint64) for m in marks]
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    element = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(element, kind="stable")
+    posting = owner[order]
+    bounds = np.searchsorted(element[order], np.arange(element.max(initial=-1) + 2))
+    starts = np.cumsum(sizes) - sizes
+    largest = np.bincount(label).argmax()
+    out = []
+    for r in np.flatnonzero(label != largest):
+        own = element[starts[r] : starts[r] + sizes[r]]
+        shared = np.bincount(np.concatenate([posting[bounds[e] : bounds[e + 1]] for e in own] or [posting[:0]]), minlength=len(sets))
+        hit = np.flatnonzero((shared >= threshold * (sizes + sizes[r] - shared)) & (label != label[r]) & (sizes > 0))
+        for m in hit[np.unique(label[hit], return_index=True)[1]]:
+            out.append((nodes[r], nodes[m]))
+    return out
+
+
+def _open_links(groups: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links that the first test left open. groups: (head, node) of all members. A group whose members are in several
+    components is read whole, in one cell of a task; a group that is too large for one is cut into parts, and each two parts
+    meet in a cell of their own, so a member goes to as many cells as there are parts and pairs are never rows."""
+    placed = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_heads = placed.groupBy("head").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("head")
+    rows = written(groups.sparkSession, placed.join(open_heads, "head", "left_semi").join(sets, "node"), "open")
+    parts = rows.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum(F.octet_length("marks")) / CELL_BYTES)).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    cells = rows.join(parts, "head").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    cells = cells.select("head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "marks")
+
+    def run(batches):
+        cell, held = None, ([], [], [])
+        for batch in batches:
+            out = []
+            for *key, node, label, marks in zip(*(batch.column(c).to_pylist() for c in ("head", "i", "j", "node", "label", "marks")), strict=True):
+                if key != cell:
+                    out += _cell_links(*held, threshold)
+                    cell, held = key, ([], [], [])
+                for column, value in zip(held, (node, label, marks), strict=True):
+                    column.append(value)
+            yield record(_CELL, a=[x for x, _ in out], b=[x for _, x in out])
+        out = _cell_links(*held, threshold)
+        yield record(_CELL, a=[x for x, _ in out], b=[x for _, x in out])
+
+    return cells.repartition(F.col("head"), F.col("i"), F.col("j")).sortWithinPartitions("head", "i", "j").mapInArrow(run, "a binary, b binary")
+
+
 def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node (of its text), label (of its class) and class_id of every row."""
     spark = docs.sparkSession
     rows = written(spark, banded(docs, words), "bands")
     nodes = written(spark, rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
-    members = nodes.select("node", F.explode("bands").alias("key")).withColumn("o", F.xxhash64("node"))
-    first = members.groupBy("key").agg(F.min(F.struct("o", "node")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = written(spark, members.join(first, "key").select("key", "node", "o", F.col("head.node").alias("head")), "buckets")
-    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "rep")
+    members = nodes.select("node", F.explode("bands").alias("key"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = written(spark, members.join(sizes, "key"), "sized")
+    # The head of a bucket is its member with the fullest buckets: the text that most others are copies of.
+    rank = sized.groupBy("node").agg(F.struct(F.sum("n").alias("n"), F.xxhash64("node").alias("h")).alias("rank"))
+    ranked = sized.select("node", "key").join(rank, "node")
+    heads = ranked.groupBy("key").agg(F.max_by("node", "rank").alias("head"))
+    groups = written(spark, ranked.select("node", "key").join(heads, "key").select("head", "node").distinct(), "groups")
+    wanted = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", "rep")
     sets = written(spark, _sets(docs, wanted, words), "sets")
-    pairs = shared.where(F.col("node") != F.col("head")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(spark, _links(pairs, sets, threshold), "links")
-    done, step = 1, 8
-    while True:
-        labels = components(links)
-        placed = shared.drop("head").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_keys = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where((F.col("x") != F.col("y")) & (F.col("n") > done + 1)).select("key")
-        left = placed.join(open_keys, "key", "left_semi")
-        rank = F.row_number().over(_by_key()) - 1
-        ranked = written(spark, left.withColumn("rank", rank), "open")
-        heads = ranked.where((F.col("rank") >= done) & (F.col("rank") < step)).select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("rank").alias("ra"))
-        if heads.isEmpty():
-            break
-        pairs = heads.join(ranked, "key").where((F.col("rank") > F.col("ra")) & (F.col("label") != F.col("la"))).select("a", F.col("node").alias("b")).distinct()
-        links = written(spark, links.unionByName(_links(pairs, sets, threshold)), "links")
-        done, step = step, step * 8
+    links = written(spark, _links(groups.where("head <> node").toDF("a", "b"), sets, threshold), "links")
+    more = written(spark, _open_links(groups, components(links), sets, threshold), "links")
+    labels = components(links.unionByName(more)) if not more.isEmpty() else components(links)
     classed = nodes.select("node", "rep").join(labels, "node")
     least = classed.groupBy("label").agg(F.min("rep").alias("class_id"))
     by_node = classed.join(least, "label").select("node", "label", "class_id")
@@ -208,12 +260,6 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     return rows.select("doc_id", "node").join(by_node, "node")
 
 
-def _by_key():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("key").orderBy("o", "node")
-
-
 def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class: of its least doc_id (null only if all are null), of the least text hash among rows with that."""
     classes = near_classes(docs, words, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
