@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record, scratch_path, table, texts, written
+from .common import delete_on_exit, record, scratch_path, table, texts, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -78,6 +78,7 @@ class LineRuns:
         name = f"line_run_{uuid.uuid4().hex}"
         path = scratch_path(self.spark, name)
         entries.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        delete_on_exit(self.spark, path)
         return Run(self.spark.table(name), self.spark.read.schema(entries.schema).parquet(path))
 
     @property
