@@ -171,18 +171,19 @@ def place(histogram: dict[int, int], tokens: int, documents: int, attention: int
     return np.array(rows, np.int64).reshape(-1, 6), opened
 
 
-def pack(pieces: DataFrame, tokens: int = CAPACITY, documents: int = CAPACITY, attention: int = CAPACITY**2, weights=(1.0, 1.0, 1.0), rule: str = "norm", bucket_rows: int = 1 << 17) -> DataFrame:
+def pack(pieces: DataFrame, tokens: int = CAPACITY, documents: int = CAPACITY, attention: int = CAPACITY**2, weights=(1.0, 1.0, 1.0), rule: str = "norm", bucket_rows: int = 1 << 10) -> DataFrame:
     """pieces (as of `tokenised`) with sequence_id and offset, gapless from 0 in each sequence. No sequence exceeds any
     of the three capacities; by default only that of tokens can bind."""
     spark = pieces.sparkSession
     pieces = written(spark, pieces, "pieces")
     histogram = {r.length: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `tokens` rows
     plan, _ = place(histogram, tokens, documents, attention, weights, rule)
-    buckets = max(1, max(histogram.values(), default=0) // bucket_rows + 1)
-    salted = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    # Common lengths are dealt to more buckets: one row for each length, at most `tokens` of them.
+    shares = spark.createDataFrame([(n, c // bucket_rows + 1) for n, c in histogram.items()], "length long, buckets long")
+    salted = pieces.join(F.broadcast(shares), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")))
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(own).cast("long") - 1)
-    if buckets > 1:
+    if max(histogram.values(), default=0) >= bucket_rows:
         before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         base = salted.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
         ranked = ranked.join(base, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
