@@ -33,7 +33,7 @@ from .shingles import mix, shingles
 K, BANDS, ROWS = 64, 16, 4
 WORDS, THRESHOLD = 5, 0.8
 #: Members, and bytes of their sets, in one part of a group.
-CELL_ROWS, CELL_BYTES = 1024, 16 << 20
+CELL_ROWS, CELL_BYTES = 512, 16 << 20
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -257,6 +257,7 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     least = classed.groupBy("label").agg(F.min("rep").alias("class_id"))
     by_node = classed.join(least, "label").select("node", "label", "class_id")
     by_node = nodes.select("node", "rep").join(by_node, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("class_id", "rep").alias("class_id"))
+    by_node = written(spark, by_node, "classes")  # so that a text with very many copies can be split in the join
     return rows.select("doc_id", "node").join(by_node, "node")
 
 
