@@ -81,7 +81,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 class Cache(dict):
     """A dict that makes missing values by a function and starts anew at a fixed number of entries."""
 
-    def __init__(self, make, limit: int = 400_000, longest: int = 48):
+    def __init__(self, make, limit: int = 200_000, longest: int = 48):
         super().__init__()
         self.make, self.limit, self.longest = make, limit, longest
 
