@@ -212,10 +212,11 @@ def _open_links(groups: DataFrame, labels: DataFrame, sets: DataFrame, threshold
     meet in a cell of their own, so a member goes to as many cells as there are parts and pairs are never rows."""
     placed = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_heads = placed.groupBy("head").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("head")
-    rows = written(groups.sparkSession, placed.join(open_heads, "head", "left_semi").join(sets, "node"), "open")
+    spark = groups.sparkSession  # what is joined by head is written first, so that a large group can be split
+    rows = written(spark, placed.join(written(spark, open_heads, "heads"), "head", "left_semi").join(sets, "node"), "open")
     parts = rows.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum(F.octet_length("marks")) / CELL_BYTES)).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    cells = rows.join(parts, "head").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    cells = rows.join(written(spark, parts, "parts"), "head").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
     cells = cells.select("head", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "marks")
 
     def run(batches):
