@@ -62,8 +62,8 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.bytes = dict(enumerate(_byte_characters()))
-        self.known = Cache(self._one)
-        self.parts = Cache(self._part)
+        self.known = Cache(self._one, 300_000)
+        self.parts = Cache(self._part, 300_000)
 
     def _part(self, part: str) -> bytes:
         if not part.isascii():
