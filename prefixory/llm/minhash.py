@@ -4,7 +4,8 @@ Each element (a shingle of five words) of weight x owns the region [0, x) of a w
 weight-rank plane as a Poisson process that depends on the element alone; those below x hit. A dart bears one of k
 coordinates, and a signature keeps the earliest hit of each coordinate, so two sets agree on a coordinate with the
 probability of their weighted Jaccard similarity. Only ranks up to about (k ln k + 2k) / total weight need be looked at,
-so the work is in proportion to elements + k log k. A shingle's weight is 1 + log2 of its count.
+so the work is in proportion to elements + k log k. Each distinct shingle weighs 1, however often a text repeats it: links
+are decided on sets, so the similarity that makes candidates is the one that the check bounds.
 
 Equal texts are one node. Nodes that share a band are candidates; a candidate becomes a link if the Jaccard similarity of
 their shingle sets, computed in full, is at least 0.8; classes are the connected components of the links. A bucket is
@@ -87,8 +88,9 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> np.ndar
 
 
 def weighted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    e, n = np.unique(hashes, return_counts=True)
-    return e, 1 + np.log2(n)
+    """The distinct hashes, each of weight 1 as in the check of the links."""
+    e = np.unique(hashes)
+    return e, np.ones(len(e))
 
 
 def band_keys(marks: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:

@@ -65,6 +65,20 @@ def test_brute_force(make):
     assert got == brute(rows)
 
 
+def test_repeated_paragraphs(make):
+    """Copies that repeat paragraphs, or lines here and there, have nearly the same set of shingles."""
+    r = random.Random(8)
+    rows = []
+    for k, times in enumerate((2, 3, 4, 8, 8, 16, 16, 32)):
+        parts = [" ".join(words(r, 80)) for _ in range(3)]
+        rows += [(10 * k, "\n".join(parts)), (10 * k + 1, "\n".join(parts * times))]
+        rows += [(10 * k + 2, "\n".join([parts[0]] * times + parts[1:])), (10 * k + 3, "\n".join(p for p in parts for _ in range(times)))]
+    got = sorted((str(r.doc_id), str(r.class_id)) for r in minhash.near_classes(make(rows)).collect())
+    assert got == brute(rows)
+    assert len({c for _, c in got}) == 8
+    assert minhash.keep_one(make(rows)).count() == 8
+
+
 def test_keep_one(make):
     from .conftest import HARD
 
