@@ -31,7 +31,8 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANY = re.compile("[0-9@]")
+#: What every match of any pattern, strict or wide, holds: texts without it have no candidates.
+_ANY = re.compile(r"[0-9@]|[(\[]at[)\]]|[A-Fa-f]:[A-Fa-f]")
 
 #: Wide patterns of the candidates that no strict pattern finds.
 _WIDE = {

@@ -66,6 +66,27 @@ def test_added_spans(make):
     assert rows[43].spans == "" and rows[44].spans == ""
 
 
+ALONE = ["joe (at) mail (dot) com", "ask joe [at] mail [dot] example [dot] org", "joe(at)mail.com", "(joe [at) mail.net", "host dead:beef:cafe:babe:dead:beef:cafe:babe up"]
+
+
+@pytest.mark.parametrize("text", ALONE)
+def test_candidates_without_digits(text):
+    """A digit elsewhere in the text makes no difference to what is found."""
+    assert pii.candidates(text, pii.base_spans(text)) == pii.candidates(text + " , 7", []) != []
+
+
+@given(st.lists(st.sampled_from(["a", "f", ":", "a:", "f:" * 7, "(at)", "[at]", " (dot) ", ".", " ", "-", "(", "]", "é"]), max_size=30).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_filter_leaves_no_wide_match_out(text):
+    assert pii._ANY.search(text) or not any(w.search(text) for k, w in pii._WIDE.items() if k != "secret")
+
+
+def test_address_alone_reaches_the_classifier(make):
+    docs = [(2 * i + k, text + " , 7" * k) for i, text in enumerate(ALONE) for k in range(2)]
+    found = {r.doc_id: r.found for r in pii.found_in(make(docs)).collect()}
+    assert all(found[2 * i] == found[2 * i + 1] and found[2 * i] for i in range(len(ALONE)))
+
+
 def test_redaction(make):
     out = {r.doc_id: r for r in pii.redacted(make([*DOCS, (100, None), (101, ""), (102, "a@b.cc c@d.ee")], extra=True)).collect()}
     assert out[0].text == "reach me at <EMAIL> or <PHONE> today"
