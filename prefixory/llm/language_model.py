@@ -1,63 +1,141 @@
 """Operator 2: language-model scoring with a hashed maximum-entropy model.
 
-log P(text) is the sum over its tokens of log P(class | history) + log P(token | class, history). The class softmax has
-hashed features of the history: the last token (bigram), the last two together (trigram), and the last very frequent
-token however far back (a skip of any length). The token softmax within a class has a feature for (last very frequent token,
-token). Classes cut the most frequent `HEAD` tokens by the square root of their counts; one more class holds all other
-tokens, seen or not, with add-one estimates from their counts, so the probabilities of all tokens sum to one.
-
-Training: counts of all tokens are summed in Spark. Class weights are trained by gradient updates: in each round workers
-run minibatch Adagrad over their share of the training documents (each document once over all rounds) from the same
-weights, and the weights are averaged over workers in a tree. In-class weights have one active feature a token, for which
-the iterative-scaling update on the summed counts is the optimum; it is applied with smoothing towards the class's
-unigrams. The number of workers grows with the tokens; what a worker sends is the size of the model.
+The softmax over tokens is factored into classes of classes: the most frequent tokens and one leaf for all others (the tail)
+are cut into at most `WIDE` groups of equal mass, each group again, and so on, so a token is a path of softmaxes whose
+length follows its surprise. Every softmax on the path, down to the token, has the same features of the history: its bias,
+the last token (bigram), the last two together (trigram), the last but one (skip), and the last very frequent token however
+far back (a long skip). A feature and the softmax's node are hashed together to a row of `WIDE` weights; in histories a word of the tail stands for all of its kind. The tail is one
+more softmax over `WIDE` kinds of words (a hash of a word's end), within which a token has its add-one share of the counts;
+one unseen token counts for each kind. So the probabilities of all tokens sum to one.
+
+Training: counts of all tokens are summed in Spark; they make the paths and the biases that training starts from. Weights
+are then trained by gradient updates: in each round workers run minibatch Adagrad over their share of the training
+documents (each document once over all rounds) from the same weights, and a row's changes are averaged over workers by the
+squared gradients that each of them saw in that row. Head, hashed rows and workers grow with the tokens; the dictionary,
+the head and the rows have bounds (`DICTIONARY`, `MOST_HEAD`, `MOST_ROWS`), as they are broadcast.
 
 Counts: those of the most frequent tokens, `DICTIONARY` at most, are broadcast; the others are joined by hash, so every
-token has its exact count. Tokens are known by 64-bit hashes.
+token has its exact count. Tokens are known by 60-bit hashes and the 4 bits of their kind.
 
 Defined results: a null or empty text is its end token; null doc_ids count as held in (they have no remainder); repeated
-rows are documents each; an empty table gives no rows; other columns are not read. Without training documents the counts
-are 0.
+rows are documents each; tokens of equal count are ranked by their hash; a text of any length is scored whole; an empty
+table gives no rows; other columns are not read. Without training documents the counts are 0.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, record, table, texts, written
+from .common import record, table, texts, written
 from .hashtable import HashTable
 from .shingles import mix
 
-HEAD, CLASSES, ANCHORS, ROWS = 1 << 14, 20, 32, 1 << 13
+WIDE, ANCHORS = 16, 64
 DICTIONARY = 1 << 20
-WORKER_TOKENS, LEAST_WORKERS, ROUNDS, BATCH, RATE = 4_000_000, 6, 2, 16384, 0.3
-_HASH: Cache = Cache(lambda token: xxhash.xxh3_64_intdigest(token))
-END = xxhash.xxh3_64_intdigest(b"\n")  # no word contains it
+#: Tokens of training text for each head token and for each hashed row, and the most of both.
+TOKENS_A_HEAD, MOST_HEAD = 512, 1 << 16
+TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 16, 1 << 14, 1 << 19
+WORKER_TOKENS, LEAST_WORKERS, ROUNDS, BATCH = 4_000_000, 6, 2, 16384
+#: Of biases, of neighbouring tokens and of the long skip.
+RATES = (0.3, 0.8, 0.8)
+GOLD = np.uint64(0x9E3779B97F4A7C15)
+KIND = np.uint64(WIDE - 1)
+DOCS = 100
 FLUSH = 300_000
 SUM_BLOCKS = 16
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+
+
+#: A word is hashed by the sum of its bytes' random numbers, each times an odd number to the power of its place.
+_BASE = 0x9FB21C651E98DF25
+_RANDOM = mix(np.arange(1, 257, dtype=np.uint64) * GOLD) | np.uint64(1)
+_BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+PART = 1 << 18
+_UP, _DOWN = _powers(_BASE, PART), _powers(pow(_BASE, -1, 1 << 64), PART)
+_CUT = re.compile(rb"[ \t-\r]")
+
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word."""
+    b = np.frombuffer(raw, np.uint8)
+    up, down = (_UP, _DOWN) if len(b) < len(_UP) else (_powers(_BASE, len(b)), _powers(pow(_BASE, -1, 1 << 64), len(b)))
+    blank = np.concatenate([[True], _BLANK.take(b), [True]])
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = edge[::2], edge[1::2]
+    with np.errstate(over="ignore"):
+        sums = np.cumsum(np.concatenate([np.zeros(1, np.uint64), _RANDOM.take(b) * up[: len(b)]]))
+        h = mix((sums.take(end) - sums.take(start)) * down.take(start))
+        tail = b.take(end - 1).astype(np.uint64)
+        for k in (2, 3):
+            tail = (tail << np.uint64(8)) | np.where(end - k >= start, b.take(np.maximum(end - k, 0)), 0).astype(np.uint64)
+    return (h & ~KIND) | (mix(tail) >> np.uint64(60)), start
+
+
+def _parts(raw: bytes) -> list[bytes]:
+    """raw in pieces of about PART bytes at most, cut at blanks: longer only where one word is."""
+    out, at = [], 0
+    while len(raw) - at > PART:
+        cuts = [raw.rfind(bytes([c]), at + 1, at + PART) for c in (32, 10)]
+        cut = max(cuts)
+        if cut < 0:
+            found = _CUT.search(raw, at + 1)
+            cut = found.start() if found else len(raw)
+        out.append(raw[at:cut])
+        at = cut
+    return [*out, raw[at:]]
+
+
+def token_hash(token: bytes) -> int:
+    return int(_words(token)[0][0])
+
+
+END = int(mix(np.array([7], np.uint64))[0])
+
+
 def tokens(text: str) -> np.ndarray:
-    """Hashes of the words and the end."""
-    words = text.encode().lower().split()  # of bytes: A-Z, and ASCII white space
-    return np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+    """60 bits of each word's hash and 4 of its kind, a hash of its last three bytes."""
+    return _batch_tokens([text])[0][:-1]
 
 
 def _batch_tokens(all_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of a batch, and the number of tokens of each text."""
-    parts, sizes, end = [], [], np.array([END], np.uint64)
+    hashes: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+
+    def hashed(group: list[bytes]) -> None:
+        h, start = _words(b" ".join(group))
+        bounds = np.cumsum([len(x) + 1 for x in group])
+        n = np.diff(np.searchsorted(start, bounds), prepend=0)
+        hashes.append(np.insert(h, np.cumsum(n), np.uint64(END)))
+        sizes.append(n + 1)
+
+    group, size = [], 0  # texts that are hashed together
     for t in all_texts:
-        h = tokens(t)
-        parts += [h, end]
-        sizes.append(len(h) + 1)
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(sizes, np.int64)
+        raw = t.encode().lower()  # of bytes: only A-Z changes
+        if size + len(raw) + 1 > PART and group:
+            hashed(group)
+            group, size = [], 0
+        if len(raw) > PART:
+            own = [_words(x)[0] for x in _parts(raw)]
+            hashes += [*own, np.array([END], np.uint64)]
+            sizes.append(np.array([sum(map(len, own)) + 1]))
+        else:
+            group.append(raw)
+            size += len(raw) + 1
+    if group:
+        hashed(group)
+    return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), (np.concatenate(sizes) if sizes else np.empty(0, np.int64)).astype(np.int64)
 
 
 _COUNTS = pa.schema([("h", pa.int64()), ("c", pa.int64())])
@@ -78,8 +156,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             all_texts = texts(batch)
-            for i in range(0, len(all_texts), 100):
-                keys, n = np.unique(_batch_tokens(all_texts[i : i + 100])[0], return_counts=True)
+            for i in range(0, len(all_texts), DOCS):
+                keys, n = np.unique(_batch_tokens(all_texts[i : i + DOCS])[0], return_counts=True)
                 held.append((keys, n))
                 size += len(keys)
                 if size > 4 * FLUSH:
@@ -95,190 +173,249 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def paths(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of classes of leaves of falling mass. Returns node and slot by (level, leaf), node -1 below a leaf's last,
+    and the mass by (node, slot)."""
+    node, slot = [np.full(len(mass), -1, np.int32)], [np.zeros(len(mass), np.int8)]
+    masses: list[np.ndarray] = []
+    total = np.concatenate([[0.0], np.cumsum(mass)])
+    todo = [(0, len(mass), 0)]
+    while todo:
+        a, b, level = todo.pop()
+        if level == len(node):
+            node.append(np.full(len(mass), -1, np.int32))
+            slot.append(np.zeros(len(mass), np.int8))
+        if b - a <= WIDE:
+            cut = np.arange(a, b + 1)
+        else:
+            even = np.searchsorted(total[a : b + 1], np.linspace(total[a], total[b], WIDE + 1)[1:-1]) + a
+            cut = np.concatenate([[a], np.unique(np.clip(even, a + 1, b - 1)), [b]])
+        own = np.zeros(WIDE)
+        for k, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+            node[level][x:y], slot[level][x:y], own[k] = len(masses), k, total[y] - total[x]
+            if y - x > 1:
+                todo.append((x, y, level + 1))
+        masses.append(own)
+    return np.stack(node), np.stack(slot), np.stack(masses)
+
+
 class Vocabulary:
-    """Counts of the most frequent tokens and the classes of the head."""
+    """Counts of the most frequent tokens, the paths of the head and of the tail, and the counts of the tail by kind."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, types: int, head: int = HEAD, classes: int = CLASSES):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, kinds: np.ndarray):
+        """kinds: (tokens, types) of all training tokens by kind."""
         order = np.lexsort((hashes, -counts))
         hashes, self.counts = hashes[order], counts[order]
         self.table = HashTable(hashes)
-        self.total, self.types = total, types
-        self.head = min(head, len(hashes))
-        root = np.cumsum(np.sqrt(self.counts[: self.head]))
-        self.cls = np.minimum((root - root[:1]) * (classes - 1) / root[-1:], classes - 2).astype(np.int64) if self.head else np.empty(0, np.int64)
-        self.tail_total = total - int(self.counts[: self.head].sum())
-        self.tail_types = types - self.head
-
-    def context(self, h: np.ndarray, sizes: np.ndarray):
-        """For each token: row in the dictionary (-1: not there), class, feature rows, last anchor."""
+        self.total, self.types = (int(x) for x in kinds.sum(0))
+        self.head = min(max(self.total // TOKENS_A_HEAD, 1024), MOST_HEAD, len(hashes))
+        self.rows = min(max(1 << (self.total // TOKENS_A_ROW).bit_length(), LEAST_ROWS), MOST_ROWS)
+        top, kind = self.counts[: self.head].astype(float), (hashes[: self.head] & KIND).astype(int)
+        self.tail = kinds - np.stack([np.bincount(kind, top, WIDE), np.bincount(kind, minlength=WIDE)], 1)  # (tokens, types) by kind
+        leaf = np.concatenate([top, [self.tail[:, 0].sum() + WIDE]])
+        rank = np.argsort(-leaf, kind="stable")  # the tail has its place by mass
+        node, slot, masses = paths(leaf[rank])
+        self.node, self.slot = np.empty_like(node), np.empty_like(slot)
+        self.node[:, rank], self.slot[:, rank] = node, slot
+        self.masses = np.concatenate([masses, [self.tail.sum(1) + 1]])
+        self.tail_node = len(masses)
+        self.log_tail = np.log10(self.tail.sum(1) + 1)
+
+    def biases(self) -> np.ndarray:
+        """The log shares of the counts; a slot without tokens has no probability."""
+        own = self.masses / self.masses.sum(1, keepdims=True)
+        return np.where(own > 0, np.log(np.maximum(own, 1e-12)), -1e4).astype(np.float32)
+
+    def steps(self, h: np.ndarray, sizes: np.ndarray):
+        """Each token's row in the dictionary (-1: not there) and whether it is in the head; and the softmaxes on all
+        tokens' paths: position, slot, and the rows of weights of its features."""
         row = self.table.find(h).astype(np.int64)
-        in_head = (row >= 0) & (row < self.head)
-        cls = np.where(in_head, self.cls[np.where(in_head, row, 0)] if self.head else 0, CLASSES - 1)
+        head = (row >= 0) & (row < self.head)
+        leaf = np.where(head, row, self.head)
         starts = np.cumsum(sizes) - sizes
         own = np.repeat(starts, sizes)
         at = np.arange(len(h))
-        one = np.where(at > own, np.roll(h, 1), np.uint64(0))
-        two = np.where(at > own + 1, np.roll(h, 2), np.uint64(0))
-        anchor_at = np.where((row >= 0) & (row < ANCHORS), at, -1)
-        last = np.concatenate([[-1], np.maximum.accumulate(anchor_at)[:-1]]) if len(h) else at
-        anchor = np.where(last >= own, row[np.maximum(last, 0)] + 1, 0)
+        word = np.where(head, h, (h & KIND) + np.uint64(1))  # in histories a word of the tail is one of its kind
+        one = np.where(at > own, np.roll(word, 1), np.uint64(0))
+        two = np.where(at > own + 1, np.roll(word, 2), np.uint64(0))
+        last = np.concatenate([[-1], np.maximum.accumulate(np.where((row >= 0) & (row < ANCHORS), at, -1))[:-1]]) if len(h) else at
+        anchor = np.where(last >= own, row[np.maximum(last, 0)] + 1, 0).astype(np.uint64)
         with np.errstate(over="ignore"):
-            rows = [mix(one + np.uint64(1)), mix(mix(one + np.uint64(2)) + two)]
-        features = [(r % np.uint64(ROWS)).astype(np.int64) + k * ROWS for k, r in enumerate(rows)]
-        features.append(2 * ROWS + anchor)
-        return row, cls, features, anchor
+            first = mix(one + np.uint64(1))
+            histories = [first, mix(first * GOLD + two), mix(two + np.uint64(2)), mix(anchor + np.uint64(3))]
+            where, nodes, slots = [], [], []
+            for node, slot in zip(self.node, self.slot, strict=True):
+                n = node.take(leaf)
+                live = np.flatnonzero(n >= 0)
+                where.append(live)
+                nodes.append(n.take(live))
+                slots.append(slot.take(leaf.take(live)))
+            tail = np.flatnonzero(~head)
+            pos = np.concatenate([*where, tail])
+            node = np.concatenate([*nodes, np.full(len(tail), self.tail_node, np.int32)]).astype(np.int64)
+            slot = np.concatenate([*slots, (h[tail] & KIND).astype(np.int8)]).astype(np.int64)
+            salt = node.astype(np.uint64) * GOLD
+            shift = np.uint64(65 - self.rows.bit_length())
+            rows = [node] + [((x.take(pos) ^ salt) * np.uint64(0xBF58476D1CE4E5B9) >> shift).astype(np.int64) + len(self.masses) for x in histories]
+        return row, head, pos, slot, rows
+
+
+_ONES = np.ones(WIDE, np.float32)
+
+
+def _shares(weights: np.ndarray, rows: list[np.ndarray], s: slice) -> np.ndarray:
+    """The softmaxes' probabilities."""
+    z = weights.take(rows[0][s], 0)
+    for r in rows[1:]:
+        z += weights.take(r[s], 0)
+    np.minimum(z, 60, out=z)  # a bias is at most 0
+    np.exp(z, out=z)
+    z /= (z @ _ONES)[:, None]
+    return z
 
 
-def _logits(weights: np.ndarray, features: list[np.ndarray], s: slice) -> np.ndarray:
-    z = weights[-1] + weights[features[0][s]]
-    for f in features[1:]:
-        z += weights[f[s]]
-    z -= z.max(1, keepdims=True)
-    return z
+def _step(weights: np.ndarray, seen: np.ndarray, at: np.ndarray, sums: np.ndarray, rate: float) -> None:
+    """Adagrad with a rate for each row."""
+    more = seen.take(at) + np.einsum("ij,ij->i", sums, sums)
+    seen[at] = more
+    weights[at] += sums * (np.float32(rate) / np.sqrt(more + np.float32(1e-2)))[:, None]
+
 
+def _last(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(keys[1:] != keys[:-1], True))
 
-def _update(weights: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-    """Adagrad on the rows' sums of gradients."""
-    order = np.argsort((rows - rows.min()).astype(np.uint16), kind="stable")  # one feature's rows, fewer than 2^16: a radix sort
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    g = np.add.reduceat(gradient[order], first, 0)
-    at = rows[first]
-    seen[at] += g * g
-    weights[at] += RATE * g / np.sqrt(seen[at] + 1e-2)
 
+def _differences(running: np.ndarray) -> np.ndarray:
+    running[1:] -= running[:-1].copy()
+    return running
 
-def _trained(batches, vocabulary: Vocabulary, weights: np.ndarray, counted: bool):
-    """Local updates over one worker's documents. Returns weights, in-class counts and the number of tokens."""
-    weights, seen = weights.copy(), np.zeros_like(weights)
-    pairs = np.zeros((ANCHORS + 1) * vocabulary.head, np.int64)
-    n = 0
+
+def _update(weights: np.ndarray, seen: np.ndarray, outer: np.ndarray, inner: np.ndarray | None, gradient: np.ndarray, rate: float) -> None:
+    """A step on the sums of a feature's gradients, and on those of a feature that refines it, which need no sort of their
+    own (a row of the latter that two rows of the former share in one minibatch takes the step of one of them)."""
+    order = np.argsort(outer if inner is None else outer << 32 | inner)
+    first = outer.take(order)
+    running = np.cumsum(gradient.take(order, 0).view(np.complex64), 0)  # two sums at once
+    last = _last(first)
+    _step(weights, seen, first.take(last), _differences(running.take(last, 0).view(np.float32)), rate)
+    if inner is not None:
+        second = inner.take(order)
+        last = np.flatnonzero(np.append((second[1:] != second[:-1]) | (first[1:] != first[:-1]), True))
+        _step(weights, seen, second.take(last), _differences(running.take(last, 0).view(np.float32)), rate)
+
+
+def _trained(batches, vocabulary: Vocabulary, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Local updates over one worker's documents. Returns the weights and the squared gradients that each row saw."""
+    weights, seen = weights.copy(), np.zeros(len(weights), np.float32)
     for batch in batches:
         all_texts = texts(batch)
-        for i in range(0, len(all_texts), 100):
-            h, sizes = _batch_tokens(all_texts[i : i + 100])
-            row, cls, features, anchor = vocabulary.context(h, sizes)
-            n += len(h)
-            if counted:
-                inside = (row >= 0) & (row < vocabulary.head)
-                pairs += np.bincount(anchor[inside] * vocabulary.head + row[inside], minlength=len(pairs))
-            for a in range(0, len(h), BATCH):
+        for i in range(0, len(all_texts), DOCS):
+            _, _, pos, slot, rows = vocabulary.steps(*_batch_tokens(all_texts[i : i + DOCS]))
+            for a in range(0, len(pos), BATCH):
                 s = slice(a, a + BATCH)
-                g = np.exp(_logits(weights, features, s))
-                g /= -g.sum(1, keepdims=True)
-                g[np.arange(len(g)), cls[s]] += 1
-                for f in features:
-                    _update(weights, seen, f[s], g)
-    return weights, pairs, n
+                g = _shares(weights, rows, s)
+                np.negative(g, out=g)
+                g[np.arange(len(g)), slot[s]] += 1
+                bias, bigram, trigram, skip, anchor = (r[s] for r in rows)
+                _update(weights, seen, bias, None, g, RATES[0])
+                _update(weights, seen, bigram, trigram, g, RATES[1])
+                _update(weights, seen, skip, None, g, RATES[1])
+                _update(weights, seen, anchor, None, g, RATES[2])
+    return weights, seen
 
 
-def _blocks(kind: int, weight: float, values: np.ndarray, part: int, blocks: int):
-    """An array as rows (kind, block, salt, weight, data), so that no task sums the whole of it."""
-    return [(kind, b, part % 64, weight, x.tobytes()) for b, x in enumerate(np.array_split(values, blocks))]
+_SUMS = "block int, salt int, at binary, mass binary, change binary"
+_BLOCK = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("at", pa.binary()), ("mass", pa.binary()), ("change", pa.binary())])
 
 
-_KINDS = {0: np.float32, 1: np.float64}  # of weights and of counts
-_SUMS = "kind int, block int, salt int, weight double, data binary"
+def _changes(start: np.ndarray, weights: np.ndarray, seen: np.ndarray, salt: int):
+    """The changed rows in blocks (row, mass, mass times change), so that no task sums the whole of them."""
+    for b, at in enumerate(np.array_split(np.arange(len(seen)), SUM_BLOCKS)):
+        at = at[seen[at] > 0]
+        change = (weights[at] - start[at]) * seen[at, None]
+        yield record(_BLOCK, block=[b], salt=[salt % 64], at=[at.astype(np.int32).tobytes()], mass=[seen[at].tobytes()], change=[change.astype(np.float32).tobytes()])
 
 
 def _summed(rows: DataFrame) -> DataFrame:
     """Sums of the blocks over workers, in two levels."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        kind = _KINDS[frame["kind"].iloc[0]]
-        total = sum(np.frombuffer(x, kind).astype(np.float64) for x in frame["data"])
-        return pd.DataFrame({"kind": frame["kind"][:1], "block": frame["block"][:1], "salt": [0], "weight": [frame["weight"].sum()], "data": [total.astype(kind).tobytes()]})
+        parts = [(np.frombuffer(a, np.int32), np.frombuffer(m, np.float32), np.frombuffer(c, np.float32).reshape(-1, WIDE)) for a, m, c in zip(frame["at"], frame["mass"], frame["change"], strict=True)]
+        at = np.unique(np.concatenate([a for a, _, _ in parts]))
+        mass, change = np.zeros(len(at)), np.zeros((len(at), WIDE))
+        for a, m, c in parts:  # rows of one part are distinct
+            k = np.searchsorted(at, a)
+            mass[k] += m
+            change[k] += c
+        return pd.DataFrame({"block": frame["block"][:1], "salt": [0], "at": [at.tobytes()], "mass": [mass.astype(np.float32).tobytes()], "change": [change.astype(np.float32).tobytes()]})
 
-    return rows.groupBy("kind", "block", "salt").applyInPandas(add, _SUMS).groupBy("kind", "block").applyInPandas(add, _SUMS)
+    return rows.groupBy("block", "salt").applyInPandas(add, _SUMS).groupBy("block").applyInPandas(add, _SUMS)
 
 
 class Model:
-    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, inside: np.ndarray):
-        self.vocabulary, self.weights, self.inside = vocabulary, weights, inside
+    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray):
+        self.vocabulary, self.weights = vocabulary, weights
 
     def score(self, h: np.ndarray, sizes: np.ndarray):
         """For each text: known tokens, sums of log10 for base and model without the tokens outside the dictionary's own
         counts, and those tokens' hashes with the number of them."""
         v = self.vocabulary
-        row, cls, features, anchor = v.context(h, sizes)
-        log_class = np.empty(len(h))
-        for a in range(0, len(h), BATCH):
+        row, head, pos, slot, rows = v.steps(h, sizes)
+        at = np.repeat(np.arange(len(sizes)), sizes)
+        scored = np.zeros(len(sizes))
+        for a in range(0, len(pos), BATCH):
             s = slice(a, a + BATCH)
-            z = _logits(self.weights, features, s)
-            k = cls[s]
-            log_class[s] = (z[np.arange(len(z)), k] - np.log(np.exp(z).sum(1))) / math.log(10)
+            p = _shares(self.weights, rows, s)
+            p = p[np.arange(len(p)), slot[s]].astype(np.float64)
+            scored += np.bincount(at.take(pos[s]), np.log10(np.maximum(p, 1e-300)), len(sizes))
         known = row >= 0
-        count = np.where(known, v.counts[np.where(known, row, 0)] if len(v.counts) else 0, 0)
-        plus = np.log10(count + 1.0)
-        base = plus - math.log10(v.total + v.types + 1)
-        head = known & (row < v.head)
-        inside = np.where(head, self.inside.reshape(-1)[np.where(head, anchor * v.head + row, 0)] if v.head else 0.0, plus - math.log10(v.tail_total + v.tail_types + 1))
-        at = np.repeat(np.arange(len(sizes)), sizes)
+        plus = np.log10(np.where(known, v.counts[np.where(known, row, 0)] if len(v.counts) else 0, 0) + 1.0)
         add = lambda x: np.bincount(at, x, len(sizes))
+        base = plus - math.log10(v.total + v.types + 1)
+        within = np.where(head, 0.0, plus - v.log_tail[(h & KIND).astype(np.int64)])
         outside = np.flatnonzero(~known)
-        return add(known.astype(float)).astype(np.int64), add(base), add(log_class + inside), h[outside].view(np.int64), np.bincount(at[outside], minlength=len(sizes))
+        return add(known.astype(float)).astype(np.int64), add(base), scored + add(within), h[outside].view(np.int64), np.bincount(at[outside], minlength=len(sizes))
 
 
-def smoothed(counts: np.ndarray, vocabulary: Vocabulary, strength: float = 100.0) -> np.ndarray:
-    """log10 P(token | class, anchor) from the counts of (anchor, token)."""
-    if not vocabulary.head:
-        return np.zeros((ANCHORS + 1, 0))
-    counts = counts.reshape(ANCHORS + 1, vocabulary.head).astype(float)
-    cls = vocabulary.cls
-    size = np.bincount(cls, minlength=CLASSES).astype(float)
-    total = counts.sum(0) + 0.5
-    unigram = total / np.bincount(cls, total, CLASSES)[cls]
-    by_class = np.zeros((ANCHORS + 1, CLASSES))
-    for a in range(ANCHORS + 1):
-        by_class[a] = np.bincount(cls, counts[a], CLASSES)
-    strength = strength + 0 * size
-    return np.log10((counts + strength[cls] * unigram) / (by_class[:, cls] + strength[cls]))
+def vocabulary_of(counts: DataFrame) -> Vocabulary:
+    """From (h, c) of all tokens. Collects the dictionary, a row for each kind and one for each size of counts."""
+    kinds = np.zeros((WIDE, 2))
+    for r in counts.groupBy(F.col("h").bitwiseAND(WIDE - 1).alias("kind")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        kinds[r.kind] = r.c, r["n"]
+    size = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")  # counts up to 1 % apart
+    least, room = 0, DICTIONARY
+    for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("n"), F.min("c").alias("c")).orderBy(F.col("size").desc()).collect():
+        if r["n"] > room:
+            break
+        least, room = r.c, room - r["n"]
+    top = counts.where(F.col("c") >= least).toArrow().to_pandas() if least else pd.DataFrame({"h": [], "c": []}, dtype=np.int64)
+    return Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), kinds)
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of all the documents, and their token counts (h, c)."""
     spark = docs.sparkSession
     counts = written(spark, token_counts(docs), "token-counts")
-    # How many types have each count: as many rows as there are different counts, at most about the root of the tokens.
-    levels = sorted(((r.c, r.n) for r in counts.groupBy("c").agg(F.count("*").alias("n")).collect()), reverse=True)
-    total, types = sum(c * n for c, n in levels), sum(n for _, n in levels)
-    least, room = 0, DICTIONARY
-    for c, n in levels:
-        if n > room:
-            break
-        least, room = c, room - n
-    top = counts.where(F.col("c") >= max(least, 1)).toArrow().to_pandas() if least else pd.DataFrame({"h": [], "c": []}, dtype=np.int64)
-    vocabulary = Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), total, types)
-    weights = np.zeros((2 * ROWS + ANCHORS + 2, CLASSES), np.float32)  # the last row is the bias
-    prior = np.bincount(vocabulary.cls, vocabulary.counts[: vocabulary.head], CLASSES)
-    prior[-1] += vocabulary.tail_total
-    weights[-1] = np.log((prior + 1) / (prior + 1).sum())
-    weights[-1, :-1][prior[:-1] == 0] = -1e4  # a class without tokens gets no probability
-    workers = max(LEAST_WORKERS, total // WORKER_TOKENS)
+    vocabulary = vocabulary_of(counts)
+    weights = np.concatenate([vocabulary.biases(), np.zeros((vocabulary.rows, WIDE), np.float32)])
+    workers = max(LEAST_WORKERS, vocabulary.total // WORKER_TOKENS)
     shared = spark.sparkContext.broadcast(vocabulary)  # at most DICTIONARY tokens
-    pairs = np.zeros((ANCHORS + 1) * vocabulary.head)
-    out = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("salt", pa.int32()), ("weight", pa.float64()), ("data", pa.binary())])
     for k in range(ROUNDS):
-        start = spark.sparkContext.broadcast(weights)  # of fixed size
+        start = spark.sparkContext.broadcast(weights)  # at most MOST_ROWS rows and those of the head
 
         def run(batches, start=start):
             from pyspark import TaskContext
 
-            w, n_pairs, n = _trained(batches, shared.value, start.value, True)
-            if n:
-                part = TaskContext.get().partitionId()
-                rows = _blocks(0, float(n), (n * (w - start.value)).reshape(-1).astype(np.float32), part, SUM_BLOCKS)
-                rows += _blocks(1, 0.0, n_pairs.astype(np.float64), part, SUM_BLOCKS)
-                yield record(out, **dict(zip(out.names, zip(*rows, strict=True), strict=True)))
+            w, seen = _trained(batches, shared.value, start.value)
+            if seen.any():
+                yield from _changes(start.value, w, seen, TaskContext.get().partitionId())
 
         share = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k).select("text").coalesce(int(workers))
-        sums: dict[int, list] = {0: [], 1: []}
-        for r in sorted(_summed(share.mapInArrow(run, _SUMS)).collect(), key=lambda r: r.block):  # the size of the model
-            sums[r.kind].append(np.frombuffer(r.data, _KINDS[r.kind]) / (r.weight or 1.0))
-        if sums[0]:
-            weights = weights + np.concatenate(sums[0]).reshape(weights.shape).astype(np.float32)
-            pairs += np.concatenate(sums[1])
-    return Model(vocabulary, weights, smoothed(pairs, vocabulary)), counts
+        weights = weights.copy()
+        for r in _summed(share.mapInArrow(run, _SUMS)).collect():  # the size of the model
+            at, mass = np.frombuffer(r.at, np.int32), np.frombuffer(r.mass, np.float32)
+            weights[at] += np.frombuffer(r.change, np.float32).reshape(-1, WIDE) / mass[:, None]
+    return Model(vocabulary, weights), counts
 
 
 _SCORED = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.int64()))])
@@ -293,9 +430,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             all_texts = texts(batch)
-            for i in range(0, len(all_texts), 100):
-                part = batch.slice(i, 100)
-                h, sizes = _batch_tokens(all_texts[i : i + 100])
+            for i in range(0, len(all_texts), DOCS):
+                part = batch.slice(i, DOCS)
+                h, sizes = _batch_tokens(all_texts[i : i + DOCS])
                 known, base, scored, rare, each = shared.value.score(h, sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(rare))
                 yield record(_SCORED, rid=part.column("rid"), doc_id=part.column("doc_id"), held_out=part.column("held_out"), n_tokens=sizes, n_known=known, base=base, model=scored, rare=lists)
