@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
-import uuid
-from functools import lru_cache
+from functools import lru_cache, wraps
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import scratch
+
 #: Rows in an Arrow batch; texts may be long, so batches stay short.
 BATCH_ROWS = 200
 
@@ -22,51 +24,37 @@ def _ship(application: str, spark: SparkSession) -> None:
     root = Path(__file__).resolve().parents[2]
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
-    name = Path(__file__).resolve().parents[1].name
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{name}", "zip", root, name))
+    name, folder = Path(__file__).resolve().parents[1].name, tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # Spark serves the file as long as the driver lives
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{name}", "zip", root, name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, read by Spark whatever store it lies in."""
-    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def prepare(spark: SparkSession) -> None:
+    """What workers need for the functions of this subpackage: the package itself, and batches of few rows, as a text may
+    be of any length."""
     _ship(spark.sparkContext.applicationId, spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="prefixory-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def delete_on_exit(spark: SparkSession, path: str) -> None:
-    """The driver deletes the folder when it ends."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+def prepared(f):
+    """For functions whose first argument is a DataFrame that they map in Python."""
 
+    @wraps(f)
+    def call(df: DataFrame, *args, **kwargs):
+        prepare(df.sparkSession)
+        return f(df, *args, **kwargs)
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return call
 
 
 def written(spark: SparkSession, df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: lineage ends here, and a lost executor costs a
-    reread only."""
-    path = scratch_path(spark, label)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df written once as Parquet in the shared folder and read back."""
+    return scratch.written(df, label, *partition_by)
 
 
 def record(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record, table, texts, written
+from .common import prepared, record, table, texts, written
 from .hashtable import HashTable
 from .shingles import mix
 
@@ -141,6 +141,7 @@ def _batch_tokens(all_texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 _COUNTS = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 
 
+@prepared
 def token_counts(docs: DataFrame) -> DataFrame:
     """h, c of all tokens; each task sends sums of bounded tables."""
 
@@ -392,6 +393,7 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
     return Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), kinds)
 
 
+@prepared
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of all the documents, and their token counts (h, c)."""
     spark = docs.sparkSession
@@ -421,6 +423,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
 _SCORED = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
 
+@prepared
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """docs (doc_id, text, held_out) with token counts, base score and model score."""
     spark = docs.sparkSession

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_on_exit, record, scratch_path, table, texts, written
+from .common import delete_on_exit, prepared, record, scratch_path, table, texts, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -42,6 +42,7 @@ def line_hash(line: bytes, least: int = LEAST_CHARS) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
+@prepared
 def line_hashes(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """doc_id, text_hash (with doc_id: what row it is) and the hash of each of its distinct keys."""
 
@@ -122,6 +123,7 @@ class LineRuns:
         return self._summed(self.runs).where(F.col("docs") >= docs).drop("docs")
 
 
+@prepared
 def dropped_lines(docs: DataFrame, batches: int = 4, least: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc_id, text_hash and `gone`, the hashes of the keys that the row loses; rows that lose none are left out."""
     spark = docs.sparkSession
@@ -152,6 +154,7 @@ def _sets(batch: pa.RecordBatch) -> list[set[bytes]]:
     return [{np.array(x, "<i8").tobytes() for x in zip(a, b, strict=True)} if a else set() for a, b in zip(batch.column("_h1").to_pylist(), batch.column("_h2").to_pylist(), strict=True)]
 
 
+@prepared
 def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """docs with the text without its dropped lines; other columns unchanged. Rows without any dropped line are as they were."""
     joined = _joined(docs, least=least, least_docs=least_docs)

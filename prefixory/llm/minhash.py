@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record, table, texts, written
+from .common import prepared, record, table, texts, written
 from .shingles import mix, shingles
 
 K, BANDS, ROWS = 64, 16, 4
@@ -104,6 +104,7 @@ def band_keys(marks: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
 _BANDS = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
+@prepared
 def banded(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, node (a 128-bit hash of the text) and the keys of its bands."""
 
@@ -238,6 +239,7 @@ def _open_links(groups: DataFrame, labels: DataFrame, sets: DataFrame, threshold
     return cells.repartition(F.col("head"), F.col("i"), F.col("j")).sortWithinPartitions("head", "i", "j").mapInArrow(run, "a binary, b binary")
 
 
+@prepared
 def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node (of its text), label (of its class) and class_id of every row."""
     spark = docs.sparkSession
@@ -264,6 +266,7 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     return rows.select("doc_id", "node").join(by_node, "node")
 
 
+@prepared
 def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class: of its least doc_id (null only if all are null), of the least text hash among rows with that."""
     classes = near_classes(docs, words, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import record, table, written
+from .common import prepared, record, table, written
 
 BOOKS, WORDS, BEAM = 32, 256, 3
 SAMPLE, KEPT, TOP = 8192, 200, 10
@@ -112,6 +112,7 @@ def _vectors(column: pa.Array, d: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, d)
 
 
+@prepared
 def search(rows: DataFrame, every: int = 100, top: int = TOP, kept: int = KEPT) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest rows of each query (vec_id divisible by `every`) by Euclidean distance."""
     spark = rows.sparkSession

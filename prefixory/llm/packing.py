@@ -6,7 +6,8 @@ among those that satisfy every constraint, else to a new one. What a piece asks
 placement is worked out on the length histogram (at most `capacity` rows, whatever the corpus): equal sequences are one
 state with a count, and a whole run of equal pieces goes to a state at once. The result equals best-fit on the single
 pieces. Pieces then find their place by their rank among those of the same length, which is counted in salted buckets,
-so that a length that a third of all pieces share is spread over tasks.
+by a hash of the row's place in the written table, so that a length that a third of all pieces share, or very many copies
+of one row, are spread over tasks. Pieces of equal length are ranked by that place.
 
 Defined results: a null or empty text is the end id alone, one piece of length 1; a text of any length is cut only at
 `capacity`; repeated rows are packed each; null doc_ids are kept; an empty table gives no rows; other columns are not read.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Cache, record, table, texts, written
+from .common import Cache, prepared, record, table, texts, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -87,6 +88,7 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
+@prepared
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of each document: its ids and then end_id, cut into pieces of `capacity`."""
     end = np.array([end_id], "<u4").tobytes()
@@ -171,17 +173,18 @@ def place(histogram: dict[int, int], tokens: int, documents: int, attention: int
     return np.array(rows, np.int64).reshape(-1, 6), opened
 
 
+@prepared
 def pack(pieces: DataFrame, tokens: int = CAPACITY, documents: int = CAPACITY, attention: int = CAPACITY**2, weights=(1.0, 1.0, 1.0), rule: str = "norm", bucket_rows: int = 1 << 10) -> DataFrame:
     """pieces (as of `tokenised`) with sequence_id and offset, gapless from 0 in each sequence. No sequence exceeds any
     of the three capacities; by default only that of tokens can bind."""
     spark = pieces.sparkSession
-    pieces = written(spark, pieces, "pieces")
+    pieces = written(spark, pieces.select(*_PIECES.names, F.monotonically_increasing_id().alias("row")), "pieces")
     histogram = {r.length: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `tokens` rows
     plan, _ = place(histogram, tokens, documents, attention, weights, rule)
     # Common lengths are dealt to more buckets: one row for each length, at most `tokens` of them.
     shares = spark.createDataFrame([(n, c // bucket_rows + 1) for n, c in histogram.items()], "length long, buckets long")
-    salted = pieces.join(F.broadcast(shares), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets")))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    salted = pieces.join(F.broadcast(shares), "length").withColumn("bucket", F.pmod(F.xxhash64("row"), F.col("buckets")))
+    own = Window.partitionBy("length", "bucket").orderBy("row")
     ranked = salted.withColumn("rank", F.row_number().over(own).cast("long") - 1)
     if max(histogram.values(), default=0) >= bucket_rows:
         before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

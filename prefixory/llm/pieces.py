@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Cache, record, table, texts
+from .common import Cache, prepared, record, table, texts
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -297,6 +297,7 @@ def load(path: str):
 SPANS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 
 
+@prepared
 def encode_spans(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids (without begin and end), starts and ends (spans in the text's UTF-8 bytes) of each document."""
 
@@ -312,6 +313,7 @@ def encode_spans(docs: DataFrame, model_path: str) -> DataFrame:
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_bytes", pa.int64()), ("spans_sha256", pa.string())])
 
 
+@prepared
 def encode_digest(docs: DataFrame, model_path: str) -> DataFrame:
     """Digests of each document's ids (with begin and end), of its decoded text and of its spans."""
 

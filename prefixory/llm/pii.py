@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import record, table, texts, written
+from .common import prepared, record, table, texts, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -178,12 +180,16 @@ class SpanClassifier:
 
     def added(self, base: list[tuple[int, str, int]], found: list[tuple[int, str, int, int]]) -> list[tuple[int, str, int]]:
         """Base spans and the accepted candidates that overlap neither them nor each other (leftmost, then longest)."""
-        taken = sorted((a, b) for a, _, b in base)
-        out = list(base)
+        starts = sorted(a for a, _, _ in base)
+        ends = list(accumulate((b for _, _, b in sorted((a, k, b) for a, k, b in base)), max))  # of all that start so far
+        out, done = list(base), 0
         for a, k, b, pattern in sorted(found, key=lambda s: (s[0], -s[2], KINDS.index(s[1]))):
-            if pattern in self.accepted.get(k, ()) and not any(x < b and a < y for x, y in taken):
+            if a < done or pattern not in self.accepted.get(k, ()):
+                continue
+            before = bisect_left(starts, b)  # base spans that start before this one ends
+            if not before or ends[before - 1] <= a:
                 out.append((a, k, b))
-                taken.append((a, b))
+                done = b
         return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
@@ -200,6 +206,7 @@ def _unflat(base: list[int], found: list[int]):
     return [(base[i], KINDS[base[i + 1]], base[i + 2]) for i in range(0, len(base), 3)], [(found[i], KINDS[found[i + 1]], found[i + 2], found[i + 3]) for i in range(0, len(found), 4)]
 
 
+@prepared
 def found_in(docs: DataFrame) -> DataFrame:
     """doc_id, base and found, flat lists of the spans of the strict patterns and of the candidates."""
 
@@ -224,6 +231,7 @@ def fit(found: DataFrame) -> SpanClassifier:
 _SPANS = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
+@prepared
 def spans(docs: DataFrame) -> DataFrame:
     """Base counts, the digest of the base spans, and all spans of each document."""
     found = written(docs.sparkSession, found_in(docs), "pii")
@@ -239,6 +247,7 @@ def spans(docs: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
+@prepared
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; other columns are as they were."""
     classifier = fit(written(docs.sparkSession, found_in(docs), "pii"))

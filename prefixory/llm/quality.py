@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Cache, record, table, texts, written
+from .common import Cache, prepared, record, table, texts, written
 from .hashtable import HashTable
 from .shingles import mix
 
@@ -207,6 +207,7 @@ def trusted_ids(labels: DataFrame, held_out: bool) -> DataFrame:
     return judged.where("q = 1 and t = 0").where(half).select("doc_id")
 
 
+@prepared
 def train(docs: DataFrame, labels: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """docs: doc_id, text, lang."""
     spark = docs.sparkSession
@@ -294,6 +295,7 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_lang": F.coalesce("lang", F.lit(NO_LANGUAGE)), "_text": F.coalesce("text", F.lit(""))})
 
 
+@prepared
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK):
     """doc_id, lang, perplexity of every row (written), the model, and the threshold of each language."""
     model = train(docs, labels)
@@ -302,6 +304,7 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack
     return scores, model, {r["_lang"]: r["q"] * slack for r in ranked.collect()}  # one row for each language
 
 
+@prepared
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns."""
     _, model, limits = judged(docs, labels)

@@ -1,7 +1,7 @@
 """Operator 6: a uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
 For each partition the number of its rows that go to each shard is drawn exactly from the multivariate hypergeometric
-law on what the shards still take (one row of the matrix), so shard sizes differ by at most one row and every
+law on what the shards take (one row of the matrix, which its task draws by halving the range of partitions), so shard sizes differ by at most one row and every
 assignment of rows to shards is equally likely. A partition permutes its labels locally; rows are exchanged by shard and
 a bucket of a random key; within a bucket they are permuted again by that key, and buckets are laid end to end. Bucket
 sizes follow from the seeds alone, so they are counted without reading the data again.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import record, table
+from .common import prepared, record, table
 
 #: numpy draws from populations below this; larger ones are drawn from the mode outwards.
 NUMPY_LIMIT = 10**9
@@ -47,20 +47,25 @@ def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
     return int(mode - len(fall) + np.searchsorted(total, rng.random() * total[-1], "right"))
 
 
-def matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
-    """Rows: partitions, columns: shards. Row sums are counts, column sums are at most one apart."""
-    rng = np.random.Generator(np.random.PCG64([seed, 0]))
-    total = sum(counts)
+def matrix_row(sums: np.ndarray, part: int, shards: int, seed: int) -> np.ndarray:
+    """One partition's row of the matrix. sums: the running sums of the partitions' counts, from 0. All partitions share the
+    shards' sizes; the share of the left half of a range of partitions is drawn from what the range has, with a generator
+    that depends on the seed and the range alone, so any task finds the same numbers by halving from the top."""
+    low, high, total = 0, len(sums) - 1, int(sums[-1])
     left = [total // shards + (s < total % shards) for s in range(shards)]
-    out = np.zeros((len(counts), shards), np.int64)
-    for p, n in enumerate(counts):
-        rest = sum(left)
-        for s in range(shards):
-            rest -= left[s]
-            out[p, s] = k = draw(rng, left[s], rest, n)
-            n -= k
-            left[s] -= k
-    return out
+    while high - low > 1:
+        middle = (low + high) // 2
+        rng = np.random.Generator(np.random.PCG64([seed, 0, low, high]))
+        n, rest, half = int(sums[middle] - sums[low]), sum(left), []
+        for size in left:
+            rest -= size
+            half.append(draw(rng, size, rest, n))
+            n -= half[-1]
+        if part < middle:
+            left, high = half, middle
+        else:
+            left, low = [a - b for a, b in zip(left, half, strict=True)], middle
+    return np.array(left, np.int64)
 
 
 def labels(row: np.ndarray, part: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,22 +75,29 @@ def labels(row: np.ndarray, part: int, seed: int) -> tuple[np.ndarray, np.ndarra
     return shard, rng.integers(0, 1 << 62, len(shard))
 
 
+def _row(plan: tuple[np.ndarray, dict[int, int]], part: int, shards: int, seed: int) -> np.ndarray | None:
+    sums, at = plan
+    return matrix_row(sums, at[part], shards, seed) if part in at else None
+
+
+@prepared
 def shuffle_shards(df: DataFrame, shards: int = 16, seed: int = 1, bucket_rows: int = 1 << 16) -> DataFrame:
     """df with shard int and slot long (gapless from 0 in each shard), uniformly shuffled."""
     spark = df.sparkSession
     # One row for each partition of the input, never for its rows.
     counted = {r.p: r["n"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
     parts = sorted(counted)
-    drawn = dict(zip(parts, matrix([counted[p] for p in parts], shards, seed), strict=True))
+    sums = np.concatenate([[0], np.cumsum([counted[p] for p in parts], dtype=np.int64)])  # one number for each partition
+    at = {p: k for k, p in enumerate(parts)}
     bits = max(0, (sum(counted.values()) // shards // bucket_rows).bit_length())
-    plan = spark.sparkContext.broadcast(drawn)
+    plan = spark.sparkContext.broadcast((sums, at))
     hidden = T.StructType([T.StructField("_hg_shard", T.IntegerType()), T.StructField("_hg_key", T.LongType()), T.StructField("_hg_row", T.LongType())])
     names = [f"c{i}" for i in range(len(df.columns))]  # the input's names may repeat or clash
     plain = df.toDF(*names)
 
     def label(batches):
         part, at = TaskContext.get().partitionId(), 0
-        row = plan.value.get(part)
+        row = _row(plan.value, part, shards, seed)
         if row is not None:
             shard, key = labels(row, part, seed)
         for batch in batches:
@@ -103,7 +115,7 @@ def shuffle_shards(df: DataFrame, shards: int = 16, seed: int = 1, bucket_rows:
     def cells(batches):
         for batch in batches:
             for part in batch.column("part").to_pylist():
-                shard, key = labels(plan.value[part], part, seed)
+                shard, key = labels(_row(plan.value, part, shards, seed), part, seed)
                 cell, n = np.unique((shard.astype(np.int64) << 40) + (key >> (62 - bits)), return_counts=True)
                 yield record(cell_schema, shard=(cell >> 40).astype(np.int32), bucket=cell & ((1 << 40) - 1), n=n)
 

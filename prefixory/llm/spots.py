@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, record, table, written
+from .common import Cache, prepared, record, table, written
 from .shingles import mix
 
 #: Common words of the four languages of the corpus. Fixed values.
@@ -116,6 +116,7 @@ _OUT = pa.schema(
 )
 
 
+@prepared
 def compared(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likeness and that to the next document's."""
 
@@ -145,6 +146,7 @@ def _bucket(length, least: float):
     return F.floor(F.log(length.cast("double")) / F.lit(float(-np.log(least)))).cast("int")
 
 
+@prepared
 def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, likeness) of all pairs of different fingerprints with at least that likeness, and nothing else: a and b are
     `print_id`, a hash of the fingerprint. With `members` it gives the documents: equal fingerprints are not paired."""
@@ -170,6 +172,7 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
 _MEMBERS = pa.schema([("doc_id", pa.int64()), ("print_id", pa.int64()), ("sig", pa.list_(pa.int64()))])
 
 
+@prepared
 def members(docs: DataFrame) -> DataFrame:
     """doc_id, print_id and signatures of each document."""
 

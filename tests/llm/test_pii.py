@@ -87,6 +87,34 @@ def test_address_alone_reaches_the_classifier(make):
     assert all(found[2 * i] == found[2 * i + 1] and found[2 * i] for i in range(len(ALONE)))
 
 
+SPANS = st.lists(st.tuples(st.integers(0, 60), st.sampled_from(pii.KINDS), st.integers(1, 9)), max_size=14)
+
+
+@given(SPANS, SPANS)
+@settings(max_examples=400, deadline=None)
+def test_added_equals_the_plain_rule(base, found):
+    """Accepted candidates that overlap neither base spans nor each other, leftmost and longest first; against all pairs."""
+    base = [(a, k, a + n) for a, k, n in base]
+    found = [(a, k, a + n, 0) for a, k, n in found]
+    classifier = pii.SpanClassifier({})
+    classifier.accepted = {k: {0} for k in pii.KINDS[1:]}
+    taken, out = [(a, b) for a, _, b in base], list(base)
+    for a, k, b, _ in sorted(found, key=lambda s: (s[0], -s[2], pii.KINDS.index(s[1]))):
+        if k != "email" and not any(x < b and a < y for x, y in taken):
+            out.append((a, k, b))
+            taken.append((a, b))
+    assert classifier.added(base, found) == sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[1])))
+
+
+def test_many_spans_take_linear_time():
+    text = "a@b.cc x@y 1.2.3.4 (at) q (at) z " * 20_000
+    base = pii.base_spans(text)
+    found = pii.candidates(text, base)
+    classifier = pii.SpanClassifier({})
+    classifier.accepted = {k: {p for _, _, _, p in found} for k in pii.KINDS}
+    assert len(classifier.added(base, found)) >= 60_000
+
+
 def test_redaction(make):
     out = {r.doc_id: r for r in pii.redacted(make([*DOCS, (100, None), (101, ""), (102, "a@b.cc c@d.ee")], extra=True)).collect()}
     assert out[0].text == "reach me at <EMAIL> or <PHONE> today"

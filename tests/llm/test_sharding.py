@@ -7,11 +7,23 @@ from prefixory.llm import sharding
 
 
 def test_matrix_margins():
-    m = sharding.matrix([5, 0, 7, 100], 16, 3)
+    counts = [5, 0, 7, 100]
+    sums = np.cumsum([0, *counts])
+    m = np.stack([sharding.matrix_row(sums, p, 16, 3) for p in range(4)])
     assert m.sum(1).tolist() == [5, 0, 7, 100]
     assert m.sum(0).max() - m.sum(0).min() <= 1
 
 
+def test_rows_have_the_hypergeometric_law():
+    """Of 3 partitions, each cell has the mean and the variance of its marginal."""
+    sums = np.cumsum([0, 20, 30, 50])
+    got = np.array([[sharding.matrix_row(sums, p, 4, seed) for p in range(3)] for seed in range(3000)])
+    for p, n in enumerate((20, 30, 50)):
+        assert got[:, p].mean(0) == pytest.approx([n / 4] * 4, abs=0.2)
+        variance = n * 0.25 * 0.75 * (100 - n) / 99
+        assert got[:, p].var(0) == pytest.approx([variance] * 4, rel=0.12)
+
+
 def test_large_populations_have_the_same_law():
     rng = np.random.default_rng(1)
     got = np.array([sharding.draw(rng, 3 * 10**9, 7 * 10**9, 1000) for _ in range(4000)])
