@@ -16,7 +16,8 @@ lost, a bucket of copies costs one test a member, and pairs are never rows.
 
 Defined results: a null text is the empty text; texts without words are only equal to equal texts; repeated rows and
 equal texts are in one class; class_id is the class's least doc_id (null only if all are null); an empty table gives no
-rows; columns other than doc_id and text are not read by `near_classes` and are kept by `keep_one`.
+rows; a text of any length gives all its shingles; columns other than doc_id and text are not read by `near_classes` and are
+kept by `keep_one`, whatever they are called.
 """
 
 from __future__ import annotations
@@ -269,11 +270,15 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
 @prepared
 def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class: of its least doc_id (null only if all are null), of the least text hash among rows with that."""
-    classes = near_classes(docs, words, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stays = classes.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("kept")).select(F.col("kept.doc_id").alias("_id"), F.col("kept.node").alias("_node"))
-    node = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
-    kept = docs.withColumn("_own", node).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # the input may have any names
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    plain = docs.toDF(*names)
+    classes = near_classes(plain.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words, threshold)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("kept"))
+    stays = kept.select(F.col("kept.doc_id").alias("_id"), F.col("kept.node").alias("_node"))
+    own = plain.withColumn("_own", F.unhex(F.md5(F.coalesce(text, F.lit("")))))
+    rows = own.join(stays, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_node")), "left_semi")
+    return rows.dropDuplicates([doc_id, "_own"]).select(*names).toDF(*docs.columns)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

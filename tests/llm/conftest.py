@@ -10,7 +10,7 @@ def make(spark):
         rows = [(*r, "en")[:3] if len(r) < 3 else r for r in rows]
         df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("s")).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
         if extra:
-            for name in ("shard", "slot", "bucket", "rank", "h1", "h2", "node", "label", "key", "gone", "_ppl2", "c0", "batch", "length"):
+            for name in ("shard", "slot", "bucket", "rank", "h1", "h2", "node", "label", "key", "gone", "_ppl2", "c0", "batch", "length", "_id", "_node", "_own", "_h1", "_h2", "_row_hash", "_gone_id", "_lang", "_text", "_ppl", "judged", "row", "rid", "_hg_key"):
                 df = df.withColumn(name, F.lit("x"))
         return df
 

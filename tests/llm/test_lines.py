@@ -1,5 +1,7 @@
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from prefixory.llm import lines
 
 from ..oracle import differing
@@ -47,16 +49,27 @@ def test_hard_rows_and_brute_force(make, hard):
     assert lines.dedup_lines(make([])).count() == 0
 
 
-def test_runs_are_compacted_and_tell_new_keys(spark, make):
+def test_clashing_names(spark):
+    rows = [(i, f"{LONG}\nown {i}", "x", 1, "y", i) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _h1 string, _row_hash int, c0 string, _gone_id long").withColumn("_h2", F.lit(1)).withColumn("_gone_hash", F.lit("z"))
+    out = lines.dedup_lines(df)
+    assert out.columns == df.columns
+    assert sorted(tuple(r)[2:] for r in out.collect()) == sorted(tuple(r)[2:] for r in df.collect())
+    assert {r.doc_id: r.text for r in out.collect()} == {i: (f"{LONG}\n" if i == 7 else "") + f"own {i}" for i in range(8)}
+
+
+def test_runs_are_compacted_and_decide_what_repeats(spark, make):
     runs = lines.LineRuns(spark, fanout=2, buckets=3)
-    new = []
-    for b in range(4):
-        docs = make([(b * 10 + i, f"{LONG} {b if i else 'everywhere'} {i}") for i in range(4)])
-        new.append(runs.add(lines.line_hashes(docs).select("doc_id", "h1", "h2")))
-    assert new == [4, 3, 3, 3]
+    repeats = []
+    for b in range(4):  # by falling doc_id
+        docs = make([(90 - b * 10 - i, f"{LONG} {b if i else 'everywhere'} {i % 3}") for i in range(5)])
+        repeats.append(sorted(r.doc_id for r in runs.add(lines.line_hashes(docs)).collect()))
+    # In each batch lines 1 and 4 are equal; after the first, 'everywhere' is held by a larger doc_id too.
+    assert repeats == [[86], [76, 80], [66, 70], [56, 60]]
     assert [len(level) for level in runs.levels] == [0, 0, 1]
     assert runs.runs[0].files.count() == 13
-    hot = runs.frequent(4).collect()
-    assert [r.last for r in hot] == [30]
-    seen = lines.line_hashes(make([(99, f"{LONG} everywhere 0\n{LONG} never before")]))
+    assert runs.frequent(4).count() == 1
+    seen = lines.line_hashes(make([(9, f"{LONG} everywhere 0\n{LONG} never before")]))
     assert runs.unseen(seen).count() == 1
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
