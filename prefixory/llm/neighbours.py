@@ -1,17 +1,22 @@
 """Operator 4: approximate nearest neighbours by additive quantisation.
 
-A vector is approximated by the sum of one word from each of several full-dimensional codebooks. Codebooks are fitted by
-k-means on the residuals of a bounded sample (`SAMPLE` vectors, those of least hash); every vector is encoded by beam
-search over the codebooks and stored as its codes and the norm of its approximation. A query's distance to a code is
-|q|^2 - 2 * (sum of looked-up products of q with the words) + norm, so scoring needs one table a query. Codes and queries
-meet in blocks (blocks of queries by blocks of codes, each a row of packed bytes); of each meeting a query keeps its
-`KEPT` best, ties to the smaller vec_id; the best of all of these are ranked again by exact distance on the original
-vectors.
+A vector is its norm times a direction, and a direction is approximated by the sum of one word from each of several
+full-dimensional codebooks. Codebooks are fitted by k-means on the residuals of a bounded sample (`SAMPLE` vectors, those of
+least hash); every vector is encoded by beam search over the codebooks and stored as its codes, its norm and the squared norm
+of its approximated direction. With s a vector's norm, u the approximation and q a query, their squared distance is about
+|q|^2 - 2 s (sum of looked-up products of q with the words) + s^2 |u|^2, in double precision, so scoring needs one table a
+query, and vectors of any finite size are encoded equally well.
+
+Queries are a stated hundredth of the rows and meet all of them, in blocks: queries are cut into chunks of at most
+`CHUNK_BYTES`, each broadcast in blocks; codes come in blocks of packed rows, and a task keeps the `KEPT` best of each query
+over all its blocks, ties to the smaller vec_id. The best of all tasks are ranked again by exact distance on the original
+vectors. So a task sends a bounded number of rows for a query, whatever number of blocks it reads.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, neither do rows
 without vec_id; a query meets only vectors of its own dimension, the commonest of the sample (others take no part); rows of
 one vec_id are candidates each, but never of their own vec_id's query, and one of them (the least vector) is the query;
-with fewer than ten candidates all are returned; an empty table gives no rows; other columns are not read.
+equal distances are ranked by vec_id; with fewer than ten candidates all are returned; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +33,9 @@ from .common import prepared, record, table, written
 
 BOOKS, WORDS, BEAM = 32, 256, 3
 SAMPLE, KEPT, TOP = 8192, 200, 10
-CODE_BLOCK, QUERY_BLOCK = 16384, 256
-BROADCAST_QUERIES = 50_000
+CODE_BLOCK, QUERY_BLOCK = 8192, 256
+#: Of the queries' vectors that are broadcast at once, and the code blocks that a task reads in a row.
+CHUNK_BYTES, TASK_BLOCKS = 16 << 20, 64
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -83,8 +89,8 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & e.isNotNull() & fine & F.exists(e, lambda v: v != 0))
 
 
-_CODES = pa.schema([("vec_id", pa.int64()), ("code", pa.binary()), ("norm", pa.float32())])
-_CODE_BLOCK = pa.schema([("ids", pa.binary()), ("codes", pa.binary()), ("norms", pa.binary())])
+_CODES = pa.schema([("vec_id", pa.int64()), ("code", pa.binary()), ("size", pa.float64()), ("norm", pa.float32())])
+_CODE_BLOCK = pa.schema([("ids", pa.binary()), ("codes", pa.binary()), ("sizes", pa.binary()), ("norms", pa.binary())])
 _QUERY_BLOCK = pa.schema([("query_ids", pa.binary()), ("vectors", pa.binary())])
 #: Blocks in an Arrow batch.
 BATCH_BLOCKS = 8
@@ -109,7 +115,55 @@ def _blocks(batches, rows: int):
 
 
 def _vectors(column: pa.Array, d: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, d)
+    return np.asarray(column.flatten()).reshape(-1, d).astype(np.float64)
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Norms and unit vectors of rows that aren't zero."""
+    top = np.abs(x).max(1, keepdims=True)  # first, so that no square under- or overflows
+    size = np.sqrt(((x / top) ** 2).sum(1, keepdims=True))
+    return (top * size)[:, 0], (x / top / size).astype(np.float32)
+
+
+def _best(ids: np.ndarray, near: np.ndarray, kept: int) -> np.ndarray:
+    """Positions of the least, ties to the smaller id."""
+    if len(near) > kept:
+        at = np.flatnonzero(near <= np.partition(near, kept - 1)[kept - 1])  # with all ties
+        return at[np.lexsort((ids[at], near[at]))[:kept]]
+    return np.arange(len(near))
+
+
+class Nearest:
+    """The best of each query over the code blocks of one task."""
+
+    def __init__(self, books: np.ndarray, kept: int):
+        self.flat = books.reshape(-1, books.shape[2]).astype(np.float64)
+        self.step = np.arange(len(books), dtype=np.int64) * books.shape[1]
+        self.kept = kept
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, row: dict[str, bytes]) -> None:
+        ids, sizes, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.float64), np.frombuffer(row["norms"], np.float32)
+        words = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(self.step)) + self.step
+        own = sizes * sizes * norms
+        queries, vectors = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, self.flat.shape[1])
+        for q, v in zip(queries.tolist(), vectors, strict=True):
+            products = (self.flat @ v).take(words).sum(1)
+            near = own - 2 * sizes * products + v @ v
+            near[ids == q] = np.inf
+            if q in self.held:  # only what is better than the worst kept can come in
+                old_ids, old = self.held[q]
+                at = np.flatnonzero(near <= old.max()) if len(old) >= self.kept else np.flatnonzero(near < np.inf)
+                both_ids, both = np.concatenate([old_ids, ids[at]]), np.concatenate([old, near[at]])
+            else:
+                at = np.flatnonzero(near < np.inf)
+                both_ids, both = ids[at], near[at]
+            at = _best(both_ids, both, self.kept)
+            self.held[q] = both_ids[at], both[at]
+
+    def rows(self):
+        for q, (ids, near) in self.held.items():
+            yield record(_FOUND, query_id=np.full(len(ids), q), vec_id=ids, near=near)
 
 
 @prepared
@@ -122,67 +176,53 @@ def search(rows: DataFrame, every: int = 100, top: int = TOP, kept: int = KEPT)
     d = max(sizes, key=lambda k: (sizes[k], k), default=1)
     rows = rows.where(F.size("embedding") == d)
     learned = [v for v in sample if len(v) == d]
-    books = fit(np.array(learned, np.float32)) if learned else np.zeros((BOOKS, 1, d), np.float32)
+    books = fit(directions(np.array(learned, np.float64))[1]) if learned else np.zeros((BOOKS, 1, d), np.float32)
     shared = spark.sparkContext.broadcast(books)  # BOOKS * WORDS vectors
 
     def code(batches):
         for batch in batches:
             if batch.num_rows:
-                codes, norms = encode(_vectors(batch.column("embedding"), d), shared.value)
-                yield record(_CODES, vec_id=batch.column("vec_id"), code=[c.tobytes() for c in codes], norm=norms.astype(np.float32))
+                size, unit = directions(_vectors(batch.column("embedding"), d))
+                codes, norms = encode(unit, shared.value)
+                yield record(_CODES, vec_id=batch.column("vec_id"), code=[c.tobytes() for c in codes], size=size, norm=norms.astype(np.float32))
 
     def code_blocks(batches):
         for t in _blocks(batches, CODE_BLOCK):
-            yield record(_CODE_BLOCK, ids=[t["vec_id"].to_numpy().tobytes()], codes=[b"".join(t["code"].to_pylist())], norms=[t["norm"].to_numpy().tobytes()])
+            yield record(_CODE_BLOCK, ids=[t["vec_id"].to_numpy().tobytes()], codes=[b"".join(t["code"].to_pylist())], sizes=[t["size"].to_numpy().tobytes()], norms=[t["norm"].to_numpy().tobytes()])
 
     def query_blocks(batches):
         for t in _blocks(batches, QUERY_BLOCK):
-            vectors = _vectors(t["vector"].combine_chunks(), d).astype(np.float32)
-            yield record(_QUERY_BLOCK, query_ids=[t["query_id"].to_numpy().tobytes()], vectors=[vectors.tobytes()])
-
-    coded = written(spark, rows.mapInArrow(code, "vec_id long, code binary, norm float"), "codes")
-    asked = written(spark, rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("vector")), "queries")
-    n_queries = asked.count()
-    blocks = asked.repartition(n_queries // QUERY_BLOCK + 1).mapInArrow(query_blocks, "query_ids binary, vectors binary")
-    packed = coded.repartition(coded.count() // CODE_BLOCK + 1).mapInArrow(code_blocks, "ids binary, codes binary, norms binary")
+            yield record(_QUERY_BLOCK, query_ids=[t["query_id"].to_numpy().tobytes()], vectors=[_vectors(t["vector"].combine_chunks(), d).tobytes()])
 
     def meet(batches):
-        words = shared.value
-        flat = words.reshape(-1, d)
-        step = np.arange(len(words), dtype=np.int64) * words.shape[1]
+        nearest = Nearest(shared.value, kept)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"], np.float32)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(words)) + step
-                queries, vectors = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["vectors"], np.float32).reshape(-1, d)
-                tables = vectors @ flat.T
-                out = []
-                for q, products, v in zip(queries, tables, vectors, strict=True):
-                    near = norms - 2 * products[codes].sum(1) + v @ v
-                    near[ids == q] = np.inf
-                    if len(near) > kept:
-                        edge = np.partition(near, kept - 1)[kept - 1]
-                        at = np.flatnonzero(near <= edge)  # with all ties
-                    else:
-                        at = np.arange(len(near))
-                    at = at[np.isfinite(near[at])]
-                    at = at[np.lexsort((ids[at], near[at]))[:kept]]
-                    out.append((np.full(len(at), q), ids[at], near[at].astype(np.float64)))
-                yield record(_FOUND, **{n: np.concatenate(c) for n, c in zip(_FOUND.names, zip(*out, strict=True), strict=True)})
+                nearest.add(row)
+        yield from nearest.rows()
 
     def exact(batches):
         for batch in batches:
-            a, b = (_vectors(batch.column(c), d).astype(np.float64) for c in ("vector", "embedding"))
+            a, b = (_vectors(batch.column(c), d) for c in ("vector", "embedding"))
             yield record(_EXACT, query_id=batch.column("query_id"), vec_id=batch.column("vec_id"), score=np.sqrt(((a - b) ** 2).sum(1)))
 
-    # Queries are a stated hundredth of the rows and meet all of them; up to BROADCAST_QUERIES they are broadcast.
-    pairs = packed.crossJoin(F.broadcast(blocks) if n_queries <= BROADCAST_QUERIES else blocks)
+    coded = written(spark, rows.mapInArrow(code, "vec_id long, code binary, size double, norm float"), "codes")
+    asked = written(spark, rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("vector")), "queries")
+    n_blocks = coded.count() // CODE_BLOCK + 1
+    tasks = max(min(n_blocks, spark.sparkContext.defaultParallelism), n_blocks // TASK_BLOCKS)
+    packed = written(spark, coded.repartition(int(tasks)).mapInArrow(code_blocks, "ids binary, codes binary, sizes binary, norms binary"), "code-blocks")
+    chunks = asked.count() * d * 8 // CHUNK_BYTES + 1
     rows_a_batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_BLOCKS))
-    try:
-        found = written(spark, pairs.mapInArrow(meet, "query_id long, vec_id long, near double"), "found")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    found = None
+    for k in range(chunks):  # each chunk of queries meets all codes
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == k)
+        blocks = own.coalesce(1).mapInArrow(query_blocks, "query_ids binary, vectors binary")  # about CHUNK_BYTES
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_BLOCKS))
+        try:
+            more = written(spark, packed.crossJoin(F.broadcast(blocks)).mapInArrow(meet, "query_id long, vec_id long, near double"), "found")
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+        found = more if found is None else found.unionByName(more)
     by_near = Window.partitionBy("query_id").orderBy("near", "vec_id")
     best = found.groupBy("query_id", "vec_id").agg(F.min("near").alias("near")).withColumn("r", F.row_number().over(by_near)).where(F.col("r") <= kept).drop("r", "near")
     scored = best.join(asked, "query_id").join(rows, "vec_id").select("query_id", "vec_id", "vector", "embedding").mapInArrow(exact, "query_id long, vec_id long, score double")

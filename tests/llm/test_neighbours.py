@@ -49,6 +49,24 @@ def test_hard_rows(spark):
         assert [d for d, _ in found[q]] == pytest.approx([d for d, _ in exact[q]])
 
 
+@pytest.mark.parametrize("chunk", [1, 16 << 20])
+def test_vectors_of_all_sizes(spark, monkeypatch, chunk):
+    """Very long and very short vectors among others take part, and spoil nothing; queries in one chunk or many."""
+    monkeypatch.setattr(nb, "CHUNK_BYTES", chunk * 8 * 8 * 2 if chunk == 1 else chunk)
+    monkeypatch.setattr(nb, "CODE_BLOCK", 64)
+    r = np.random.default_rng(7)
+    rows = [(i, r.normal(size=8).astype(np.float32)) for i in range(300)]
+    rows += [(400 + i, (r.normal(size=8) * 1e20).astype(np.float32)) for i in range(3)]
+    rows += [(500 + i, (r.normal(size=8) * 1e-25).astype(np.float32)) for i in range(3)]
+    rows += [(600, np.full(8, 3e38, np.float32)), (700, np.full(8, 1e-44, np.float32))]
+    exact, found = brute(rows), got(nb.search(spark.createDataFrame([(i, v.tolist(), 1) for i, v in rows], SCHEMA)))
+    assert exact.keys() == found.keys()
+    for q in exact:
+        assert len(found[q]) == 10
+        assert len({i for _, i in found[q]} & {i for _, i in exact[q]}) >= 9
+        assert [d for d, _ in found[q]] == pytest.approx([d for d, _ in exact[q]], rel=0.2)
+
+
 def test_few_and_no_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 1), (1, [2.0, 2.0], 1), (1, [1.0, 2.5], 1)], SCHEMA)
     assert got(nb.search(df)) == {0: [(0.5, 1), (1.0, 1)]}
