@@ -2,8 +2,9 @@
 
 A text is normalised by longest-prefix matches in the model's compiled character map, each normalised character keeping
 the bytes of the source it came from; the pieces of the BPE segmentation are then projected to byte spans of the
-original text. Models with an identity map take a path that works word by word through a cache; it gives the same ids
-and spans (tests hold both against the library).
+original text. Both work word by word where the model allows it (no key of the map holds a space, and no piece holds one
+after other characters), and a word's ids and spans, relative to its first byte, are kept in a cache; else the text is one
+word. Everything is this module's own; the library's part is to decode, and to be compared with in the tests.
 
 Defined results: a null or empty text has no pieces, only the begin and end ids; texts of any length are encoded whole;
 repeated rows and null doc_ids give one row each; an empty table gives no rows; other columns of the input are not read.
@@ -21,10 +22,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Cache, prepared, record, table, texts
+from .common import prepared, record, table, texts
+from .hashtable import HashTable
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+NEVER = float("-inf")
+#: Chunks that a worker remembers.
+KNOWN = 300_000
+#: Segments of a normalised text; and the chunks of a text that begin at its spaces, or at its spaces and line ends.
+_SEGMENTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_CHUNKS = re.compile(f"[ {SPACE}]+[^ {SPACE}]*|[^ {SPACE}]+")
+_LINE_CHUNKS = re.compile(f"[ {SPACE}]+[^ {SPACE}\n]*|\n|[^ {SPACE}\n]+")
 
 
 def _fields(raw: bytes):
@@ -65,6 +74,27 @@ class CharMap:
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if size else []
         self.targets = blob[4 + size :]
 
+    def has_space(self) -> bool:
+        """Whether a key holds a space or its escape (followed from the root)."""
+        if not self.units:
+            return False
+        units, spaces = self.units, (b" ", SPACE.encode())
+        todo = [((units[0] >> 10) << ((units[0] & 512) >> 6), b"")]
+        met = set()
+        while todo:
+            node, key = todo.pop()
+            if node in met:
+                continue
+            met.add(node)
+            for c in range(1, 256):
+                child = node ^ c
+                if child < len(units) and units[child] & 0x800000FF == c:
+                    longer = key + bytes([c])
+                    if any(x in longer for x in spaces):
+                        return True
+                    todo.append((child ^ ((units[child] >> 10) << ((units[child] & 512) >> 6)), longer))
+        return False
+
     def longest(self, raw: bytes, at: int) -> tuple[int, str] | None:
         """Length of the longest key that raw has at this place, and its replacement."""
         units, found = self.units, None
@@ -125,19 +155,31 @@ class PieceModel:
             elif kind == BYTE and fallback:
                 self.byte_ids[int(piece[3:5], 16)] = i
         self.fallback, self.map = fallback, CharMap(blob)
-        #: Cuts that no merge can cross, read off the vocabulary.
-        self.cut_words = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.cut_lines = not any("\n" in p and len(p) > 1 for p in self.ids)
-        #: Bytes of the source that each id of a known piece or byte stands for, when spaces are single bytes.
-        self.widths = np.array([1 if kind == BYTE else len(p.replace(SPACE, " ").encode()) for p, kind in zip(names, kinds, strict=True)], "<u4")
-        self.library = None
-        self.words = Cache(self._word)
-        self.bare = Cache(self._packed)
+        #: Cuts that no match and no merge can cross, read off the map and the vocabulary.
+        self.cut_words = not self.collapse and not any(SPACE in p.lstrip(SPACE) for p in self.ids) and not self.map.has_space()
+        self.cut_lines = self.cut_words and not self.map.units and not any("\n" in p and len(p) > 1 for p in self.ids)
+        self._forget()
+        # Characters and what two neighbours make, by number: a piece's id, or one from n_ids on for a character that is none.
+        self.n_ids = len(names)
+        singles = {c: self.n_ids + k for k, c in enumerate(sorted({c for p in self.ids for c in p} - self.ids.keys()))}
+        self.char_ids = np.full(0x110000, self.n_ids + len(singles), np.int64)
+        for c, i in (*((p, i) for p, i in self.ids.items() if len(p) == 1), *singles.items()):
+            self.char_ids[ord(c)] = i
+        made = {}
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                left, right = (self.ids.get(x, singles.get(x)) for x in (p[:k], p[k:]))
+                if left is not None and right is not None:
+                    made[left << 32 | right] = i
+        self.pairs = HashTable(np.array(list(made), np.int64))
+        self.made = np.array([*made.values()], np.int64)
+        self.worth = np.array([self.scores[i] for i in made.values()], float)
 
     # --- normalisation with alignment
 
-    def normalised(self, text: str) -> tuple[str, list[int], list[int]]:
-        """The normalised text, and for each of its characters the span of source bytes that it stands for."""
+    def mapped(self, text: str) -> tuple[str, list[int], list[int]]:
+        """The text after the longest-prefix replacements, and for each of its characters the span of source bytes that it
+        stands for. Spaces are escaped, all of them kept."""
         raw = text.encode()
         chars: list[str] = []
         start: list[int] = []
@@ -155,6 +197,12 @@ class PieceModel:
                 start.append(at)
                 end.append(at + n)
             at += n
+        return "".join(chars), start, end
+
+    def normalised(self, text: str) -> tuple[str, list[int], list[int]]:
+        """mapped() with spaces collapsed and the dummy added, where the model has that."""
+        normal, start, end = self.mapped(text)
+        chars = list(normal)
         if self.collapse:
             keep, last = [], SPACE
             for i, c in enumerate(chars):
@@ -172,12 +220,50 @@ class PieceModel:
 
     # --- segmentation
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each pair of neighbours makes (-1: nothing) and its score."""
+        at = self.pairs.find((left.ravel() << 32 | right.ravel()).astype(np.int64)).astype(np.int64)
+        at[(left.ravel() < 0) | (right.ravel() < 0)] = -1
+        made = np.where(at >= 0, self.made[at], -1)
+        return made.reshape(left.shape), np.where(at >= 0, self.worth[at], NEVER).reshape(left.shape)
+
+    def _merged_all(self, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """BPE of many segments at once: in each round every segment joins the neighbours that form its best piece, the
+        leftmost first, until none has any. chars: their characters one after the other. Returns pieces and their numbers of
+        characters in rows padded with -1 and 0, and the numbers of pieces."""
+        n, width = len(sizes), int(sizes.max())
+        col = np.arange(width)
+        inside = col < sizes[:, None]
+        parts, lengths = np.full((n, width), -1, np.int64), inside.astype(np.int64)
+        parts[inside] = self.char_ids[chars]
+        if width == 1:
+            return parts, lengths, sizes.copy()
+        made, score = self._pairs(parts[:, :-1], parts[:, 1:])
+        live = np.arange(n)
+        while len(live):
+            k = score[live].argmax(1)
+            more = score[live, k] > NEVER
+            live, k = live[more], k[more]
+            at = np.arange(len(live))
+            p, w, m, s = parts[live], lengths[live], made[live], score[live]
+            p[at, k] = m[at, k]
+            w[at, k] += w[at, k + 1]
+            on = np.minimum(col + (col > k[:, None]), width - 1)
+            p, w = np.take_along_axis(p, on, 1), np.take_along_axis(w, on, 1)
+            p[:, -1], w[:, -1] = -1, 0
+            on = np.minimum(col[:-1] + (col[:-1] >= k[:, None]), width - 2)
+            m, s = np.take_along_axis(m, on, 1), np.take_along_axis(s, on, 1)
+            m[:, -1], s[:, -1] = -1, NEVER
+            for j in (k - 1, k):  # the pairs of the new piece
+                fits = np.flatnonzero((j >= 0) & (j < width - 1))
+                m[fits, j[fits]], s[fits, j[fits]] = self._pairs(p[fits, j[fits]], p[fits, j[fits] + 1])
+            parts[live], lengths[live], made[live], score[live] = p, w, m, s
+        return parts, lengths, (lengths > 0).sum(1)
+
     def merged(self, segment: str) -> list[str]:
-        """BPE: again and again the neighbours that form the best piece are joined, the leftmost first."""
+        """BPE of one segment, by a heap of pairs."""
         parts: list[str | None] = list(segment)
         n = len(parts)
-        if n == 1:
-            return [segment]
         ids, scores = self.ids, self.scores
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list[tuple[float, int, int, str]] = []
@@ -204,63 +290,11 @@ class PieceModel:
                 offer(before[left], left)
         return [p for p in parts if p is not None]
 
-    def _packed(self, segment: str) -> tuple[bytes, bytes]:
-        """Ids of a segment and their lengths in bytes of the source, as arrays of 32-bit integers in bytes."""
-        ids: list[int] = []
-        lengths: list[int] = []
-        for p in self.merged(segment):
-            if (i := self.ids.get(p)) is not None:
-                ids.append(i)
-                lengths.append(len(p.replace(SPACE, " ").encode()))
-            elif self.fallback:
-                for b in p.encode():
-                    ids.append(self.byte_ids[b])
-                    lengths.append(1)
-            else:
-                ids.append(self.unknown)
-                lengths.append(len(p.encode()))
-        return np.array(ids, "<u4").tobytes(), np.array(lengths, "<u4").tobytes()
-
-    def _word(self, word: str) -> tuple[bytes, bytes]:
-        """A word after a space. The library's dummy prefix is that space, so it encodes the segment as it stands."""
-        if self.library is None or not self.fallback:
-            return self._packed(SPACE + word)
-        ids = np.array(self.library.encode(word), "<u4")
-        return ids.tobytes(), self.widths[ids].tobytes()
-
     def _segments(self, text: str) -> list[str]:
-        return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text) if self.cut_words else [text] * bool(text)
+        return _SEGMENTS.findall(text) if self.cut_words else [text] * bool(text)
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids without begin and end, and for each the start and end of its span in the text's UTF-8 bytes."""
-        if self.map.units or self.collapse or not self.dummy or SPACE in text:
-            return self._encode_aligned(text)
-        if not text:
-            return np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
-        found: list[tuple[bytes, bytes]] = []
-        for k, line in enumerate(text.split("\n") if self.cut_lines else [text]):
-            if k:
-                found.append(self.bare["\n"])
-            if "  " in line or line[-1:] == " " or not self.cut_words:
-                found += [self._packed(s) for s in self._segments((SPACE if k == 0 else "") + line.replace(" ", SPACE))]
-                continue
-            first, *rest = line.split(" ")
-            if k == 0:
-                found += [self.words[first]] if first else self._lead(rest)
-            elif first:
-                found.append(self.bare[first])
-            found += map(self.words.__getitem__, rest if k or first else rest[1:])
-        ids = np.frombuffer(b"".join([a for a, _ in found]), "<u4")
-        ends = np.cumsum(np.frombuffer(b"".join([b for _, b in found]), "<u4").astype(np.int64)) - 1  # the dummy has none
-        starts = np.concatenate([[0], ends[:-1]])
-        return ids, starts, ends
-
-    def _lead(self, rest: list[str]) -> list[tuple[bytes, bytes]]:
-        """The first segment of a line that begins with a space, or of an empty line: the dummy and that space stand together."""
-        return [self._packed(SPACE * 2 + rest[0])] if rest else [self._packed(SPACE)]
-
-    def _encode_aligned(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        normal, start, end = self.normalised(text)
+    def _aligned(self, normal: str, start: list[int], end: list[int]) -> tuple[list[int], list[int], list[int]]:
+        """Ids of a normalised text, each with the source span of its piece."""
         ids: list[int] = []
         starts: list[int] = []
         ends: list[int] = []
@@ -269,16 +303,127 @@ class PieceModel:
             for p in self.merged(segment):
                 to = at + len(p)
                 if (i := self.ids.get(p)) is not None:
-                    own = [i]
-                elif self.fallback:
-                    own = [self.byte_ids[b] for b in p.encode()]
+                    ids.append(i)
+                    starts.append(start[at])
+                    ends.append(end[to - 1])
                 else:
-                    own = [self.unknown]
-                ids += own
-                starts += [start[at]] * len(own)
-                ends += [end[to - 1]] * len(own)
+                    own = [self.byte_ids[b] for b in p.encode()] if self.fallback else [self.unknown]
+                    ids += own
+                    starts += [start[at]] * len(own)
+                    ends += [end[to - 1]] * len(own)
                 at = to
-        return np.array(ids, "<u4"), np.array(starts, np.int64), np.array(ends, np.int64)
+        return ids, starts, ends
+
+    def _learn(self, chunks: list) -> None:
+        """Ids and spans of chunks that aren't known. A tuple holds the first chunk of a text, which has the dummy in front:
+        a space that no byte of the source stands for."""
+        plain = [c[0] if type(c) is tuple else c for c in chunks]
+        first = np.array([type(c) is tuple and self.dummy for c in chunks])
+        if self.map.units:
+            mapped = [self.mapped(c) for c in plain]
+            normal = [SPACE * f + x for f, (x, _, _) in zip(first.tolist(), mapped, strict=True)]
+            start = np.array([x for f, (_, y, _) in zip(first.tolist(), mapped, strict=True) for x in ([0] * f + y)], np.int64)
+            end = np.array([x for f, (_, _, y) in zip(first.tolist(), mapped, strict=True) for x in ([0] * f + y)], np.int64)
+            sizes = np.array([len(x) for x in normal])
+            chars = np.frombuffer("".join(normal).encode("utf-32-le"), "<u4")
+        else:  # no prefix has a replacement: each character stands for itself
+            sizes = np.array([len(c) for c in plain]) + first
+            chars = np.frombuffer("".join([SPACE * f + c for f, c in zip(first.tolist(), plain, strict=True)]).encode("utf-32-le"), "<u4").copy()
+            wide = 1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000)
+            heads = np.cumsum(sizes) - sizes
+            wide[heads[first]] = 0
+            total = np.cumsum(wide)
+            end = total - np.repeat(total[heads] - wide[heads], sizes)
+            start = end - wide
+            chars[chars == 32] = ord(SPACE)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        bytes_ = np.array([len(c.encode()) for c in plain])
+        # One segment each that is short and made of known pieces; others take the plain way, one by one.
+        odd = (sizes > 24) | (sizes == 0)
+        if self.map.units:
+            odd |= np.array([len(self._segments(x)) != 1 for x in normal])
+        todo = np.flatnonzero(~odd)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(todo):
+            mine = np.repeat(~odd, sizes)
+            parts, lengths, n = self._merged_all(chars[mine], sizes[todo])
+            inside = np.arange(parts.shape[1]) < n[:, None]
+            ids, to = parts[inside], np.cumsum(lengths[inside])
+            starts, ends = start[mine][to - lengths[inside]], end[mine][to - 1]
+            cut = np.cumsum(n)
+            odd[todo[np.add.reduceat(ids >= self.n_ids, cut - n) > 0]] = True
+            fine = ~odd[todo]
+            keep = np.repeat(fine, n)
+            self._keep([chunks[i] for i in todo[fine]], n[fine], bytes_[todo[fine]], ids[keep], starts[keep], ends[keep])
+        for i in np.flatnonzero(odd).tolist():
+            a, b = offsets[i], offsets[i + 1]
+            text = chars[a:b].tobytes().decode("utf-32-le")
+            found.append(tuple(np.array(x, np.int64) for x in self._aligned(text, start[a:b].tolist(), end[a:b].tolist())))
+        if found:
+            self._keep([chunks[i] for i in np.flatnonzero(odd)], np.array([len(x) for x, _, _ in found]), bytes_[odd], *(np.concatenate(c) for c in zip(*found, strict=True)))
+
+    def _keep(self, chunks: list, n: np.ndarray, sizes: np.ndarray, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        at = len(self.known)
+        self.known.update(zip(chunks, range(at, at + len(chunks)), strict=True))
+        base = self.held["ids"].n
+        self.held["from"].extend(base + np.cumsum(n) - n)
+        self.held["n"].extend(n)
+        self.held["size"].extend(sizes)
+        for name, values in (("ids", ids), ("starts", starts), ("ends", ends)):
+            self.held[name].extend(values)
+
+    def _forget(self) -> None:
+        self.known: dict = {}
+        self.held = {name: Column() for name in ("from", "n", "size", "ids", "starts", "ends")}
+
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text the ids without begin and end, and for each id the start and end of its span in the UTF-8 bytes."""
+        if not self.cut_words:
+            whole = [self._aligned(*self.normalised(t)) for t in texts]
+            return [(np.array(i, "<u4"), np.array(a, np.int64), np.array(b, np.int64)) for i, a, b in whole]
+        if len(self.known) > KNOWN or self.held["ids"].n > 16 * KNOWN:
+            self._forget()
+        cut = (_LINE_CHUNKS if self.cut_lines else _CHUNKS).findall
+        chunks: list = []
+        sizes = []
+        for text in texts:
+            own = cut(text)
+            if own:
+                own[0] = (own[0],)
+            chunks += own
+            sizes.append(len(own))
+        if new := list(set(chunks).difference(self.known)):
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        n, size = self.held["n"].take(at), self.held["size"].take(at)
+        total, reach = np.cumsum(np.append(0, n)), np.cumsum(np.append(0, size))
+        bounds = np.cumsum([0, *sizes])  # of the texts, in chunks
+        row = np.arange(total[-1]) + np.repeat(self.held["from"].take(at) - total[:-1], n)
+        offset = np.repeat(reach[:-1] - np.repeat(reach[bounds[:-1]], sizes), n)
+        ids, starts, ends = self.held["ids"].take(row).astype("<u4"), self.held["starts"].take(row) + offset, self.held["ends"].take(row) + offset
+        cuts = total[bounds].tolist()
+        return [(ids[a:b], starts[a:b], ends[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.encode_all([text])[0]
+
+
+class Column:
+    """A growing array of integers."""
+
+    def __init__(self):
+        self.values, self.n = np.empty(1024, np.int64), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.values):
+            grown = np.empty(2 * (self.n + len(more)), np.int64)
+            grown[: self.n] = self.values[: self.n]
+            self.values = grown
+        self.values[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        return self.values.take(at)
 
 
 @lru_cache(maxsize=2)
@@ -288,10 +433,7 @@ def load(path: str):
 
     with open(path, "rb") as f:
         raw = f.read()
-    model, library = PieceModel(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
-    if not model.map.units and not model.collapse and model.dummy:
-        model.library = library
-    return model, library
+    return PieceModel(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
 
 
 SPANS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
@@ -304,7 +446,7 @@ def encode_spans(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches):
         model, _ = load(model_path)
         for batch in batches:
-            found = [model.encode(t) for t in texts(batch)]
+            found = model.encode_all(texts(batch))
             yield record(SPANS, doc_id=batch.column("doc_id"), ids=[x[0].tolist() for x in found], starts=[x[1].tolist() for x in found], ends=[x[2].tolist() for x in found])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<long>, starts array<long>, ends array<long>")
@@ -322,8 +464,7 @@ def encode_digest(docs: DataFrame, model_path: str) -> DataFrame:
         head, tail = (np.array([x], "<u4").tobytes() for x in (model.bos, model.eos))
         for batch in batches:
             n, shas, decoded, sizes, spans = [], [], [], [], []
-            for text in texts(batch):
-                ids, starts, ends = model.encode(text)
+            for ids, starts, ends in model.encode_all(texts(batch)):
                 n.append(len(ids) + 2)
                 shas.append(hashlib.sha256(head + ids.tobytes() + tail).hexdigest())
                 decoded.append(hashlib.sha256(library.decode([model.bos, *ids.tolist(), model.eos]).encode()).hexdigest())

@@ -17,7 +17,8 @@ TEXTS = ["", " ", "  ", "\n", "\n\n", " a", "a ", "a  b", "  a\n  b \n", "\na",
 def equal(model, library, text):
     ids, starts, ends = model.encode(text)
     assert ids.tolist() == library.encode(text)
-    assert model._encode_aligned(text)[0].tolist() == ids.tolist()
+    whole_text = model._aligned(*model.normalised(text))  # in one go, without chunks
+    assert [list(map(int, x)) for x in (ids, starts, ends)] == [list(x) for x in whole_text]
     whole = [(p.begin, p.end) for p in library.encode(text, return_type="proto").pieces if not p.piece.startswith("<0x")]
     assert [(int(a), int(b)) for i, a, b in zip(ids.tolist(), starts, ends, strict=True) if not library.is_byte(i)] == whole
     if len(ends):
@@ -30,6 +31,23 @@ def test_equals_the_library(text):
     equal(*pieces.load(PATH), text)
 
 
+@given(st.lists(st.text(st.sampled_from("▁thernigaoblsé日😀0"), min_size=1, max_size=24), min_size=1, max_size=30))
+@settings(max_examples=150, deadline=None)
+def test_both_ways_to_merge_are_one(segments):
+    model, _ = pieces.load(PATH)
+    chars = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4")
+    parts, lengths, n = model._merged_all(chars, np.array([len(t) for t in segments]))
+    for t, w, k in zip(segments, lengths.tolist(), n.tolist(), strict=True):
+        assert [len(p) for p in model.merged(t)] == w[:k]
+
+
+def test_keys_with_spaces_are_seen():
+    assert not pieces.CharMap(double_array({"ﬁ": "fi", "AB": "x y"})).has_space()
+    assert pieces.CharMap(double_array({"ﬁ": "fi", "A B": "x"})).has_space()
+    assert pieces.CharMap(double_array({"▁": " "})).has_space()
+    assert not pieces.CharMap(b"").has_space()
+
+
 @given(st.text(st.sampled_from("ab ▁\né😀 "), max_size=30))
 @settings(max_examples=150, deadline=None)
 def test_any_text(text):
@@ -42,13 +60,14 @@ def double_array(entries):
     for source, target in sorted(entries.items()):
         at[source.encode()] = len(blob)
         blob += target.encode() + b"\0"
-    units, used = [0] * 65536, {0}
+    units, used, bases = [0] * 65536, {0}, set()
 
     def build(prefix, node):
         keys = sorted({k[len(prefix)] for k in at if k.startswith(prefix) and len(k) > len(prefix)})
         leaf = prefix in at
         need = [0] * leaf + keys
-        base = next(b for b in range(256, 65000, 256) if all((b ^ c) not in used for c in need) and node ^ b not in used)
+        base = next(b for b in range(256, 65000, 256) if all((b ^ c) not in used for c in need) and node ^ b not in used and b not in bases)
+        bases.add(base)  # each node has its own, so no transition leads to another's child
         offset = base ^ node
         units[node] |= offset << 10 | leaf << 8
         for c in need:
