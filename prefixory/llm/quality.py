@@ -1,20 +1,21 @@
 """Operator 3: a quality classifier by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model of each language is trained on trusted text: half of the documents labelled good and not toxic, at most `PER_LANGUAGE` of a
-language (those of least hash; the bound of the sample). Symbols are the words that the sample has at least `LEAST`
-times; other words are their shape (kinds of letters, digits, signs), so text of unusual make is improbable. Trigrams are
-counted in Spark; continuation counts, the discounts for counts of one, two and more, and the interpolated
-probabilities are then worked out in one table (key, probability, back-off weight).
+The model of each language is trained on trusted text: half of the documents labelled good and not toxic, at most
+`PER_LANGUAGE` of a language (those of least hash; the bound of the sample). Symbols are the words that the sample has at
+least `LEAST` times; other words are their shape (kinds of letters, digits, signs), so text of unusual make is improbable.
+Trigrams, continuation counts, the discounts for counts of one, two and more, and the interpolated probabilities are all
+worked out in Spark, by aggregates and joins on hashed keys, to one table (key, probability, back-off weight).
 
 The table is sharded by the hash of the key. Scoring joins the n-grams of each document with the shards: through hash
-tables broadcast to the workers while the table is within `BROADCAST_BYTES` (by its row count; the sample bounds it), else
-by a shuffle join on the key. A document's perplexity is taken at the lower end of its sampling error (`DOUBT`), which
-matters for short ones. A document is rejected if its perplexity exceeds its language's threshold: the `QUANTILE`
-of the trusted documents of that language that are held out (half of them, none trained on) times `SLACK`.
-
-Defined results: a null or empty text has the end symbol alone and is kept; a language (null is one) without trusted
-documents has no model, perplexity null, and its documents are kept (as are those of one without held-out ones); several labels of a document count as the worst;
-repeated rows are judged each; an empty table gives no rows; `filtered` keeps all columns.
+tables broadcast to the workers while the table is within `BROADCAST_BYTES` (its rows are counted first; the sample bounds
+them), else by a shuffle join on the key. A document is rejected if its perplexity exceeds its language's threshold: the
+`QUANTILE` of the trusted documents of that language that are held out (half of them, none trained on).
+
+Defined results: a null or empty text has the end symbol alone and is kept, as it has no word to judge; a text of any length
+is judged whole; a language (null is one) without trusted documents has no model, perplexity null, and its documents are kept
+(as are those of one without held-out ones); several labels of a document count as the worst; documents of equal hash are
+sampled by doc_id; a perplexity equal to the threshold is kept; repeated rows are judged each; an empty table gives no rows;
+`filtered` keeps all columns, whatever they are called; `judged` reads doc_id, lang and text alone.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ import re
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +35,10 @@ from .common import Cache, prepared, record, table, texts, written
 from .hashtable import HashTable
 from .shingles import mix
 
-PER_LANGUAGE, LEAST, SHARDS = 400, 3, 8
+PER_LANGUAGE, LEAST, SHARDS = 800, 3, 8
 #: Of a row of the model's table, and of a table that is broadcast.
 ROW_BYTES, BROADCAST_BYTES = 16, 64 << 20
-QUANTILE, SLACK = 0.99, 1.5
-#: A mean of n log probabilities may be off by about this over the root of n; short documents get the benefit of it.
-DOUBT = 1.0
+QUANTILE = 0.99
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 START, END = np.uint64(1), np.uint64(2)
 NO_LANGUAGE = ""
@@ -90,39 +88,37 @@ def _keys(language: str, symbols: list[np.ndarray]) -> dict[str, np.ndarray]:
         return {"k3": mix(two(p2, p1) * GOLD + w + np.uint64(3)), "k2": k2, "k1": one(w), "c2": two(p2, p1), "c1": one(p1)}
 
 
-def kneser_ney(grams: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """One language's table from its trigrams (k3, k2, k1, c2, c1, n): keys, probabilities as n-grams, back-off weights as
-    contexts; and the probability of a symbol that was never seen."""
-
-    def level(keys: np.ndarray, contexts: np.ndarray, counts: np.ndarray):
-        """Discounted shares of the counts in their contexts, and the contexts' weights for what lies below."""
-        of = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
-        y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
-        d = np.array([0.0] + [min(max((i + 1) - (i + 2) * y * of[i + 1] / of[i], 0.05), i + 0.95) if of[i] else 0.5 * (i + 1) for i in range(3)])
-        context, at = np.unique(contexts, return_inverse=True)
-        total = np.bincount(at, counts)
-        cut = d[np.minimum(counts, 3).astype(int)]
-        return (counts - cut) / total[at], context, np.bincount(at, cut) / total
-
-    zero = np.zeros(len(grams), np.uint64)
-    k3, k2, k1, c2, c1 = (grams[c].to_numpy(np.int64).view(np.uint64) for c in ("k3", "k2", "k1", "c2", "c1"))
-    p3, ctx2, g2 = level(k3, c2, grams["n"].to_numpy(float))
-    b2, first, n2 = np.unique(k2, return_index=True, return_counts=True)
-    p2, ctx1, g1 = level(b2, c1[first], n2.astype(float))
-    b1, first1, n1 = np.unique(k1[first], return_index=True, return_counts=True)
-    p1, _, g0 = level(b1, zero[: len(b1)], n1.astype(float))
-    unseen = float(g0[0]) / (len(b1) + 1)
-    p1 = p1 + unseen
-    at1 = np.searchsorted(b1, k1[first])
-    p2 = p2 + g1[np.searchsorted(ctx1, c1[first])] * p1[at1]
-    p3 = p3 + g2[np.searchsorted(ctx2, c2)] * p2[np.searchsorted(b2, k2)]
-    keys = np.unique(np.concatenate([k3, b2, b1, ctx2, ctx1]))
-    p, g = np.full(len(keys), np.nan), np.ones(len(keys))
-    for k, v in ((k3, p3), (b2, p2), (b1, p1)):
-        p[np.searchsorted(keys, k)] = v
-    for k, v in ((ctx2, g2), (ctx1, g1)):
-        g[np.searchsorted(keys, k)] = v
-    return keys, p, g, unseen
+def _level(grams: DataFrame, context: str, count: str) -> tuple[DataFrame, DataFrame]:
+    """One level of the model from n-grams with their counts: the n-grams with `share`, their discounted share of their
+    context, and the contexts (lang, context, g) with the weight of what lies below. The discounts of a language are one row."""
+    n = F.col(count)
+    of = [F.count_if(n == i).cast("double") for i in (1, 2, 3, 4)]
+    y = F.when(of[0] > 0, of[0] / (of[0] + 2 * of[1])).otherwise(0.5)
+    cut = [F.when(of[i] > 0, F.least(F.greatest((i + 1) - (i + 2) * y * of[i + 1] / F.greatest(of[i], F.lit(1.0)), F.lit(0.05)), F.lit(i + 0.95))).otherwise(0.5 * (i + 1)) for i in range(3)]
+    discounts = grams.groupBy("lang").agg(*(c.alias(f"d{i + 1}") for i, c in enumerate(cut)))
+    cut_of = grams.join(F.broadcast(discounts), "lang").withColumn("cut", F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))).drop("d1", "d2", "d3")
+    contexts = cut_of.groupBy("lang", context).agg(F.sum(n).alias("all"), (F.sum("cut") / F.sum(n)).alias("g"))
+    shares = cut_of.join(contexts.drop("g"), ["lang", context]).withColumn("share", (n - F.col("cut")) / F.col("all")).drop("cut", "all")
+    return shares, contexts.drop("all")
+
+
+def kneser_ney(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From the trigrams (lang, k3, k2, k1, c2, c1, n): the table (key, p, g) of probabilities of n-grams (null for keys that
+    are contexts alone) and back-off weights of contexts (1 for others), and for each language the probability of a symbol
+    that was never seen (lang, unseen)."""
+    three, context2 = _level(grams, "c2", "n")
+    two, context1 = _level(grams.groupBy("lang", "k2", "k1", "c1").agg(F.count("*").alias("n")), "c1", "n")
+    one, root = _level(two.groupBy("lang", "k1").agg(F.count("*").alias("n")).withColumn("c0", F.lit(0)), "c0", "n")
+    types = one.groupBy("lang").agg(F.count("*").alias("types"))
+    unseen = root.join(types, "lang").select("lang", (F.col("g") / (F.col("types") + 1)).alias("unseen"))
+    p1 = one.join(F.broadcast(unseen), "lang").select("lang", "k1", (F.col("share") + F.col("unseen")).alias("p1"))  # one row a language
+    p2 = two.join(context1, ["lang", "c1"]).join(p1, ["lang", "k1"]).select("lang", "k2", (F.col("share") + F.col("g") * F.col("p1")).alias("p2"))
+    p3 = three.join(context2, ["lang", "c2"]).join(p2, ["lang", "k2"]).select("k3", (F.col("share") + F.col("g") * F.col("p2")).alias("p"))
+    none = F.lit(None).cast("double")
+    rows = p3.select(F.col("k3").alias("key"), "p", none.alias("g"))
+    rows = rows.union(p2.select("k2", "p2", none)).union(p1.select("k1", "p1", none))
+    rows = rows.union(context2.select("c2", none, "g")).union(context1.select("c1", none, "g"))
+    return rows.groupBy("key").agg(F.max("p").alias("p"), F.coalesce(F.max("g"), F.lit(1.0)).alias("g")), unseen
 
 
 class Shards:
@@ -147,21 +143,21 @@ class Shards:
 
 
 class Model:
-    def __init__(self, known: dict[str, frozenset[int]], unseen: dict[str, float], table: pd.DataFrame):
-        self.known, self.unseen, self.table = known, unseen, table
+    """known: the words of each language; unseen: the probability of a symbol never seen; table: (key, p, g), written, of
+    `size` rows; columns: its three columns where they are within bounds."""
+
+    def __init__(self, known: dict[str, frozenset[int]], unseen: dict[str, float], table: DataFrame | None = None, size: int = 0, columns: list[np.ndarray] | None = None):
+        self.known, self.unseen, self.table, self.size, self.columns = known, unseen, table, size, columns
         self.shards: Shards | None = None
         self.symbols: dict[str, Symbols] = {}
 
     def __getstate__(self):
-        """What is broadcast: the table's columns while they are within bounds. Workers build the shards."""
-        fits = self.table is not None and len(self.table) * ROW_BYTES <= BROADCAST_BYTES
-        columns = [self.table[c].to_numpy() for c in ("key", "p", "g")] if fits else None
-        return {"known": self.known, "unseen": self.unseen, "columns": columns, "table": None, "shards": None, "symbols": {}}
+        """What is broadcast: words and columns. Workers build the shards."""
+        return {"known": self.known, "unseen": self.unseen, "columns": self.columns, "table": None, "size": self.size, "shards": None, "symbols": {}}
 
     def ready(self) -> Shards:
         if self.shards is None:
-            columns = self.columns if self.table is None else [self.table[c].to_numpy() for c in ("key", "p", "g")]
-            self.shards = Shards(*columns)
+            self.shards = Shards(*self.columns)
         return self.shards
 
     def of(self, language: str, text: str) -> np.ndarray:
@@ -185,7 +181,7 @@ class Model:
                 at = np.repeat(np.arange(len(part)), [len(s) for s in symbols])
                 sums = np.bincount(at, np.log(p), len(part))
                 for i, s, total in zip(part, symbols, sums.tolist(), strict=True):
-                    out[i] = math.exp(-total / len(s) - DOUBT / math.sqrt(len(s)))
+                    out[i] = math.exp(-total / len(s))
         return out
 
     def _lower(self, k: dict[str, np.ndarray], at: np.ndarray, unseen: float):
@@ -226,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, per_language: int = PER_LANGUAGE)
     for r in common:
         known.setdefault(r.lang, set()).add(_hash("w" + r.w))
     languages = [r.lang for r in sample.select("lang").distinct().collect()]
-    model = Model({x: frozenset(known.get(x, ())) for x in languages}, {}, pd.DataFrame({"key": np.empty(0, np.uint64), "p": [], "g": []}))
+    model = Model({x: frozenset(known.get(x, ())) for x in languages}, {})
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -237,14 +233,13 @@ def train(docs: DataFrame, labels: DataFrame, per_language: int = PER_LANGUAGE)
                 yield record(_GRAMS, lang=[language] * len(k["k3"]), **{n: v.view(np.int64) for n, v in k.items()})
 
     grams = sample.mapInArrow(run, "lang string, k3 long, k2 long, k1 long, c2 long, c1 long").groupBy("lang", "k3", "k2", "k1", "c2", "c1").agg(F.count("*").alias("n"))
-    grams = written(spark, grams, "grams")
-    parts = []
-    for language in languages:  # one language's trigrams of the bounded sample at a time
-        own = grams.where(F.col("lang") == language).drop("lang").toArrow().to_pandas()
-        keys, p, g, model.unseen[language] = kneser_ney(own)
-        parts.append(pd.DataFrame({"key": keys, "p": p.astype(np.float32), "g": g.astype(np.float32)}))
-    if parts:
-        model.table = pd.concat(parts, ignore_index=True).drop_duplicates("key")
+    rows, unseen = kneser_ney(written(spark, grams, "grams"))
+    model.table = written(spark, rows, "model")
+    model.unseen = {r.lang: r.unseen for r in unseen.collect()}  # one row for each language
+    model.size = model.table.count()
+    if model.size * ROW_BYTES <= BROADCAST_BYTES:
+        found = model.table.select("key", F.col("p").cast("float").alias("p"), F.col("g").cast("float").alias("g")).toArrow()  # within bounds
+        model.columns = [found["key"].to_numpy().view(np.uint64), found["p"].to_numpy(), found["g"].to_numpy()]  # p is nan where null
     return model
 
 
@@ -254,8 +249,7 @@ _NGRAMS = pa.schema([("rid", pa.int64()), *((c, pa.int64()) for c in ("k3", "k2"
 def perplexity_by_join(docs: DataFrame, model: Model) -> DataFrame:
     """rid, perplexity by joining each n-gram with the model's table by a shuffle: for tables too large to broadcast."""
     spark = docs.sparkSession
-    rows = spark.createDataFrame(pd.DataFrame({"key": model.table["key"].to_numpy(np.uint64).view(np.int64), "p": model.table["p"].astype(float), "g": model.table["g"].astype(float)})).withColumn("p", F.nanvl("p", F.lit(None).cast("double")))
-    small = Model(model.known, model.unseen, model.table[:0])
+    rows, small = model.table, Model(model.known, model.unseen)
     shared = spark.sparkContext.broadcast(small)
 
     def run(batches):
@@ -270,13 +264,13 @@ def perplexity_by_join(docs: DataFrame, model: Model) -> DataFrame:
     for c, value in (("k3", "p"), ("k2", "p"), ("k1", "p"), ("c2", "g"), ("c1", "g")):
         grams = grams.join(rows.select(F.col("key").alias(c), F.col(value).alias("v" + c)), c, "left")
     low = F.coalesce("vk2", F.coalesce("vc1", F.lit(1.0)) * F.coalesce("vk1", "unseen"))
-    return grams.withColumn("p", F.coalesce("vk3", F.coalesce("vc2", F.lit(1.0)) * low)).groupBy("rid").agg(F.exp(-F.avg(F.log("p")) - F.lit(DOUBT) / F.sqrt(F.count("*").cast("double"))).alias("perplexity"))
+    return grams.withColumn("p", F.coalesce("vk3", F.coalesce("vc2", F.lit(1.0)) * low)).groupBy("rid").agg(F.exp(-F.avg(F.log("p"))).alias("perplexity"))
 
 
 def _with_perplexity(docs: DataFrame, model: Model, names: list[str]) -> DataFrame:
     """The named columns and _ppl, null without a model. docs has _lang and _text."""
     spark = docs.sparkSession
-    if len(model.table) * ROW_BYTES > BROADCAST_BYTES:
+    if model.columns is None:
         numbered = written(spark, docs.withColumn("rid", F.monotonically_increasing_id()), "numbered")
         found = perplexity_by_join(numbered.select("rid", F.col("_text").alias("text"), F.col("_lang").alias("lang")), model)
         return numbered.join(found.withColumnRenamed("perplexity", "_ppl"), "rid", "left").select(*names, "_ppl")
@@ -296,12 +290,12 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 
 @prepared
-def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK):
+def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE):
     """doc_id, lang, perplexity of every row (written), the model, and the threshold of each language."""
     model = train(docs, labels)
     scores = written(docs.sparkSession, _with_perplexity(_prepared(docs.select("doc_id", "lang", "text")), model, ["doc_id", "_lang"]), "perplexity")
     ranked = scores.join(trusted_ids(labels, True), "doc_id").where("_ppl is not null").groupBy("_lang").agg(F.percentile_approx("_ppl", F.lit(quantile), F.lit(10000)).alias("q"))
-    return scores, model, {r["_lang"]: r["q"] * slack for r in ranked.collect()}  # one row for each language
+    return scores, model, {r["_lang"]: r["q"] for r in ranked.collect()}  # one row for each language
 
 
 @prepared
