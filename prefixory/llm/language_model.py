@@ -4,14 +4,15 @@ The softmax over tokens is factored into classes of classes: the most frequent t
 are cut into at most `WIDE` groups of equal mass, each group again, and so on, so a token is a path of softmaxes whose
 length follows its surprise. Every softmax on the path, down to the token, has the same features of the history: its bias,
 the last token (bigram), the last two together (trigram), the last but one (skip), and the last very frequent token however
-far back (a long skip). A feature and the softmax's node are hashed together to a row of `WIDE` weights; in histories a word of the tail stands for all of its kind. The tail is one
-more softmax over `WIDE` kinds of words (a hash of a word's end), within which a token has its add-one share of the counts;
-one unseen token counts for each kind. So the probabilities of all tokens sum to one.
+far back (a long skip). A feature and the softmax's node are hashed together to a row of `WIDE` weights; in histories a word of the
+tail stands for all of its kind. The tail is one more softmax over `WIDE` kinds of words (a hash of a word's end), within
+which a token has its add-one share of the counts; one unseen token counts for each kind. So the probabilities of all tokens
+sum to one.
 
 Training: counts of all tokens are summed in Spark; they make the paths and the biases that training starts from. Weights
 are then trained by gradient updates: in each round workers run minibatch Adagrad over their share of the training
 documents (each document once over all rounds) from the same weights, and a row's changes are averaged over workers by the
-squared gradients that each of them saw in that row. Head, hashed rows and workers grow with the tokens; the dictionary,
+squared gradients that each of them saw in that row (sent in half precision). Head, hashed rows and workers grow with the tokens; the dictionary,
 the head and the rows have bounds (`DICTIONARY`, `MOST_HEAD`, `MOST_ROWS`), as they are broadcast.
 
 Counts: those of the most frequent tokens, `DICTIONARY` at most, are broadcast; the others are joined by hash, so every
@@ -49,7 +50,8 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 KIND = np.uint64(WIDE - 1)
 DOCS = 100
 FLUSH = 300_000
-SUM_BLOCKS = 16
+#: Blocks of rows, and workers whose blocks are summed at once.
+SUM_BLOCKS, SUMMED = 16, 16
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -330,27 +332,29 @@ _BLOCK = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("at", pa.binar
 
 
 def _changes(start: np.ndarray, weights: np.ndarray, seen: np.ndarray, salt: int):
-    """The changed rows in blocks (row, mass, mass times change), so that no task sums the whole of them."""
+    """The changed rows in blocks (row, mass, change in half precision), so that no task sums the whole of them."""
     for b, at in enumerate(np.array_split(np.arange(len(seen)), SUM_BLOCKS)):
         at = at[seen[at] > 0]
-        change = (weights[at] - start[at]) * seen[at, None]
-        yield record(_BLOCK, block=[b], salt=[salt % 64], at=[at.astype(np.int32).tobytes()], mass=[seen[at].tobytes()], change=[change.astype(np.float32).tobytes()])
+        yield record(_BLOCK, block=[b], salt=[salt], at=[at.astype(np.int32).tobytes()], mass=[seen[at].tobytes()], change=[(weights[at] - start[at]).astype(np.float16).tobytes()])
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    """Sums of the blocks over workers, in two levels."""
+def _summed(rows: DataFrame, levels: int) -> DataFrame:
+    """The blocks' changes averaged by mass over workers, by salts first if there are many workers."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [(np.frombuffer(a, np.int32), np.frombuffer(m, np.float32), np.frombuffer(c, np.float32).reshape(-1, WIDE)) for a, m, c in zip(frame["at"], frame["mass"], frame["change"], strict=True)]
+        parts = [(np.frombuffer(a, np.int32), np.frombuffer(m, np.float32), np.frombuffer(c, np.float16).reshape(-1, WIDE)) for a, m, c in zip(frame["at"], frame["mass"], frame["change"], strict=True)]
         at = np.unique(np.concatenate([a for a, _, _ in parts]))
         mass, change = np.zeros(len(at)), np.zeros((len(at), WIDE))
         for a, m, c in parts:  # rows of one part are distinct
             k = np.searchsorted(at, a)
             mass[k] += m
-            change[k] += c
-        return pd.DataFrame({"block": frame["block"][:1], "salt": [0], "at": [at.tobytes()], "mass": [mass.astype(np.float32).tobytes()], "change": [change.astype(np.float32).tobytes()]})
+            change[k] += c * m[:, None]
+        change /= mass[:, None]
+        return pd.DataFrame({"block": frame["block"][:1], "salt": [0], "at": [at.tobytes()], "mass": [mass.astype(np.float32).tobytes()], "change": [change.astype(np.float16).tobytes()]})
 
-    return rows.groupBy("block", "salt").applyInPandas(add, _SUMS).groupBy("block").applyInPandas(add, _SUMS)
+    if levels > 1:
+        rows = rows.groupBy("block", "salt").applyInPandas(add, _SUMS)
+    return rows.groupBy("block").applyInPandas(add, _SUMS)
 
 
 class Model:
@@ -400,7 +404,8 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     counts = written(spark, token_counts(docs), "token-counts")
     vocabulary = vocabulary_of(counts)
     weights = np.concatenate([vocabulary.biases(), np.zeros((vocabulary.rows, WIDE), np.float32)])
-    workers = max(LEAST_WORKERS, vocabulary.total // WORKER_TOKENS)
+    workers = int(max(LEAST_WORKERS, vocabulary.total // ROUNDS // WORKER_TOKENS))
+    salts = -(-workers // SUMMED)
     shared = spark.sparkContext.broadcast(vocabulary)  # at most DICTIONARY tokens
     for k in range(ROUNDS):
         start = spark.sparkContext.broadcast(weights)  # at most MOST_ROWS rows and those of the head
@@ -410,13 +415,12 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
 
             w, seen = _trained(batches, shared.value, start.value)
             if seen.any():
-                yield from _changes(start.value, w, seen, TaskContext.get().partitionId())
+                yield from _changes(start.value, w, seen, TaskContext.get().partitionId() % salts)
 
-        share = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k).select("text").coalesce(int(workers))
+        share = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k).select("text").coalesce(workers)
         weights = weights.copy()
-        for r in _summed(share.mapInArrow(run, _SUMS)).collect():  # the size of the model
-            at, mass = np.frombuffer(r.at, np.int32), np.frombuffer(r.mass, np.float32)
-            weights[at] += np.frombuffer(r.change, np.float32).reshape(-1, WIDE) / mass[:, None]
+        for r in _summed(share.mapInArrow(run, _SUMS), 1 + (salts > 1)).collect():  # the size of the model
+            weights[np.frombuffer(r.at, np.int32)] += np.frombuffer(r.change, np.float16).reshape(-1, WIDE)
     return Model(vocabulary, weights), counts
 
 
