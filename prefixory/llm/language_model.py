@@ -44,8 +44,8 @@ DICTIONARY = 1 << 20
 TOKENS_A_HEAD, MOST_HEAD = 512, 1 << 16
 TOKENS_A_ROW, LEAST_ROWS, MOST_ROWS = 16, 1 << 14, 1 << 19
 WORKER_TOKENS, LEAST_WORKERS, ROUNDS, BATCH = 4_000_000, 6, 2, 16384
-#: Of biases, of neighbouring tokens and of the long skip.
-RATES = (0.3, 0.8, 0.8)
+#: Of biases, of bigrams and trigrams, of the skip and of the long skip.
+RATES = (0.3, 0.8, 0.8, 0.8)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 KIND = np.uint64(WIDE - 1)
 DOCS = 100
@@ -209,7 +209,7 @@ class Vocabulary:
         """kinds: (tokens, types) of all training tokens by kind."""
         order = np.lexsort((hashes, -counts))
         hashes, self.counts = hashes[order], counts[order]
-        self.table = HashTable(hashes)
+        self.hashes, self.table = hashes, HashTable(hashes)
         self.total, self.types = (int(x) for x in kinds.sum(0))
         self.head = min(max(self.total // TOKENS_A_HEAD, 1024), MOST_HEAD, len(hashes))
         self.rows = min(max(1 << (self.total // TOKENS_A_ROW).bit_length(), LEAST_ROWS), MOST_ROWS)
@@ -224,6 +224,14 @@ class Vocabulary:
         self.tail_node = len(masses)
         self.log_tail = np.log10(self.tail.sum(1) + 1)
 
+    def __getstate__(self):
+        """What is broadcast: workers build the hash table anew."""
+        return {**self.__dict__, "table": None}
+
+    def __setstate__(self, state: dict):
+        self.__dict__ |= state
+        self.table = HashTable(self.hashes)
+
     def biases(self) -> np.ndarray:
         """The log shares of the counts; a slot without tokens has no probability."""
         own = self.masses / self.masses.sum(1, keepdims=True)
@@ -266,45 +274,69 @@ class Vocabulary:
 _ONES = np.ones(WIDE, np.float32)
 
 
-def _shares(weights: np.ndarray, rows: list[np.ndarray], s: slice) -> np.ndarray:
-    """The softmaxes' probabilities."""
-    z = weights.take(rows[0][s], 0)
-    for r in rows[1:]:
-        z += weights.take(r[s], 0)
-    np.minimum(z, 60, out=z)  # a bias is at most 0
+def _shares(features: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The softmaxes' probabilities from each feature's weights and rows, but for a factor for each (its inverse is the
+    second result)."""
+    (weights, rows), *others = features
+    z = weights.take(rows, 0)
+    for weights, rows in others:
+        z += weights.take(rows, 0)
+    if z.size and z.max() > 60:  # far from what training makes
+        np.minimum(z, 60, out=z)
     np.exp(z, out=z)
-    z /= (z @ _ONES)[:, None]
-    return z
-
-
-def _step(weights: np.ndarray, seen: np.ndarray, at: np.ndarray, sums: np.ndarray, rate: float) -> None:
-    """Adagrad with a rate for each row."""
-    more = seen.take(at) + np.einsum("ij,ij->i", sums, sums)
-    seen[at] = more
-    weights[at] += sums * (np.float32(rate) / np.sqrt(more + np.float32(1e-2)))[:, None]
-
-
-def _last(keys: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.append(keys[1:] != keys[:-1], True))
-
-
-def _differences(running: np.ndarray) -> np.ndarray:
-    running[1:] -= running[:-1].copy()
-    return running
-
-
-def _update(weights: np.ndarray, seen: np.ndarray, outer: np.ndarray, inner: np.ndarray | None, gradient: np.ndarray, rate: float) -> None:
-    """A step on the sums of a feature's gradients, and on those of a feature that refines it, which need no sort of their
-    own (a row of the latter that two rows of the former share in one minibatch takes the step of one of them)."""
-    order = np.argsort(outer if inner is None else outer << 32 | inner)
-    first = outer.take(order)
-    running = np.cumsum(gradient.take(order, 0).view(np.complex64), 0)  # two sums at once
-    last = _last(first)
-    _step(weights, seen, first.take(last), _differences(running.take(last, 0).view(np.float32)), rate)
-    if inner is not None:
-        second = inner.take(order)
-        last = np.flatnonzero(np.append((second[1:] != second[:-1]) | (first[1:] != first[:-1]), True))
-        _step(weights, seen, second.take(last), _differences(running.take(last, 0).view(np.float32)), rate)
+    return z, z @ _ONES
+
+
+def _sorting(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The order that sorts non-negative keys of so many bits, by 16 at a time."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")  # numpy sorts these by radix
+    for k in range(16, bits, 16):
+        order = order.take(np.argsort((keys >> k & 0xFFFF).astype(np.uint16).take(order), kind="stable"))
+    return order
+
+
+class Distinct:
+    """The distinct rows of weights that one feature touches in a minibatch, read once and in order."""
+
+    def __init__(self, weights: np.ndarray, order: np.ndarray, rows: np.ndarray, outer: np.ndarray | None = None):
+        """rows are sorted by order (within outer ones: a row that two of those share is read for each)."""
+        own = rows.take(order)
+        change = own[1:] != own[:-1]
+        if outer is not None:
+            change |= outer[1:] != outer[:-1]
+        self.sorted, self.last = own, np.flatnonzero(np.append(change, True))
+        self.at = own.take(self.last)
+        self.values = weights.take(self.at, 0)
+        self.of = np.empty(len(rows), np.int64)  # which of them each place has
+        self.of[order] = np.cumsum(np.append(0, change))
+
+    def step(self, weights: np.ndarray, seen: np.ndarray, running: np.ndarray, rate: float) -> None:
+        """Adagrad on the rows' sums of gradients, with a rate for each row. running: the running sums in order."""
+        sums = running.take(self.last, 0).view(np.float32)
+        sums[1:] -= sums[:-1].copy()
+        more = seen.take(self.at) + np.einsum("ij,ij->i", sums, sums)
+        seen[self.at] = more
+        sums *= (np.float32(rate) / np.sqrt(more + np.float32(1e-2)))[:, None]
+        sums += self.values
+        weights[self.at] = sums
+
+
+def _minibatch(weights: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], slot: np.ndarray) -> None:
+    """One update. Trigram rows refine bigram rows and need no sort of their own (a row that two bigram rows share in one
+    minibatch takes the step of one of them)."""
+    bias, bigram, trigram, skip, anchor = rows
+    bits = len(weights).bit_length()
+    orders = [_sorting(bias, bits), _sorting(bigram << bits | trigram, 2 * bits), _sorting(skip, bits), _sorting(anchor, bits)]
+    features = [Distinct(weights, o, r) for o, r in zip(orders, (bias, bigram, skip, anchor), strict=True)]
+    finer = Distinct(weights, orders[1], trigram, features[1].sorted)
+    g, total = _shares([(f.values, f.of) for f in (*features, finer)])
+    g *= (-1 / total)[:, None]
+    g[np.arange(len(g)), slot] += 1
+    for k, (order, f) in enumerate(zip(orders, features, strict=True)):
+        running = np.cumsum(g.take(order, 0).view(np.complex64), 0)  # two sums at once
+        f.step(weights, seen, running, RATES[k])
+        if k == 1:
+            finer.step(weights, seen, running, RATES[k])
 
 
 def _trained(batches, vocabulary: Vocabulary, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,14 +348,7 @@ def _trained(batches, vocabulary: Vocabulary, weights: np.ndarray) -> tuple[np.n
             _, _, pos, slot, rows = vocabulary.steps(*_batch_tokens(all_texts[i : i + DOCS]))
             for a in range(0, len(pos), BATCH):
                 s = slice(a, a + BATCH)
-                g = _shares(weights, rows, s)
-                np.negative(g, out=g)
-                g[np.arange(len(g)), slot[s]] += 1
-                bias, bigram, trigram, skip, anchor = (r[s] for r in rows)
-                _update(weights, seen, bias, None, g, RATES[0])
-                _update(weights, seen, bigram, trigram, g, RATES[1])
-                _update(weights, seen, skip, None, g, RATES[1])
-                _update(weights, seen, anchor, None, g, RATES[2])
+                _minibatch(weights, seen, [r[s] for r in rows], slot[s])
     return weights, seen
 
 
@@ -360,6 +385,7 @@ def _summed(rows: DataFrame, levels: int) -> DataFrame:
 class Model:
     def __init__(self, vocabulary: Vocabulary, weights: np.ndarray):
         self.vocabulary, self.weights = vocabulary, weights
+        self.shared = None  # the vocabulary as it was broadcast
 
     def score(self, h: np.ndarray, sizes: np.ndarray):
         """For each text: known tokens, sums of log10 for base and model without the tokens outside the dictionary's own
@@ -370,8 +396,8 @@ class Model:
         scored = np.zeros(len(sizes))
         for a in range(0, len(pos), BATCH):
             s = slice(a, a + BATCH)
-            p = _shares(self.weights, rows, s)
-            p = p[np.arange(len(p)), slot[s]].astype(np.float64)
+            p, total = _shares([(self.weights, r[s]) for r in rows])
+            p = p[np.arange(len(p)), slot[s]].astype(np.float64) / total
             scored += np.bincount(at.take(pos[s]), np.log10(np.maximum(p, 1e-300)), len(sizes))
         known = row >= 0
         plus = np.log10(np.where(known, v.counts[np.where(known, row, 0)] if len(v.counts) else 0, 0) + 1.0)
@@ -408,20 +434,27 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     salts = -(-workers // SUMMED)
     shared = spark.sparkContext.broadcast(vocabulary)  # at most DICTIONARY tokens
     for k in range(ROUNDS):
-        start = spark.sparkContext.broadcast(weights)  # at most MOST_ROWS rows and those of the head
+        used = np.flatnonzero(weights.any(1))
+        sent = spark.sparkContext.broadcast((len(weights), used, weights[used]))  # at most MOST_ROWS rows and those of the head
 
-        def run(batches, start=start):
+        def run(batches, sent=sent):
             from pyspark import TaskContext
 
-            w, seen = _trained(batches, shared.value, start.value)
+            size, at, values = sent.value
+            start = np.zeros((size, WIDE), np.float32)
+            start[at] = values
+            w, seen = _trained(batches, shared.value, start)
             if seen.any():
-                yield from _changes(start.value, w, seen, TaskContext.get().partitionId() % salts)
+                yield from _changes(start, w, seen, TaskContext.get().partitionId() % salts)
 
         share = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k).select("text").coalesce(workers)
         weights = weights.copy()
         for r in _summed(share.mapInArrow(run, _SUMS), 1 + (salts > 1)).collect():  # the size of the model
             weights[np.frombuffer(r.at, np.int32)] += np.frombuffer(r.change, np.float16).reshape(-1, WIDE)
-    return Model(vocabulary, weights), counts
+        sent.destroy()
+    model = Model(vocabulary, weights)
+    model.shared = shared
+    return model, counts
 
 
 _SCORED = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.int64()))])
@@ -431,16 +464,18 @@ _SCORED = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", p
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """docs (doc_id, text, held_out) with token counts, base score and model score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # dictionary and weights, both of bounded size
     v = model.vocabulary
+    shared = model.shared or spark.sparkContext.broadcast(v)
+    weights = spark.sparkContext.broadcast(model.weights)  # of bounded size, as the vocabulary is
 
     def run(batches):
+        own = Model(shared.value, weights.value)
         for batch in batches:
             all_texts = texts(batch)
             for i in range(0, len(all_texts), DOCS):
                 part = batch.slice(i, DOCS)
                 h, sizes = _batch_tokens(all_texts[i : i + DOCS])
-                known, base, scored, rare, each = shared.value.score(h, sizes)
+                known, base, scored, rare, each = own.score(h, sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(rare))
                 yield record(_SCORED, rid=part.column("rid"), doc_id=part.column("doc_id"), held_out=part.column("held_out"), n_tokens=sizes, n_known=known, base=base, model=scored, rare=lists)
 
