@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schemas import SEARCH_BODY
+
 #: White space of Unicode and the four information separators.
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 TOKEN = "^[a-z0-9]*[a-z][a-z0-9]*$"
@@ -68,3 +70,8 @@ def highlight(text: Column, prefix: Column) -> Column:
 def bar_width(count: Column, largest: Column) -> Column:
     """0 to 100 on a logarithmic scale."""
     return F.round(F.log(count + 1.0) / F.log(F.greatest(largest, F.lit(1)) + 1.0) * 100).cast("int")
+
+
+def search_query(body: Column) -> Column:
+    """The normalised query of a search request's JSON body; '' where the body is no such object."""
+    return normalize(F.from_json(body, SEARCH_BODY).getField("query"))

@@ -68,12 +68,21 @@ def index_stats(counts: DataFrame) -> DataFrame:
     return queries.agg(F.count("*").alias("queries")).crossJoin(nodes)  # one row each
 
 
+def asked_topk(requests: DataFrame, counts: DataFrame, k: int = Settings.trie_node_capacity) -> DataFrame:
+    """The index's rows of the asked prefixes alone, without an index: exploded prefixes meet the requests before they are
+    ranked."""
+    asked = requests.select(normalize(F.col("prefix")).alias("prefix")).where("prefix <> ''").distinct()
+    exploded = counts.where(F.length("query") > 0).select(F.explode(prefixes(F.col("query"))).alias("prefix"), "query", "count")
+    return top_per_prefix(exploded.join(asked, "prefix", "left_semi"), k)
+
+
 def updated(index: DataFrame, changed: DataFrame, k: int = Settings.trie_node_capacity) -> DataFrame:
     """The index after counts grew. changed: query and its new count, which is not below the old one; then the new top of
-    a touched prefix is within its old top and the changed queries, so nothing else is read."""
-    changed = changed.where(F.length("query") > 0)
-    rows = changed.select(F.explode(F.concat(F.array(F.lit("")), prefixes(F.col("query")))).alias("prefix"), "query", "count")
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy(*by_popularity()))).where(F.col("rank") <= k).drop("rank")
-    touched = changed.select(F.explode(F.concat(F.array(F.lit("")), prefixes(F.col("query")))).alias("prefix")).distinct()
-    old = index.join(touched, "prefix", "left_semi").join(changed.select("query"), "query", "left_anti").select("prefix", "query", "count")
-    return index.join(touched, "prefix", "left_anti").select("prefix", "rank", "query", "count").unionByName(top_per_prefix(old.unionByName(rows), k))
+    a touched prefix is within its old top and the changed queries, so nothing else is read. The root is a distributed top-k."""
+    changed = changed.where(F.length("query") > 0).select("query", "count")
+    rows = changed.select(F.explode(prefixes(F.col("query"))).alias("prefix"), "query", "count")
+    old = index.join(changed.select("query"), "query", "left_anti").select("prefix", "query", "count")
+    root = global_top(old.where("prefix = ''").select("query", "count").unionByName(changed.orderBy(*by_popularity()).limit(k)), k)
+    below, touched = index.where("prefix <> ''"), rows.select("prefix").distinct()
+    kept = below.join(touched, "prefix", "left_anti").select("prefix", "rank", "query", "count")
+    return root.unionByName(kept).unionByName(top_per_prefix(old.where("prefix <> ''").join(touched, "prefix", "left_semi").unionByName(rows), k))

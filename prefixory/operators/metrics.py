@@ -29,14 +29,17 @@ def requests_by_mode(rows: DataFrame) -> DataFrame:
     return rows.groupBy("mode").agg(F.count("*").alias("requests"))
 
 
-def benchmark_summary(requests: int, hits: int, seconds: float, searches: int, upserts: int) -> dict[str, float]:
-    """Throughput, hit rate, writes avoided and write reduction."""
-    return {
-        "throughput": round(requests / seconds, 2) if seconds else 0.0,
-        "hit_rate": round(hits / requests, 4) if requests else 0.0,
-        "writes_avoided_pct": round(100 * (1 - upserts / searches), 2) if searches else 0.0,
-        "reduction": round(searches / upserts, 2) if upserts else 0.0,
-    }
+def benchmark_summary(rows: DataFrame, *keys: str, requests: str, hits: str, seconds: str, searches: str, upserts: str) -> DataFrame:
+    """Throughput, hit rate, writes avoided and write reduction of each row of sums; 0 where there is nothing to divide by."""
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    n, u = F.col(searches).cast("double"), F.col(upserts).cast("double")
+    return rows.select(
+        *keys,
+        F.round(ratio(F.col(requests).cast("double"), F.col(seconds)), 2).alias("throughput"),
+        F.round(ratio(F.col(hits).cast("double"), F.col(requests)), 4).alias("hit_rate"),
+        F.round(ratio(100 * (n - u), n), 2).alias("writes_avoided_pct"),
+        F.round(ratio(n, u), 2).alias("reduction"),
+    )
 
 
 def newest_per(rows: DataFrame, key: str, order: str) -> DataFrame:

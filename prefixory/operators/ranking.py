@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import normalize
 from ..settings import Settings
-from .index import candidates, checked
+from ..sources.scratch import written
+from .index import asked_topk, candidates, checked
 from .recency import by_prefix
 
 
-def pool(requests: DataFrame, index: DataFrame, scores: DataFrame, counts: DataFrame) -> DataFrame:
-    """prefix, query, count, recency: the basic pool and the trending queries that are not in it."""
-    basic = candidates(requests, index).select("prefix", "query", "count")
+def pool(basic: DataFrame, asked: DataFrame, scores: DataFrame, counts: DataFrame) -> DataFrame:
+    """prefix, query, count, recency: the basic pool (prefix, query, count) and the trending queries of the asked prefixes
+    (normalised) that are not in it."""
     with_score = basic.join(scores.select("query", "score"), "query", "left").select("prefix", "query", "count", F.coalesce("score", F.lit(0.0)).alias("recency"))
-    asked = basic.select("prefix").distinct().unionByName(requests.select("prefix").where("prefix <> ''").distinct()).distinct()
     more = by_prefix(scores, asked).join(basic.select("prefix", "query"), ["prefix", "query"], "left_anti")
     more = more.join(counts.select("query", "count"), "query", "left").select("prefix", "query", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"), F.col("score").alias("recency"))
     return with_score.unionByName(more)
@@ -37,5 +38,10 @@ def blend(pools: DataFrame, history_weight: float = Settings.history_weight, rec
     return ranked.select("prefix", "rank", "query", "count", F.round("score", 6).alias("score"), F.round("recency", 4).alias("recency"))
 
 
-def suggest_trending(requests: DataFrame, index: DataFrame, scores: DataFrame, counts: DataFrame, limit: int = Settings.suggest_limit, **weights) -> DataFrame:
-    return blend(pool(requests, index, scores, counts), **weights).where(F.col("rank") <= checked(limit, 1, 50, "limit"))
+def suggest_trending(requests: DataFrame, index: DataFrame | None, scores: DataFrame, counts: DataFrame, limit: int = Settings.suggest_limit, **weights) -> DataFrame:
+    """prefix, rank, query, count, score, recency. Without an index the pools of the asked prefixes are ranked from the
+    counts. Pools are written once, as they are read twice."""
+    asked = requests.select(normalize(F.col("prefix")).alias("prefix")).where("prefix <> ''").distinct()
+    basic = asked_topk(asked, counts) if index is None else candidates(asked, index)
+    basic = written(basic.select("prefix", "query", "count"), "pools")
+    return blend(pool(basic, asked, scores, counts), **weights).where(F.col("rank") <= checked(limit, 1, 50, "limit"))

@@ -47,11 +47,11 @@ def intervals(points: DataFrame) -> DataFrame:
     return both.withColumn("bucket", F.explode(F.sequence(F.shiftright("low", 24), F.shiftright(F.col("high") - 1, 24))))
 
 
-def locate(keys: DataFrame, points: DataFrame, n_points: int | None = None) -> DataFrame:
-    """keys (with a key column) and key_hash, node, label, point_hash of the first point strictly after it. n_points: the
-    ring's size if known; a ring within BROADCAST_POINTS is broadcast."""
+def locate(keys: DataFrame, points: DataFrame) -> DataFrame:
+    """keys (with a key column) and key_hash, node, label, point_hash of the first point strictly after it. The ring's points
+    are counted; a ring within BROADCAST_POINTS is broadcast."""
     own = intervals(points).select("node", "label", F.col("hash").alias("point_hash"), "low", "high", "bucket")
-    n = points.count() if n_points is None else n_points
+    n = points.count()
     if n == 0:
         raise ValueError("the ring has no points")
     hashed = keys.withColumn("key_hash", ring_hash(F.col("key"))).withColumn("bucket", F.shiftright("key_hash", 24))

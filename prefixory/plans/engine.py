@@ -69,12 +69,12 @@ class Suggestions:
         """How the keys prefix-0, prefix-1, ... spread over the nodes."""
         keys = self.spark.range(index.checked(sample, 100, 100_000, "sample")).select(F.concat(F.lit("prefix-"), F.col("id").cast("string")).alias("key"))
         points = self.ring()
-        return routing.distribution(routing.locate(keys, points, self.settings.cache_nodes * self.settings.cache_vnodes), points)
+        return routing.distribution(routing.locate(keys, points), points)
 
     def cache_debug(self, requests: DataFrame, cached: DataFrame) -> DataFrame:
         """Owner, point, presence and remaining time of each prefix's entry. cached: key, ttl_remaining."""
         keys = requests.select("prefix", "mode", cache_key(F.col("mode"), F.col("prefix")).alias("key"))
-        routed = routing.locate(keys, self.ring(), self.settings.cache_nodes * self.settings.cache_vnodes)
+        routed = routing.locate(keys, self.ring())
         return routed.join(cached.select("key", "ttl_remaining"), "key", "left").select("prefix", "mode", "key", "key_hash", "node", "label", F.col("ttl_remaining").isNotNull().alias("present"), "ttl_remaining")
 
     def health(self) -> DataFrame:

@@ -18,7 +18,7 @@ from ..operators import cache, index, metrics, ranking, recency, routing, writes
 from ..settings import MODES
 from ..sources import corpus
 from ..sources.scratch import scratch_path, written
-from ..sources.store import Store
+from ..sources.store import Store, read_segments
 from ..streaming import flush
 from .engine import Suggestions
 
@@ -109,7 +109,7 @@ def _recent(spark, sf):
 
 SCORES = f"""sub AS (SELECT lower(p_brand || ' ' || p_name) AS query, epoch_us(l_shipdate) / 1e6 AS t FROM lineitem JOIN part ON l_partkey = p_partkey),
 m AS (SELECT max(t) AS now FROM sub),
-sc AS (SELECT query, sum({DECAY.format(now="now", h=7 * DAY)}) AS score FROM sub, m WHERE t > now - {60 * DAY} GROUP BY 1)"""
+sc AS (SELECT query, sum({DECAY.format(now="now", h=7 * DAY)}) AS score FROM sub, m GROUP BY 1)"""
 BLEND = f"""basic AS (SELECT prefix, query, count FROM topk JOIN req USING (prefix) WHERE prefix <> ''),
 more AS (SELECT prefix, query, score FROM (SELECT prefix, query, score, row_number() OVER (PARTITION BY prefix ORDER BY score DESC, query) AS r
   FROM req JOIN sc ON starts_with(query, prefix) WHERE prefix <> '' AND score > 1e-3) WHERE r <= 50),
@@ -124,10 +124,10 @@ rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY prefix ORDER BY score DESC
 def suggest_trending(spark, sf):
     """C2, C4, F2, D7a, E2, H3, H5, G6"""
     s, now = _recent(spark, sf)
-    scores = recency.recency_scores(s.where(F.col("t") > now - 60 * DAY), now, 7 * DAY)
+    scores = recency.recency_scores(s, now, 7 * DAY)
     c = written(counts(spark, sf), "counts")
     asked = prefix_requests(spark, sf).select(txt.normalize(F.col("prefix")).alias("prefix"))
-    return ranking.suggest_trending(asked, index.prefix_topk(c), written(scores, "scores"), c)
+    return ranking.suggest_trending(asked, None, written(scores, "scores"), c)
 
 
 @query(f"""WITH {Q}, {TOPK.format(q='q')}, {REQ} SELECT prefix, 'basic' AS mode, count(query)::INT AS count, string_agg(query, '|' ORDER BY rank) AS queries,
@@ -192,17 +192,17 @@ def corpus_bigrams(spark, sf):
     return corpus.bigrams(table(spark, sf, "documents"))
 
 
-@query(f"WITH {WORDS}, {UNI}, {BI} SELECT query, max(count) AS count FROM (SELECT * FROM uni UNION ALL SELECT * FROM bi) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5000")
+@query(f"WITH {WORDS}, {UNI}, {BI} SELECT query, max(count) AS count FROM (SELECT * FROM uni UNION ALL SELECT * FROM bi) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 300000")
 def corpus_merge_max(spark, sf):
-    """The 5000 most frequent of both"""
+    """The 300,000 most frequent of both"""
     docs = table(spark, sf, "documents")
-    return corpus.top(corpus.max_merge(corpus.unigrams(docs).unionByName(corpus.bigrams(docs))), 5000)
+    return corpus.top(corpus.max_merge(corpus.unigrams(docs).unionByName(corpus.bigrams(docs))), 300_000)
 
 
-@query(f"WITH {WORDS}, {UNI} SELECT query, count FROM uni WHERE length(query) > 2")
+@query(f"WITH {WORDS}, {UNI} SELECT query, count FROM uni")
 def corpus_tsv(spark, sf):
     """A1, A2, A4: the unigrams written as tab-separated lines with bad ones among them, and read back"""
-    rows = corpus.unigrams(table(spark, sf, "documents")).where(F.length("query") > 2)
+    rows = corpus.unigrams(table(spark, sf, "documents"))
     lines = rows.select(F.concat_ws("\t", F.upper("query"), F.col("count").cast("string")).alias("value"))
     bad = spark.createDataFrame([("no tab",), ("a\tb\t3",), ("zero\t0",), ("half\t1.5",), ("minus\t-4",), ("under\t1_000",), ("b@d\t3",), ("a b c d e f\t9",)], "value string")
     path = scratch_path(spark, "tsv")
@@ -232,10 +232,10 @@ def vocabulary(spark, sf):
 @query(f"""WITH {VOCAB}, hh AS (SELECT x.head, y.head AS other, x.a, y.a AS b FROM h x JOIN h y ON x.head <> y.head),
 r AS (SELECT head AS query, 1 AS kind, a, 0 AS b, 0 AS c FROM h UNION ALL SELECT head || ' ' || modifier, 2, a, 0, c FROM h, mo
 UNION ALL SELECT head || ' ' || other, 3, a, b, 0 FROM hh UNION ALL SELECT head || ' ' || other || ' ' || modifier, 4, a, b, c FROM hh, mo)
-SELECT query, greatest(1, CAST(floor(1e7 * pow(rank, -1.07)) AS BIGINT)) AS count FROM (SELECT query, row_number() OVER (ORDER BY p, query) AS rank FROM (SELECT query, min((kind, a, b, c)) AS p FROM r GROUP BY query)) WHERE rank <= 3000""")
+SELECT query, greatest(1, CAST(floor(1e7 * pow(rank, -1.07)) AS BIGINT)) AS count FROM (SELECT query, row_number() OVER (ORDER BY p, query) AS rank FROM (SELECT query, min((kind, a, b, c)) AS p FROM r GROUP BY query)) WHERE rank <= 300000""")
 def synthetic_zipf(spark, sf):
     """A3, C8, C9, C10, F3, E3, H12"""
-    return corpus.synthetic(*vocabulary(spark, sf), limit=3000)
+    return corpus.synthetic(*vocabulary(spark, sf))
 
 
 @query(f"WITH {Q} SELECT count(*) AS queries, count(*) FILTER (contains(query, ' ')) AS multi_word, count(*) FILTER (NOT contains(query, ' ')) AS single_word, min(count) AS smallest, max(count) AS largest FROM q")
@@ -274,7 +274,7 @@ def recency_fold(spark, sf):
 def trending_top(spark, sf):
     """The ten most trending"""
     s, now = _recent(spark, sf)
-    return recency.trending(recency.recency_scores(s.where(F.col("t") > now - 60 * DAY), now, 7 * DAY), counts(spark, sf), 10)
+    return recency.trending(recency.recency_scores(s, now, 7 * DAY), counts(spark, sf), 10)
 
 
 @query(f"""WITH {Q}, {REQ}, {SCORES} SELECT prefix, query, round(score, 4) AS score FROM (SELECT prefix, query, score, row_number() OVER (PARTITION BY prefix ORDER BY score DESC, query) AS r
@@ -282,18 +282,18 @@ FROM req JOIN sc ON starts_with(query, prefix) WHERE prefix <> '' AND score > 1e
 def trending_prefix(spark, sf):
     """B2, C12, G4"""
     s, now = _recent(spark, sf)
-    scores = recency.recency_scores(s.where(F.col("t") > now - 60 * DAY), now, 7 * DAY)
+    scores = recency.recency_scores(s, now, 7 * DAY)
     asked = prefix_requests(spark, sf).select(txt.normalize(F.col("prefix")).alias("prefix")).where("prefix <> ''")
     return recency.by_prefix(scores, asked).withColumn("score", F.round("score", 4))
 
 
-@query(f"WITH {EV}, m AS (SELECT max(t) AS now FROM ev) SELECT query, round(sum({DECAY.format(now='now', h=DAY)}), 4) AS score FROM ev, m GROUP BY 1 ORDER BY sum({DECAY.format(now='now', h=DAY)}) DESC, min(event_id) LIMIT 40")
+@query(f"WITH {EV}, m AS (SELECT max(t) AS now FROM ev) SELECT query, round(sum({DECAY.format(now='now', h=DAY)}), 4) AS score FROM ev, m GROUP BY 1 ORDER BY sum({DECAY.format(now='now', h=DAY)}) DESC, min(event_id) LIMIT 50000")
 def recency_prune(spark, sf):
-    """The forty of best score"""
+    """The best by score, as many as the state may hold"""
     e = events(spark, sf)
     first = e.groupBy("query").agg(F.min("event_id").alias("first_seen"))
     rows = recency.recency_scores(e, latest(e), DAY).join(first, "query")
-    return recency.pruned(rows, 40).select("query", F.round("score", 4).alias("score"))
+    return recency.pruned(rows).select("query", F.round("score", 4).alias("score"))
 
 
 # --- writes
@@ -313,12 +313,12 @@ def write_reduction(spark, sf):
     return writes.write_reduction(events(spark, sf).withColumn("flush", F.floor(F.col("t") / 3600)), "flush")
 
 
-UPS = """a AS (SELECT lower(p_brand || ' ' || p_name) AS query, count(*) AS count FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R' AND l_linenumber < 3 GROUP BY 1),
+UPS = """a AS (SELECT lower(p_brand || ' ' || p_name) AS query, count(*) AS count FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R' GROUP BY 1),
 b AS (SELECT lower(p_brand || ' ' || p_name) AS query, count(*) AS delta FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' GROUP BY 1)"""
 
 
 def _upsert(spark, sf):
-    base = counts(spark, sf, "l_returnflag <> 'R' and l_linenumber < 3")
+    base = counts(spark, sf, "l_returnflag <> 'R'")
     changes = counts(spark, sf, "l_returnflag = 'R'").withColumnRenamed("count", "delta")
     return writes.upsert(base, changes, 1000.0), changes
 
@@ -340,12 +340,13 @@ def upsert_readback(spark, sf):
 def store_batches(spark, sf):
     """A replaced table, three flushes of which one is sent twice, and a compaction between"""
     store = Store(spark, scratch_path(spark, "store"))
-    base = counts(spark, sf, "l_returnflag <> 'R' and l_linenumber < 3")
+    base = counts(spark, sf, "l_returnflag <> 'R'")
     changes = written(counts(spark, sf, "l_returnflag = 'R'").withColumnRenamed("count", "delta"), "deltas")
     store.bulk_replace(base.withColumn("ord", F.lit(2)).unionByName(base.select("query", (F.col("count") + 5).alias("count"), F.lit(1).alias("ord"))))
     store.apply_batch(changes, 1, 5.0)
     store.apply_batch(changes, 1, 6.0)
     store.compact()
+    store.vacuum()
     store.apply_batch(changes, 2, 7.0)
     store.set_meta("last_flush_seq", str(store.watermark()))
     assert store.get_meta_int("last_flush_seq", 0) == 2 and store.get_meta_int("other", -1) == -1
@@ -354,9 +355,11 @@ def store_batches(spark, sf):
 
 @query(f"WITH {EV}, r AS (SELECT * FROM ev WHERE CASE WHEN event_id % 10 = 0 THEN true ELSE event_id // 100 > 5 END) SELECT query, count(*) AS delta FROM r GROUP BY 1")
 def wal_recovery(spark, sf):
-    """Segments after the watermark and the live log"""
+    """Segments after the watermark and the live log, as files"""
     seq = F.when(F.col("event_id") % 10 != 0, F.floor(F.col("event_id") / 100))
-    return writes.deltas(writes.replayed(events(spark, sf).select("query", seq.alias("seq")), 5))
+    path = scratch_path(spark, "segments")
+    events(spark, sf).select(F.col("query").alias("value"), seq.alias("seq")).write.partitionBy("seq").text(path)
+    return writes.deltas(writes.replayed(read_segments(spark, path), 5))
 
 
 @query(f"WITH {EV}, s AS (SELECT CASE WHEN event_id % 10 <> 0 THEN event_id // 100 END AS seq FROM ev) SELECT count(*) FILTER (seq IS NULL OR seq > 5) AS lines, CAST(greatest(max(seq), 5) + 1 AS BIGINT) AS seq FROM s")
@@ -424,7 +427,7 @@ def ring_membership(spark, sf):
 @query(f"WITH {ring_sql(4)}, {KEYS}, {route_sql('keys')} SELECT * FROM routed")
 def ring_route(spark, sf):
     """C5, E6, D9"""
-    return routing.locate(route_keys(spark, sf), routing.ring(spark, NODES), 600)
+    return routing.locate(route_keys(spark, sf), routing.ring(spark, NODES))
 
 
 @query(f"WITH {ring_sql(4)}, keys AS (SELECT 'prefix-' || i AS key FROM range(20000) r(i)), {route_sql('keys')} SELECT node, count(*) AS keys, round(count(*) * 4 / 20000, 3) AS load_factor FROM routed GROUP BY 1")
@@ -441,14 +444,14 @@ def _remap(a: str, b: str) -> str:
 def ring_remap_remove(spark, sf):
     """C11, F6"""
     points, keys = routing.ring(spark, [*NODES, "cache-4"]), route_keys(spark, sf)
-    return routing.remapped(routing.locate(keys, points, 750), routing.locate(keys, routing.without_node(points, "cache-2"), 600))
+    return routing.remapped(routing.locate(keys, points), routing.locate(keys, routing.without_node(points, "cache-2")))
 
 
 @query(f"WITH {ring_sql(4, 'r4')}, {ring_sql(5, 'r5')}, {KEYS}, {route_sql('keys', 'r4', 'a')}, {route_sql('keys', 'r5', 'b')} {_remap('a', 'b')}")
 def ring_remap_add(spark, sf):
     """C11, F7"""
     points, keys = routing.ring(spark, NODES), route_keys(spark, sf)
-    return routing.remapped(routing.locate(keys, points, 600), routing.locate(keys, routing.with_node(points, "cache-4"), 750))
+    return routing.remapped(routing.locate(keys, points), routing.locate(keys, routing.with_node(points, "cache-4")))
 
 
 @query(f"WITH {KEYS}, h AS (SELECT key, CAST(('0x' || left(md5(key), 8)) AS BIGINT) AS h FROM keys), a AS (SELECT key, h % 5 AS node FROM h), b AS (SELECT key, h % 4 AS node FROM h) {_remap('a', 'b')}")
@@ -565,12 +568,51 @@ def metrics_rollup(spark, sf):
     return out
 
 
-@query("""WITH e AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS u FROM events GROUP BY 1)
-SELECT event_type, round(n / 10.0, 2) AS throughput, round(100.0 * (n - u) / n, 2) AS writes_avoided_pct, round(n / u, 2) AS reduction FROM e""")
+BENCH = """WITH e AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS u, count(*) FILTER (value > 50) AS h FROM events GROUP BY 1)
+SELECT event_type, round(n / 10.0, 2) AS throughput, round(h / n, 4) AS hit_rate, round(100.0 * (n - u) / n, 2) AS writes_avoided_pct, round(n / u, 2) AS reduction FROM e"""
+
+
+@query(BENCH)
 def benchmark_summary(spark, sf):
     """Derived figures of each phase"""
-    e = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("u"))
-    return e.select("event_type", F.round(F.col("n") / 10.0, 2).alias("throughput"), F.round(F.lit(100.0) * (F.col("n") - F.col("u")) / F.col("n"), 2).alias("writes_avoided_pct"), F.round(F.col("n") / F.col("u"), 2).alias("reduction"))
+    e = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("u"), F.count_if(F.col("value") > 50).alias("h"), F.lit(10.0).alias("s"))
+    return metrics.benchmark_summary(e, "event_type", requests="n", hits="h", seconds="s", searches="n", upserts="u")
+
+
+@query(BENCH)
+def benchmark_json(spark, sf):
+    """The figures as JSON lines, read back"""
+    rows, path = benchmark_summary(spark, sf), scratch_path(spark, "results")
+    rows.write.json(path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query(f"WITH {Q} SELECT query, count FROM q ORDER BY 2 DESC, 1 LIMIT 10")
+def corpus_top_ten(spark, sf):
+    """The summary's ten most frequent queries"""
+    return corpus.top_ten(counts(spark, sf))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN '' ELSE 'two words' END AS query FROM events""")
+def search_bodies(spark, sf):
+    """Request bodies parsed; what is no such object is an empty query"""
+    whole = F.to_json(F.struct(F.concat(F.lit("  "), F.upper("event_type"), F.lit(" ")).alias("query")))
+    body = F.when(F.col("event_id") % 3 == 0, whole).when(F.col("event_id") % 6 == 1, "not json").when(F.col("event_id") % 3 == 1, '{"other": 1}').otherwise('{"query": " Two\\tWORDS", "more": [1]}')
+    return table(spark, sf, "events").select("event_id", txt.search_query(body).alias("query"))
+
+
+POOL = """p AS (SELECT prefix FROM (SELECT chr(CAST(97 + i AS INT)) AS prefix FROM range(26) r(i) UNION SELECT substr(lower(p_brand || ' ' || p_name), 1, CAST(2 + p_partkey % 3 AS INT)) FROM part) ORDER BY prefix LIMIT 800),
+zw AS (SELECT prefix, row_number() OVER (ORDER BY prefix) AS rank FROM p),
+zs AS (SELECT prefix, rank, round(sum(pow(rank, -1.1)) OVER (ORDER BY rank) / sum(pow(rank, -1.1)) OVER (), 6) AS share FROM zw),
+zl AS (SELECT prefix, share, coalesce(lag(share) OVER (ORDER BY rank), 0) AS low FROM zs)"""
+
+
+@query(f"WITH {POOL}, dr AS (SELECT ((i * 2654435769) % 4294967296 + 0.5) / 4294967296.0 AS u FROM range(20000) r(i)) SELECT prefix, count(*) AS requests FROM dr JOIN zl ON u >= low AND u < share GROUP BY 1")
+def zipf_requests(spark, sf):
+    """20,000 weighted draws from a pool of prefixes"""
+    queries = names(spark, sf).select("query", F.col("l_partkey").alias("ord"))
+    weighted = corpus.zipf_weights(corpus.prefix_pool(queries, "ord"), "prefix")
+    return corpus.zipf_sample(weighted, "prefix", 20_000).groupBy("prefix").agg(F.count("*").alias("requests"))
 
 
 def _short(by: str, unit: str) -> str:
@@ -638,15 +680,15 @@ def _stream(spark, sf):
 
 def _drained(spark, stream, mode="append"):
     path = scratch_path(spark, "drained")
-    flush.drain(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/seq={n}"), mode=mode)
+    flush.drain(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/seq={n}"), scratch_path(spark, "stream"), mode)
     return spark.read.schema(stream.schema).option("basePath", path).parquet(f"{path}/seq=*").drop("seq")
 
 
 @query(f"WITH {EV} SELECT query, count(*) AS count FROM ev GROUP BY 1")
 def stream_flush(spark, sf):
     """Micro-batches into the store"""
-    store = Store(spark, scratch_path(spark, "store"))
-    flush.drain(_stream(spark, sf), flush.flusher(store, lambda: 0.0))
+    store, log = Store(spark, scratch_path(spark, "store")), scratch_path(spark, "stream")
+    flush.drain(_stream(spark, sf), flush.flusher(store, lambda: 0.0, log), log)
     return store.load_all().select("query", "count")
 
 
@@ -673,8 +715,13 @@ def stream_session(spark, sf):
 
 @query(f"WITH {EV}, {TOPK.format(q='(SELECT query, count(*) AS count FROM ev GROUP BY 1)')} SELECT * FROM topk")
 def stream_index(spark, sf):
-    """The index grown over micro-batches"""
-    empty = spark.createDataFrame([], "query string, count long")
-    keeper = flush.IndexMaintainer(empty, index.prefix_topk(empty))
-    flush.drain(_stream(spark, sf), keeper)
-    return keeper.index
+    """The index grown over micro-batches, each of which comes twice"""
+    store, log = Store(spark, scratch_path(spark, "store")), scratch_path(spark, "stream")
+    keeper = flush.IndexMaintainer(store, log)
+
+    def twice(batch, n):  # as after a failure between the write and the commit
+        keeper(batch, n)
+        keeper(batch, n)
+
+    flush.drain(_stream(spark, sf), twice, log)
+    return keeper.index()

@@ -49,16 +49,16 @@ def top(counts: DataFrame, n: int) -> DataFrame:
 
 
 def unigrams(docs: DataFrame) -> DataFrame:
-    """query, count of the clean words of the texts."""
-    rows = docs.select(F.explode(words(F.col("text"))).alias("query"))
-    return rows.where(is_clean(F.col("query"))).groupBy("query").agg(F.count("*").alias("count"))
+    """query, count of the clean words of the texts. Words are counted first, so each distinct one is looked at once."""
+    counted = docs.select(F.explode(words(F.col("text"))).alias("query")).groupBy("query").agg(F.count("*").alias("count"))
+    return counted.where(is_clean(F.col("query")))
 
 
 def bigrams(docs: DataFrame) -> DataFrame:
     """query, count of neighbouring clean words."""
     pairs = F.expr("transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))")
     rows = docs.select(words(F.col("text")).alias("w")).where("size(w) > 1").select(F.explode(pairs).alias("query"))
-    return rows.where(is_clean(F.col("query"))).groupBy("query").agg(F.count("*").alias("count"))
+    return rows.groupBy("query").agg(F.count("*").alias("count")).where(is_clean(F.col("query")))
 
 
 def synthetic(heads: DataFrame, modifiers: DataFrame, limit: int = 300_000, seed: int | None = None) -> DataFrame:
@@ -85,6 +85,18 @@ def summary(counts: DataFrame) -> DataFrame:
     return counts.agg(F.count("*").alias("queries"), F.count_if(spaced).alias("multi_word"), F.count_if(~spaced).alias("single_word"), F.min("count").alias("smallest"), F.max("count").alias("largest"))
 
 
+def top_ten(counts: DataFrame) -> DataFrame:
+    return top(counts.select("query", "count"), 10)
+
+
+def prefix_pool(queries: DataFrame, order: str, size: int = 800) -> DataFrame:
+    """prefix: the letters and prefixes of two to four characters of the queries (how many follows from `order`), distinct,
+    the first `size` by code points."""
+    letters = queries.sparkSession.range(26).select(F.char(F.col("id") + 97).alias("prefix"))
+    cut = queries.select(F.substring("query", F.lit(1), (F.lit(2) + F.pmod(F.col(order), F.lit(3))).cast("int")).alias("prefix"))
+    return letters.unionByName(cut).where("prefix <> ''").distinct().orderBy("prefix").limit(size)
+
+
 def zipf_weights(items: DataFrame, order: str, exponent: float = 1.1) -> DataFrame:
     """item rank, weight and the cumulative share at which weighted sampling cuts."""
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order))  # a pool of prefixes, small by design
@@ -92,3 +104,19 @@ def zipf_weights(items: DataFrame, order: str, exponent: float = 1.1) -> DataFra
     running = Window.partitionBy(F.lit(0)).orderBy("rank")
     total = F.sum("weight").over(Window.partitionBy(F.lit(0)))
     return weighted.withColumn("share", F.round(F.sum("weight").over(running) / total, 6)).withColumn("weight", F.round("weight", 6))
+
+
+#: Slices of the unit interval by which draws meet the items.
+SLICES = 1024
+
+
+def zipf_sample(weighted: DataFrame, item: str, draws: int) -> DataFrame:
+    """draw, item of so many weighted draws from `zipf_weights` rows: draw i falls at the fractional part of i times the golden
+    ratio's inverse (to 32 bits), which spreads evenly. Items are listed under the slices that they cover: an equi join."""
+    at = (F.pmod(F.col("id") * F.lit(2654435769), F.lit(1 << 32)) + F.lit(0.5)) / F.lit(float(1 << 32))
+    drawn = weighted.sparkSession.range(draws).select(F.col("id").alias("draw"), at.alias("at")).withColumn("slice", F.floor(F.col("at") * SLICES).cast("int"))
+    low = F.coalesce(F.lag("share").over(Window.partitionBy(F.lit(0)).orderBy("rank")), F.lit(0.0))
+    spans = weighted.select(item, "share", low.alias("low")).where("low < share")
+    last = F.least(F.floor(F.col("share") * SLICES).cast("int"), F.lit(SLICES - 1))
+    spans = spans.withColumn("slice", F.explode(F.sequence(F.floor(F.col("low") * SLICES).cast("int"), last)))
+    return drawn.join(spans, "slice").where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("share"))).select("draw", item)

@@ -1,20 +1,22 @@
-"""The stored tables: query counts with snapshots and deltas, and meta values. A snapshot is a folder; the newest complete
-one is current, so a reader never meets a half-written table."""
+"""The stored tables: query counts with snapshots and deltas, and meta values. A snapshot, and each attempt to write a flush,
+is a folder of its own; only complete ones count, so a reader never meets a half-written or half-deleted table."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import safe_int
-from ..operators.writes import upsert
 from ..schemas import QUERY_COUNTS
 
+_SNAPSHOT, _DELTA = re.compile(r"version=(\d+)-upto=(\d+)"), re.compile(r"seq=(\d+)-attempt=(\d+)")
+
 
 class Store:
-    """root/counts/version=<n> are snapshots, root/deltas/seq=<n> are flushes since; a flush is applied once because its
-    folder is named by its sequence number and overwritten if it is sent again."""
+    """root/counts/version=<n>-upto=<m> are snapshots that hold the flushes up to m, root/deltas/seq=<n>-attempt=<k> are
+    flushes. A flush is applied once however often it is sent: of its attempts the last complete one counts."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -23,63 +25,77 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _numbers(self, folder: str, name: str) -> list[int]:
-        """The complete partitions of a folder."""
+    def _folders(self, folder: str, name: re.Pattern) -> list[tuple[int, int]]:
+        """The two numbers of each complete folder."""
         fs, p = self._fs(f"{self.root}/{folder}")
         if not fs.exists(p):
             return []
         found = []
         for s in fs.listStatus(p):
-            key, _, value = s.getPath().getName().partition("=")
-            done = self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")
-            if key == name and value.isdigit() and fs.exists(done):
-                found.append(int(value))
+            m = name.fullmatch(s.getPath().getName())
+            if m and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
+                found.append((int(m[1]), int(m[2])))
         return sorted(found)
 
+    def _deltas(self) -> dict[int, int]:
+        """The attempt that counts of each flush."""
+        return dict(self._folders("deltas", _DELTA))  # sorted, so the last attempt wins
+
+    def _delta_path(self, seq: int, attempt: int) -> str:
+        return f"{self.root}/deltas/seq={seq}-attempt={attempt}"
+
+    def _put(self, rows: DataFrame, upto: int) -> None:
+        version = max((v for v, _ in self._folders("counts", _SNAPSHOT)), default=0) + 1
+        rows.write.mode("overwrite").parquet(f"{self.root}/counts/version={version}-upto={upto}")
+
     def bulk_replace(self, items: DataFrame) -> int:
         """Replaces all counts; of duplicate queries the last in `ord` (if there is such a column) wins. Returns the number of
         input rows."""
-        n = items.count()
+        upto, n = self.watermark(), items.count()
         if "ord" in items.columns:
             items = items.groupBy("query").agg(F.max_by("count", "ord").alias("count"))
-        version = max(self._numbers("counts", "version"), default=0) + 1
-        rows = items.where(F.length("query") > 0).select("query", F.col("count").cast("long"), F.lit(None).cast("double").alias("last_searched"), F.lit(self.watermark()).cast("long").alias("upto"))
-        rows.write.mode("overwrite").parquet(f"{self.root}/counts/version={version}")
+        self._put(items.where(F.length("query") > 0).select("query", F.col("count").cast("long"), F.lit(None).cast("double").alias("last_searched")), upto)
         return n
 
-    def _snapshot(self) -> DataFrame:
-        versions = self._numbers("counts", "version")
-        schema = T.StructType([*QUERY_COUNTS.fields, T.StructField("upto", T.LongType())])
-        if not versions:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/counts/version={versions[-1]}")
-
     def apply_batch(self, changes: DataFrame, seq: int, at: float) -> None:
-        """A flush's deltas (query, delta) under its sequence number."""
-        changes.select("query", "delta", F.lit(float(at)).alias("at")).write.mode("overwrite").parquet(f"{self.root}/deltas/seq={seq}")
+        """A flush's deltas (query, delta) under its sequence number. Until it is complete an earlier attempt still counts."""
+        attempt = self._deltas().get(seq, 0) + 1
+        changes.select("query", "delta", F.lit(float(at)).alias("at")).write.mode("overwrite").parquet(self._delta_path(seq, attempt))
 
     def watermark(self) -> int:
-        """The last applied sequence number."""
-        return max(self._numbers("deltas", "seq"), default=0)
-
-    def load_all(self) -> DataFrame:
-        """query, count, last_searched: the snapshot and all deltas after it."""
-        base = self._snapshot()
-        upto = base.agg(F.max("upto")).first()[0] or 0
-        later = [n for n in self._numbers("deltas", "seq") if n > upto]
-        base = base.drop("upto")
+        """The last applied sequence number, in a delta or in the snapshot."""
+        return max(max(self._deltas(), default=0), max((m for _, m in self._folders("counts", _SNAPSHOT)), default=0))
+
+    def _merged(self, deltas: dict[int, int], upto: int | None = None) -> DataFrame:
+        snapshots = self._folders("counts", _SNAPSHOT)
+        version, folded = snapshots[-1] if snapshots else (0, 0)
+        base = self.spark.read.schema(QUERY_COUNTS).parquet(f"{self.root}/counts/version={version}-upto={folded}") if snapshots else self.spark.createDataFrame([], QUERY_COUNTS)
+        later = [self._delta_path(n, k) for n, k in deltas.items() if n > folded and (upto is None or n <= upto)]
         if not later:
             return base
-        rows = self.spark.read.schema("query string, delta long, at double").parquet(*(f"{self.root}/deltas/seq={n}" for n in later))
+        rows = self.spark.read.schema("query string, delta long, at double").parquet(*later)
         sums = rows.groupBy("query").agg(F.sum("delta").alias("delta"), F.max("at").alias("at"))
-        merged = upsert(base, sums)
-        return merged.drop("last_searched").join(base.select("query", "last_searched"), "query", "left").join(sums.select("query", "at"), "query", "left").select("query", "count", F.greatest("last_searched", "at").alias("last_searched"))
+        both = base.join(sums, "query", "full_outer")  # carries all columns, so each side shuffles once
+        return both.select("query", (F.coalesce("count", F.lit(0)) + F.coalesce("delta", F.lit(0))).alias("count"), F.greatest("last_searched", "at").alias("last_searched"))
+
+    def load_all(self, upto: int | None = None) -> DataFrame:
+        """query, count, last_searched: the newest snapshot and all deltas after it (up to a sequence number)."""
+        return self._merged(self._deltas(), upto)
 
     def compact(self) -> None:
-        """Folds the deltas into a new snapshot."""
-        rows = self.load_all().withColumn("upto", F.lit(self.watermark()).cast("long"))
-        version = max(self._numbers("counts", "version"), default=0) + 1
-        rows.write.mode("overwrite").parquet(f"{self.root}/counts/version={version}")
+        """Folds the deltas that are there now into a new snapshot; one that comes meanwhile stays a delta."""
+        deltas, done = self._deltas(), self.watermark()
+        self._put(self._merged(deltas, max(deltas, default=0)), max(deltas, default=done))
+
+    def vacuum(self) -> None:
+        """Deletes folded deltas, attempts that no longer count and all snapshots but the newest. For times without readers."""
+        snapshots, deltas = self._folders("counts", _SNAPSHOT), self._deltas()
+        folded = snapshots[-1][1] if snapshots else 0
+        gone = [f"{self.root}/counts/version={v}-upto={m}" for v, m in snapshots[:-1]]
+        gone += [self._delta_path(n, k) for n, k in self._folders("deltas", _DELTA) if n <= folded or deltas[n] != k]
+        for path in gone:
+            fs, p = self._fs(path)
+            fs.delete(p, True)
 
     def get_count(self, query: str) -> int | None:
         row = self.load_all().where(F.col("query") == query).select("count").first()
@@ -101,9 +117,10 @@ class Store:
 
 
 def read_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """seq, query of log segments `<name>.seg.<n>` and of the live log (seq null); blank lines and names without a number
-    are left out."""
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    rows = spark.read.text(folder).withColumn("file", name)
-    seq = F.regexp_extract("file", r"\.seg\.([0-9]+)$", 1)
-    return rows.where((F.col("value") != "") & (~F.col("file").contains(".seg.") | (seq != ""))).select(F.when(seq != "", seq.cast("bigint")).alias("seq"), F.col("value").alias("query"))
+    """seq, query of log segments (files `<name>.seg.<n>`, or files below folders `seq=<n>`) and of the live log (seq null);
+    blank lines and segments without a number are left out."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(folder).withColumn("file", F.input_file_name())
+    seq = F.regexp_extract("file", r"(?:\.seg\.([0-9]+)|/seq=([0-9]+)/[^/]*)$", 0)
+    number = F.regexp_extract(seq, "(?:seg\\.|seq=)([0-9]+)", 1)
+    named = F.element_at(F.split("file", "/"), -1).contains(".seg.")
+    return rows.where((F.col("value") != "") & (~named | (number != ""))).select(F.when(number != "", number.cast("bigint")).alias("seq"), F.col("value").alias("query"))

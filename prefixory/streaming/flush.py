@@ -1,11 +1,16 @@
 """Submissions as a stream: exactly-once flushes, decayed scores, sessions.
 
-A flush is a micro-batch. The size trigger of a flush is the source's (maxFilesPerTrigger and the like), the time trigger
-the query's; a batch that is sent again after a failure overwrites its own folder, so counts never double.
+A flush is a micro-batch: what came within the interval (the query's trigger) and at most so many files (the size trigger is
+the source's, see `by_size`). A batch that is sent again after a failure is applied under its own number again, so counts
+never double; a stream with a new checkpoint goes on after what the store has.
 """
 
 from __future__ import annotations
 
+import hashlib
+import logging
+import math
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,55 +19,115 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import normalize
-from ..operators.index import updated
+from ..operators.index import prefix_topk, updated
 from ..operators.writes import deltas, read_back
-from ..settings import Settings
-from ..sources.scratch import scratch_path, written
+from ..settings import MIN_RECENCY, Settings
 from ..sources.store import Store
 
+log = logging.getLogger(__name__)
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str | None = None, mode: str = "append") -> None:
+
+def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """All that is there, batch by batch, then stops: the graceful end of a writer."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, "stream")).trigger(availableNow=True).foreachBatch(each).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
 
 
+def by_size(settings: Settings, rows_a_file: int) -> dict[str, str]:
+    """Options of a file source whose files hold about so many submissions: a flush takes `batch_max_size` of them at most,
+    or one file."""
+    return {"maxFilesPerTrigger": str(max(1, settings.batch_max_size // max(1, rows_a_file)))}
+
+
 def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, seconds: float = Settings.batch_flush_interval):
     """A flush every so many seconds until the returned query is stopped. A failed batch ends the query; started again with
-    the same checkpoint it repeats that batch."""
+    the same checkpoint it repeats that batch (`keep_flushing` does so)."""
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(each).start()
 
 
-def flusher(store: Store, at: Callable[[], float]) -> Callable[[DataFrame, int], None]:
-    """Applies each batch's deltas under the batch's number. The first batch is number 1."""
+def keep_flushing(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, stopped: Callable[[], bool], seconds: float = Settings.batch_flush_interval) -> int:
+    """Flushes until stopped() says so, over failures: each is logged, and after the interval its batch is tried again.
+    Returns the number of failures."""
+    failures = 0
+    while not stopped():
+        query = start(stream, each, checkpoint, seconds)
+        try:
+            while query.isActive and not stopped():
+                query.awaitTermination(max(1, int(seconds)))
+            if query.isActive:
+                query.processAllAvailable()
+        except Exception:  # noqa: BLE001  whatever a batch met, the loop lives on
+            failures += 1
+            log.exception("a flush failed and is tried again")
+            time.sleep(seconds)
+        finally:
+            query.stop()
+    return failures
+
+
+def first_number(store: Store, checkpoint: str) -> int:
+    """The number before that of the checkpoint's first batch: the store's watermark when the checkpoint was new."""
+    key = "first-" + hashlib.md5(checkpoint.encode()).hexdigest()
+    known = store.get_meta_int(key, -1)
+    if known < 0:
+        known = store.watermark()
+        store.set_meta(key, str(known))
+    return known
+
+
+def flusher(store: Store, at: Callable[[], float], checkpoint: str) -> Callable[[DataFrame, int], None]:
+    """Applies each batch's deltas under the batch's number, counted on from what the store had when the checkpoint was new."""
+    first = first_number(store, checkpoint)
 
     def flush(batch: DataFrame, batch_id: int) -> None:
         lines = batch.select(normalize(F.col("query")).alias("query"))
-        store.apply_batch(deltas(lines), batch_id + 1, at())
+        store.apply_batch(deltas(lines), first + batch_id + 1, at())
 
     return flush
 
 
 class IndexMaintainer:
-    """Keeps counts and the prefix index current over flushes."""
+    """Keeps counts (in a store) and the prefix index current over flushes. root/index/seq=<n> is the index after flush n,
+    so a batch that comes again changes nothing, and a new driver goes on from what is stored."""
+
+    def __init__(self, store: Store, checkpoint: str, k: int = Settings.trie_node_capacity, at: Callable[[], float] = time.time):
+        self.store, self.k, self.at, self.first = store, k, at, first_number(store, checkpoint)
+
+    def _path(self, seq: int) -> str:
+        return f"{self.store.root}/index/seq={seq}"
 
-    def __init__(self, counts: DataFrame, index: DataFrame, k: int = Settings.trie_node_capacity):
-        self.counts, self.index, self.k = written(counts.select("query", "count"), "counts"), written(index, "index"), k
+    def index(self, seq: int | None = None) -> DataFrame:
+        """The index after flush seq (by default the store's last); built from the counts where it isn't stored."""
+        seq = self.store.watermark() if seq is None else seq
+        fs, done = self.store._fs(self._path(seq) + "/_SUCCESS")
+        if fs.exists(done):
+            return self.store.spark.read.parquet(self._path(seq))
+        return prefix_topk(self.store.load_all(seq).select("query", "count"), self.k)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        changes = written(deltas(batch), "deltas")
-        grown = self.counts.join(changes, "query", "full_outer").select("query", (F.coalesce("count", F.lit(0)) + F.coalesce("delta", F.lit(0))).alias("count"))
-        self.counts = written(grown, "counts")
-        self.index = written(updated(self.index, read_back(self.counts, changes), self.k), "index")
+        seq = self.first + batch_id + 1
+        fs, done = self.store._fs(self._path(seq) + "/_SUCCESS")
+        if fs.exists(done):
+            return
+        self.store.apply_batch(deltas(batch.select(normalize(F.col("query")).alias("query"))), seq, self.at())
+        changes = self.store.spark.read.parquet(self.store._delta_path(seq, self.store._deltas()[seq]))
+        grown = read_back(self.store.load_all(seq).select("query", "count"), changes)
+        updated(self.index(seq - 1), grown, self.k).write.mode("overwrite").parquet(self._path(seq))
 
 
 RECENCY = "query string, score double, updated double"
 
 
-def recency_stream(events: DataFrame, half_life: float = Settings.recency_half_life) -> DataFrame:
-    """events (query, t): after each batch the query's score decayed to its last event, from a state of two numbers."""
+def recency_stream(events: DataFrame, half_life: float = Settings.recency_half_life, least: float = MIN_RECENCY) -> DataFrame:
+    """events (query, t): after each batch the query's score decayed to its last event, from a state of two numbers. In event
+    time, a query's state goes when its score has decayed below `least`, so the states held are those of queries that still
+    count; an event that is so late that it counts less than `least`, or is not after 1970 began, may be left out."""
+    wait = half_life * math.log2(1 / least) if half_life > 0 else 0.0
 
     def fold(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         score, updated_at = state.get if state.exists else (0.0, None)
         times = pd.concat(list(frames))["t"].sort_values()
         for t in times:
@@ -73,9 +138,12 @@ def recency_stream(events: DataFrame, half_life: float = Settings.recency_half_l
                 continue
             score, updated_at = score + 1.0, t
         state.update((score, updated_at))
+        lives = half_life * math.log2(max(2.0, score / least)) if half_life > 0 else 0.0
+        state.setTimeoutTimestamp(max(int((updated_at + lives) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"query": [key[0]], "score": [score], "updated": [updated_at]})
 
-    return events.groupBy("query").applyInPandasWithState(fold, RECENCY, "score double, updated double", "update", GroupStateTimeout.NoTimeout)
+    timed = events.select("query", "t", F.timestamp_seconds("t").alias("ts")).withWatermark("ts", f"{int(wait * 1000)} milliseconds")
+    return timed.groupBy("query").applyInPandasWithState(fold, RECENCY, "score double, updated double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def flush_windows(events: DataFrame, interval: str, delay: str) -> DataFrame:

@@ -15,7 +15,7 @@ def keys(spark, n, name):
 
 def test_golden_route(spark):
     df = spark.createDataFrame([("suggest:basic:java",)], "key string")
-    r = routing.locate(df, routing.ring(spark, NODES), 600).first()
+    r = routing.locate(df, routing.ring(spark, NODES)).first()
     assert (r.key_hash, r.node, r.label) == (2514721547, "cache-1", "cache-1#88")
 
 

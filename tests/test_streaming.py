@@ -1,6 +1,8 @@
 import pytest
 
+from prefixory.operators.index import prefix_topk
 from prefixory.operators.recency import recency_scores
+from prefixory.settings import Settings
 from prefixory.sources.store import Store
 from prefixory.streaming import flush
 
@@ -24,20 +26,20 @@ def test_flushes_are_exactly_once_over_restarts(spark, tmp_path):
     failed = []
 
     def breaks(batch, n):
-        flush.flusher(store, lambda: 1.0)(batch, n)
+        flush.flusher(store, lambda: 1.0, log)(batch, n)
         if n == 1 and not failed:
             failed.append(n)
             raise RuntimeError("after the write, before the commit")
 
     with pytest.raises(Exception):
         flush.drain(stream(), breaks, log)
-    flush.drain(stream(), flush.flusher(store, lambda: 2.0), log)
+    flush.drain(stream(), flush.flusher(store, lambda: 2.0, log), log)
     assert {r.query: r["count"] for r in store.load_all().collect()} == {"apple": 2, "b": 1}
     assert store.watermark() == 2
 
 
 def test_state_equals_closed_form_over_batches(spark, tmp_path):
-    rows = [[("a", 0.0), ("b", 5.0)], [("a", 10.0), ("a", 7.0)], [("b", 2.0), ("a", 30.0)]]
+    rows = [[("a", 1000.0), ("b", 1005.0)], [("a", 1010.0), ("a", 1007.0)], [("b", 1002.0), ("a", 1030.0)]]
     write(spark, rows, "query string, t double", tmp_path / "in")
     stream = flush.recency_stream(source(spark, tmp_path / "in", "query string, t double", maxFilesPerTrigger=1), 10.0)
     last = {}
@@ -52,10 +54,71 @@ def test_state_equals_closed_form_over_batches(spark, tmp_path):
         assert last[r.query] == (pytest.approx(own.score), r[1])
 
 
+def test_state_of_forgotten_queries_goes(spark, tmp_path):
+    """With a half-life of ten seconds a query of long ago has no state any more, and begins anew."""
+    rows = []
+    for batch in ([("a", 10.0), ("a", 10.0)], [("b", 1e6)], [("c", 2e6)], [("a", 3e6)]):
+        write(spark, [batch], "query string, t double", tmp_path / "in")
+        stream = flush.recency_stream(source(spark, tmp_path / "in", "query string, t double"), 10.0)
+        flush.drain(stream, lambda df, n: rows.extend(df.collect()), str(tmp_path / "log"), "update")
+    assert [(r.query, r.score) for r in rows] == [("a", 2.0), ("b", 1.0), ("c", 1.0), ("a", 1.0)]
+    assert spark.read.format("statestore").load(str(tmp_path / "log")).count() == 1
+
+
+def test_a_second_drain_goes_on_after_the_first(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for k, query in enumerate(("apple", "banana")):
+        write(spark, [[(query,)]], "query string", tmp_path / f"in{k}")
+        log = str(tmp_path / f"log{k}")
+        flush.drain(source(spark, tmp_path / f"in{k}", "query string"), flush.flusher(store, lambda: 1.0, log), log)
+    assert {r.query: r["count"] for r in store.load_all().collect()} == {"apple": 1, "banana": 1}
+
+
+def test_index_of_repeated_batches_and_of_a_new_driver(spark, tmp_path):
+    store, log = Store(spark, str(tmp_path / "store")), str(tmp_path / "log")
+    store.bulk_replace(spark.createDataFrame([("apply", 1)], "query string, count long"))
+    batch = spark.createDataFrame([("Apple",), ("apple",)], "query string")
+    keeper = flush.IndexMaintainer(store, log)
+    keeper(batch, 0)
+    keeper(batch, 0)
+    again = flush.IndexMaintainer(store, log)
+    again(batch, 0)
+    again(spark.createDataFrame([("apply",)], "query string"), 1)
+    got = [tuple(r) for r in again.index().where("prefix = 'app'").orderBy("rank").select("query", "count").collect()]
+    assert got == [("apple", 2), ("apply", 2)]
+    whole = prefix_topk(store.load_all().select("query", "count"))
+    assert sorted(map(tuple, again.index().collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_the_loop_lives_over_failures(spark, tmp_path):
+    write(spark, [[("q",)]], "query string", tmp_path / "in")
+    store, log, tries = Store(spark, str(tmp_path / "store")), str(tmp_path / "log"), []
+    each = flush.flusher(store, lambda: 1.0, log)
+
+    def fails_twice(batch, n):
+        tries.append(n)
+        each(batch, n)
+        if len(tries) < 3:
+            raise RuntimeError("after the write")
+
+    failures = flush.keep_flushing(source(spark, tmp_path / "in", "query string"), fails_twice, log, lambda: len(tries) >= 3, 0.2)
+    assert failures == 2 and tries == [0, 0, 0]
+    assert store.get_count("q") == 1
+
+
+def test_size_trigger(spark, tmp_path):
+    """Files of 100 submissions, flushes of at most 250: two files a flush."""
+    write(spark, [[(f"q{k}",)] * 100 for k in range(5)], "query string", tmp_path / "in")
+    sizes = []
+    stream = source(spark, tmp_path / "in", "query string", **flush.by_size(Settings(batch_max_size=250), 100))
+    flush.drain(stream, lambda batch, n: sizes.append(batch.count()), str(tmp_path / "log"))
+    assert sizes == [200, 200, 100]
+
+
 def test_timed_flush_stops(spark, tmp_path):
     write(spark, [[("q",)]], "query string", tmp_path / "in")
     store = Store(spark, str(tmp_path / "store"))
-    q = flush.start(source(spark, tmp_path / "in", "query string"), flush.flusher(store, lambda: 1.0), str(tmp_path / "log"), 0.2)
+    q = flush.start(source(spark, tmp_path / "in", "query string"), flush.flusher(store, lambda: 1.0, str(tmp_path / "log")), str(tmp_path / "log"), 0.2)
     q.processAllAvailable()
     q.stop()
     assert store.get_count("q") == 1

@@ -60,6 +60,7 @@ def test_percentiles(spark):
     assert latency_summary(df.where("latency = 7")).first().p99 == 7.0
 
 
-def test_benchmark_summary():
-    assert benchmark_summary(100, 96, 2.0, 8000, 1032) == {"throughput": 50.0, "hit_rate": 0.96, "writes_avoided_pct": 87.1, "reduction": 7.75}
-    assert benchmark_summary(0, 0, 0.0, 0, 0)["reduction"] == 0.0
+def test_benchmark_summary(spark):
+    sums = spark.createDataFrame([("a", 100, 96, 2.0, 8000, 1032), ("b", 0, 0, 0.0, 0, 0)], "phase string, n long, hits long, s double, searches long, upserts long")
+    rows = {r.phase: tuple(r)[1:] for r in benchmark_summary(sums, "phase", requests="n", hits="hits", seconds="s", searches="searches", upserts="upserts").collect()}
+    assert rows == {"a": (50.0, 0.96, 87.1, 7.75), "b": (0.0, 0.0, 0.0, 0.0)}

@@ -54,6 +54,50 @@ def test_store_applies_once_and_compacts(spark, tmp_path):
     assert store.get_meta_int("k", 3) == 3
 
 
+def test_replacing_by_an_empty_table(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.apply_batch(spark.createDataFrame([("apple", 5)], "query string, delta long"), 1, 1.0)
+    assert store.bulk_replace(spark.createDataFrame([], "query string, count long")) == 0
+    assert as_dict(store.load_all()) == {} and store.watermark() == 1
+    store.apply_batch(spark.createDataFrame([("apple", 2)], "query string, delta long"), store.watermark() + 1, 1.0)
+    assert as_dict(store.load_all()) == {"apple": 2}
+
+
+def test_flush_during_compaction_is_not_lost(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    change = lambda n: spark.createDataFrame([("q", n)], "query string, delta long")
+    store.apply_batch(change(1), 1, 1.0)
+    put = store._put
+
+    def late(rows, upto):
+        store.apply_batch(change(10), 2, 1.0)
+        put(rows, upto)
+
+    monkeypatch.setattr(store, "_put", late)
+    store.compact()
+    assert as_dict(store.load_all()) == {"q": 11}
+
+
+def test_attempts_and_vacuum(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    change = lambda n: spark.createDataFrame([("q", n)], "query string, delta long")
+    store.apply_batch(change(1), 1, 1.0)
+    store.apply_batch(change(1), 1, 1.0)  # sent again
+    store.apply_batch(change(4), 2, 1.0)
+    assert as_dict(store.load_all()) == {"q": 5} and as_dict(store.load_all(1)) == {"q": 1}
+    (tmp_path / "store/deltas/seq=2-attempt=2").mkdir()  # an attempt that died
+    assert as_dict(store.load_all()) == {"q": 5}
+    store.compact()
+    store.apply_batch(change(7), 3, 1.0)
+    store.vacuum()
+    assert as_dict(store.load_all()) == {"q": 12} and list(store._deltas()) == [3]
+
+
+def test_segments_in_folders(spark, tmp_path):
+    spark.createDataFrame([("x", 3), ("y", None), ("z", 12)], "value string, seq long").write.partitionBy("seq").text(str(tmp_path / "log"))
+    assert sorted(map(tuple, read_segments(spark, str(tmp_path / "log")).collect()), key=str) == [(12, "z"), (3, "x"), (None, "y")]
+
+
 def test_invalidation_covers_all_prefixes_and_modes(spark):
     keys = {r.cache_key for r in writes.stale_keys(spark.createDataFrame([("ab",)], "query string")).collect()}
     assert keys == {"suggest:basic:a", "suggest:basic:ab", "suggest:trending:a", "suggest:trending:ab"}
