@@ -35,7 +35,7 @@ from .common import Cache, prepared, record, table, texts, written
 from .hashtable import HashTable
 from .shingles import mix
 
-PER_LANGUAGE, LEAST, SHARDS = 800, 3, 8
+PER_LANGUAGE, LEAST, SHARDS = 600, 3, 8
 #: Of a row of the model's table, and of a table that is broadcast.
 ROW_BYTES, BROADCAST_BYTES = 16, 64 << 20
 QUANTILE = 0.99
@@ -203,6 +203,19 @@ def trusted_ids(labels: DataFrame, held_out: bool) -> DataFrame:
     return judged.where("q = 1 and t = 0").where(half).select("doc_id")
 
 
+def _collected(table: DataFrame, size: int, parts: int = 16) -> list[np.ndarray]:
+    """The columns of a table within bounds, a part at a time, so that the driver holds them once. p is nan where null."""
+    columns = [np.empty(size, np.uint64), np.empty(size, np.float32), np.empty(size, np.float32)]
+    at = 0
+    for k in range(parts):
+        own = table.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k).select("key", F.col("p").cast("float").alias("p"), F.col("g").cast("float").alias("g")).toArrow()
+        to = at + own.num_rows
+        columns[0][at:to] = own["key"].to_numpy().view(np.uint64)
+        columns[1][at:to], columns[2][at:to] = own["p"].to_numpy(), own["g"].to_numpy()
+        at = to
+    return columns
+
+
 @prepared
 def train(docs: DataFrame, labels: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """docs: doc_id, text, lang."""
@@ -217,10 +230,10 @@ def train(docs: DataFrame, labels: DataFrame, per_language: int = PER_LANGUAGE)
     ids = near.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_language).select("doc_id").distinct()
     sample = written(spark, docs.join(F.broadcast(ids), "doc_id"), "trusted")  # at most per_language ids a language
     words = sample.select("lang", F.explode(F.split(F.trim(F.regexp_replace("text", r"(?U)[\s\x1c-\x1f]+", " ")), " ")).alias("w"))
-    common = words.where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("lang", "w").collect()  # of the bounded sample
+    common = words.where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("lang", "w").toArrow()  # of the bounded sample
     known: dict[str, set[int]] = {}
-    for r in common:
-        known.setdefault(r.lang, set()).add(_hash("w" + r.w))
+    for language, w in zip(common["lang"].to_pylist(), common["w"].to_pylist(), strict=True):
+        known.setdefault(language, set()).add(_hash("w" + w))
     languages = [r.lang for r in sample.select("lang").distinct().collect()]
     model = Model({x: frozenset(known.get(x, ())) for x in languages}, {})
     shared = spark.sparkContext.broadcast(model)
@@ -238,8 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, per_language: int = PER_LANGUAGE)
     model.unseen = {r.lang: r.unseen for r in unseen.collect()}  # one row for each language
     model.size = model.table.count()
     if model.size * ROW_BYTES <= BROADCAST_BYTES:
-        found = model.table.select("key", F.col("p").cast("float").alias("p"), F.col("g").cast("float").alias("g")).toArrow()  # within bounds
-        model.columns = [found["key"].to_numpy().view(np.uint64), found["p"].to_numpy(), found["g"].to_numpy()]  # p is nan where null
+        model.columns = _collected(model.table, model.size)
     return model
 
 
