@@ -35,7 +35,7 @@ from .common import Cache, prepared, record, table, texts, written
 from .hashtable import HashTable
 from .shingles import mix
 
-PER_LANGUAGE, LEAST, SHARDS = 600, 3, 8
+PER_LANGUAGE, LEAST, SHARDS, PARTS = 500, 3, 8, 16
 #: Of a row of the model's table, and of a table that is broadcast.
 ROW_BYTES, BROADCAST_BYTES = 16, 64 << 20
 QUANTILE = 0.99
@@ -88,32 +88,32 @@ def _keys(language: str, symbols: list[np.ndarray]) -> dict[str, np.ndarray]:
         return {"k3": mix(two(p2, p1) * GOLD + w + np.uint64(3)), "k2": k2, "k1": one(w), "c2": two(p2, p1), "c1": one(p1)}
 
 
-def _level(grams: DataFrame, context: str, count: str) -> tuple[DataFrame, DataFrame]:
+def _level(grams: DataFrame, context: str, count: str) -> DataFrame:
     """One level of the model from n-grams with their counts: the n-grams with `share`, their discounted share of their
-    context, and the contexts (lang, context, g) with the weight of what lies below. The discounts of a language are one row."""
+    context, and `g`, the context's weight of what lies below. The discounts of a language are one row."""
     n = F.col(count)
     of = [F.count_if(n == i).cast("double") for i in (1, 2, 3, 4)]
     y = F.when(of[0] > 0, of[0] / (of[0] + 2 * of[1])).otherwise(0.5)
     cut = [F.when(of[i] > 0, F.least(F.greatest((i + 1) - (i + 2) * y * of[i + 1] / F.greatest(of[i], F.lit(1.0)), F.lit(0.05)), F.lit(i + 0.95))).otherwise(0.5 * (i + 1)) for i in range(3)]
     discounts = grams.groupBy("lang").agg(*(c.alias(f"d{i + 1}") for i, c in enumerate(cut)))
     cut_of = grams.join(F.broadcast(discounts), "lang").withColumn("cut", F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))).drop("d1", "d2", "d3")
-    contexts = cut_of.groupBy("lang", context).agg(F.sum(n).alias("all"), (F.sum("cut") / F.sum(n)).alias("g"))
-    shares = cut_of.join(contexts.drop("g"), ["lang", context]).withColumn("share", (n - F.col("cut")) / F.col("all")).drop("cut", "all")
-    return shares, contexts.drop("all")
+    own = Window.partitionBy("lang", context)  # of a bounded sample
+    every = F.sum(n).over(own)
+    return cut_of.select(*(c for c in cut_of.columns if c != "cut"), ((n - F.col("cut")) / every).alias("share"), (F.sum("cut").over(own) / every).alias("g"))
 
 
 def kneser_ney(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From the trigrams (lang, k3, k2, k1, c2, c1, n): the table (key, p, g) of probabilities of n-grams (null for keys that
     are contexts alone) and back-off weights of contexts (1 for others), and for each language the probability of a symbol
-    that was never seen (lang, unseen)."""
-    three, context2 = _level(grams, "c2", "n")
-    two, context1 = _level(grams.groupBy("lang", "k2", "k1", "c1").agg(F.count("*").alias("n")), "c1", "n")
-    one, root = _level(two.groupBy("lang", "k1").agg(F.count("*").alias("n")).withColumn("c0", F.lit(0)), "c0", "n")
-    types = one.groupBy("lang").agg(F.count("*").alias("types"))
-    unseen = root.join(types, "lang").select("lang", (F.col("g") / (F.col("types") + 1)).alias("unseen"))
-    p1 = one.join(F.broadcast(unseen), "lang").select("lang", "k1", (F.col("share") + F.col("unseen")).alias("p1"))  # one row a language
-    p2 = two.join(context1, ["lang", "c1"]).join(p1, ["lang", "k1"]).select("lang", "k2", (F.col("share") + F.col("g") * F.col("p1")).alias("p2"))
-    p3 = three.join(context2, ["lang", "c2"]).join(p2, ["lang", "k2"]).select("k3", (F.col("share") + F.col("g") * F.col("p2")).alias("p"))
+    that was never seen (lang, unseen). Keys are seeded by the language, so they tell it."""
+    three = _level(grams.select("lang", "k3", "k2", "c2", "n"), "c2", "n")
+    two = _level(grams.groupBy("k2").agg(F.max("lang").alias("lang"), F.max("k1").alias("k1"), F.max("c1").alias("c1"), F.count("*").alias("n")), "c1", "n")
+    one = _level(two.groupBy("lang", "k1").agg(F.count("*").alias("n")).withColumn("c0", F.lit(0)), "c0", "n")
+    unseen = one.groupBy("lang").agg((F.max("g") / (F.count("*") + 1)).alias("unseen"))
+    p1 = one.join(F.broadcast(unseen), "lang").select("k1", (F.col("share") + F.col("unseen")).alias("p1"))  # one row a language
+    p2 = two.join(p1, "k1").select("k2", (F.col("share") + F.col("g") * F.col("p1")).alias("p2"))
+    p3 = three.join(p2, "k2").select("k3", (F.col("share") + F.col("g") * F.col("p2")).alias("p"))
+    context2, context1 = (x.groupBy(c).agg(F.max("g").alias("g")) for x, c in ((three, "c2"), (two, "c1")))
     none = F.lit(None).cast("double")
     rows = p3.select(F.col("k3").alias("key"), "p", none.alias("g"))
     rows = rows.union(p2.select("k2", "p2", none)).union(p1.select("k1", "p1", none))
@@ -203,12 +203,12 @@ def trusted_ids(labels: DataFrame, held_out: bool) -> DataFrame:
     return judged.where("q = 1 and t = 0").where(half).select("doc_id")
 
 
-def _collected(table: DataFrame, size: int, parts: int = 16) -> list[np.ndarray]:
+def _collected(table: DataFrame, size: int) -> list[np.ndarray]:
     """The columns of a table within bounds, a part at a time, so that the driver holds them once. p is nan where null."""
     columns = [np.empty(size, np.uint64), np.empty(size, np.float32), np.empty(size, np.float32)]
     at = 0
-    for k in range(parts):
-        own = table.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k).select("key", F.col("p").cast("float").alias("p"), F.col("g").cast("float").alias("g")).toArrow()
+    for k in range(PARTS):
+        own = table.where(F.col("part") == k).select("key", F.col("p").cast("float").alias("p"), F.col("g").cast("float").alias("g")).toArrow()
         to = at + own.num_rows
         columns[0][at:to] = own["key"].to_numpy().view(np.uint64)
         columns[1][at:to], columns[2][at:to] = own["p"].to_numpy(), own["g"].to_numpy()
@@ -247,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, per_language: int = PER_LANGUAGE)
 
     grams = sample.mapInArrow(run, "lang string, k3 long, k2 long, k1 long, c2 long, c1 long").groupBy("lang", "k3", "k2", "k1", "c2", "c1").agg(F.count("*").alias("n"))
     rows, unseen = kneser_ney(written(spark, grams, "grams"))
-    model.table = written(spark, rows, "model")
+    model.table = written(spark, rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")), "model", "part")
     model.unseen = {r.lang: r.unseen for r in unseen.collect()}  # one row for each language
     model.size = model.table.count()
     if model.size * ROW_BYTES <= BROADCAST_BYTES:
