@@ -23,6 +23,7 @@ kept by `keep_one`, whatever they are called.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -240,13 +241,10 @@ def _open_links(groups: DataFrame, labels: DataFrame, sets: DataFrame, threshold
     return cells.repartition(F.col("head"), F.col("i"), F.col("j")).sortWithinPartitions("head", "i", "j").mapInArrow(run, "a binary, b binary")
 
 
-@prepared
-def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, node (of its text), label (of its class) and class_id of every row."""
-    spark = docs.sparkSession
-    rows = written(spark, banded(docs, words), "bands")
-    nodes = written(spark, rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
-    members = nodes.select("node", F.explode("bands").alias("key"))
+def linked(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """node, label of all nodes that are linked to another one: those that share a key and whose sets are similar enough, and
+    what such links connect. members: (node, key); sets_of gives the sets (node, marks) of the nodes of its argument."""
+    spark = members.sparkSession
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sized = written(spark, members.join(sizes, "key"), "sized")
     # The head of a bucket is its member with the fullest buckets: the text that most others are copies of.
@@ -254,19 +252,36 @@ def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHO
     ranked = sized.select("node", "key").join(rank, "node")
     heads = ranked.groupBy("key").agg(F.max_by("node", "rank").alias("head"))
     groups = written(spark, ranked.select("node", "key").join(heads, "key").select("head", "node").distinct(), "groups")
-    wanted = nodes.join(groups.select("node").distinct(), "node", "left_semi").select("node", "rep")
-    sets = written(spark, _sets(docs, wanted, words), "sets")
+    sets = written(spark, sets_of(groups.select("node").distinct()), "sets")
     links = written(spark, _links(groups.where("head <> node").toDF("a", "b"), sets, threshold), "links")
-    more = written(spark, _open_links(groups, components(links), sets, threshold), "links")
-    labels = components(links.unionByName(more)) if not more.isEmpty() else components(links)
-    classed = nodes.select("node", "rep").join(labels, "node")
-    least = classed.groupBy("label").agg(F.min("rep").alias("class_id"))
-    by_node = classed.join(least, "label").select("node", "label", "class_id")
-    by_node = nodes.select("node", "rep").join(by_node, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("class_id", "rep").alias("class_id"))
-    by_node = written(spark, by_node, "classes")  # so that a text with very many copies can be split in the join
+    labels = components(links)
+    more = written(spark, _open_links(groups, labels, sets, threshold), "links")
+    return labels if more.isEmpty() else components(links.unionByName(more))
+
+
+@prepared
+def near_classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, node (of its text), label (of its class) and class_id of every row."""
+    spark = docs.sparkSession
+    rows = written(spark, banded(docs, words), "bands")
+    nodes = written(spark, rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return _sets(docs, nodes.join(wanted, "node", "left_semi").select("node", "rep"), words)
+
+    labels = linked(nodes.select("node", F.explode("bands").alias("key")), sets_of, threshold)
+    by_node = written(spark, classed(nodes.select("node", "rep"), labels), "classes")  # so that a text with very many copies can be split in the join
     return rows.select("doc_id", "node").join(by_node, "node")
 
 
+def classed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label, class_id (the least rep of its class) of all nodes (node, rep); those without a label are alone."""
+    own = nodes.join(labels, "node")
+    least = own.groupBy("label").agg(F.min("rep").alias("class_id"))
+    found = own.join(least, "label").select("node", "label", "class_id")
+    return nodes.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.coalesce("class_id", "rep").alias("class_id"))
+
+
 @prepared
 def keep_one(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class: of its least doc_id (null only if all are null), of the least text hash among rows with that."""

@@ -2,9 +2,10 @@
 
 After each common word (an anchor) a chain of the next two content words, anchors between them skipped, makes a spot
 signature; a text's fingerprint is its set of signatures. The likeness of two fingerprints is the Jaccard similarity of
-the sets. `near_pairs` finds the pairs of at least a given likeness: sets are partitioned by length so that only
+the sets. `near_classes` finds what is linked by at least a given likeness: sets are partitioned by length so that only
 partitions whose lengths allow it meet, a set is listed under its rarest signatures only (as many as any similar set must
-share one of), and each pair stops at the bound that its lengths and remaining signatures leave.
+share one of), pairs are pruned by their lengths before their sets are merged, and a group of near copies is tested against
+its head, so pairs of its members are never rows.
 
 Defined results: a null text is the empty text; a text without spots has one signature, the hash of the whole text, so
 equal texts have equal fingerprints and likeness 1 and others 0; repeated rows, and rows of equal doc_id (in order of
@@ -25,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache, prepared, record, table, written
+from .common import Cache, prepared, record, table, texts, written
+from .minhash import classed, linked
 from .shingles import mix
 
 #: Common words of the four languages of the corpus. Fixed values.
@@ -87,13 +89,18 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - n] + other[:n]
 
 
+#: Runs that the texts are cut into at most: one number and one row of each are on the driver. A run is read as a stream.
+MOST_RUNS = 10_000
+
+
 def with_next(docs: DataFrame, per_part: int = 5000) -> DataFrame:
     """doc_id, text in runs (part) sorted by doc_id and then text, kind 0; each run ends with rows of kind 1, the first
-    rows of the next run (the last run's next is the first). One exchange of the texts; runs are cut at quantiles."""
+    rows of the next run (the last run's next is the first). One exchange of the texts; runs are cut at quantiles. Rows of
+    one doc_id lie in one run."""
     spark = docs.sparkSession
     ids = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))
     n = ids.count()
-    parts = max(1, n // per_part)
+    parts = max(1, min(n // per_part, MOST_RUNS))
     cuts = np.array(sorted(set(ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else [])
     cuts = cuts.astype(np.int64)  # one number for each run
 
@@ -146,43 +153,51 @@ def _bucket(length, least: float):
     return F.floor(F.log(length.cast("double")) / F.lit(float(-np.log(least)))).cast("int")
 
 
+_MEMBERS = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("marks", pa.binary())])
+_ITEMS = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("s", pa.int64())])
+
+
 @prepared
-def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, likeness) of all pairs of different fingerprints with at least that likeness, and nothing else: a and b are
-    `print_id`, a hash of the fingerprint. With `members` it gives the documents: equal fingerprints are not paired."""
-    spark = docs.sparkSession
-    prints = written(spark, members(docs), "prints").groupBy("print_id").agg(F.first("sig").alias("sig"))
-    items = prints.select("print_id", F.size("sig").alias("n"), F.explode("sig").alias("s"))
-    frequency = items.groupBy("s").agg(F.count("*").alias("f"))
-    ordered = items.join(frequency, "s").groupBy("print_id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("o"))
-    # Of a set of n, any set of likeness t shares one of the first n - ceil(t n) + 1 in a common order.
-    prefix = F.expr(f"slice(o, 1, cast(n - ceil({least} * n) + 1 as int))")
-    listed = ordered.select("print_id", "n", F.explode(prefix).alias("p")).select("print_id", "n", "p.s", _bucket(F.col("n"), least).alias("bucket"))
-    probe = listed.select(F.col("print_id").alias("b"), F.col("n").alias("nb"), "s", F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
-    own = listed.select(F.col("print_id").alias("a"), F.col("n").alias("na"), "s", "bucket")
-    # Each pair once: across buckets the shorter set probes the longer's; within one, in the order of the hashes.
-    once = (F.col("bucket") != _bucket(F.col("nb"), least)) | (F.col("a") < F.col("b"))
-    fits = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")
-    pairs = own.join(probe, ["s", "bucket"]).where(once & fits & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = (prints.select(F.col("print_id").alias(k), F.col("sig").alias("s" + k)) for k in "ab")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("likeness")).where(F.col("likeness") >= least)
+def members(docs: DataFrame) -> DataFrame:
+    """doc_id, node (a 128-bit hash of the fingerprint) and marks (its signatures, sorted, 64 bits each) of each document."""
 
+    def run(batches):
+        for batch in batches:
+            sigs = [spots(t) for t in texts(batch)]
+            yield record(_MEMBERS, doc_id=batch.column("doc_id"), node=[hashlib.md5(s.tobytes()).digest() for s in sigs], marks=[s.astype(np.uint64).tobytes() for s in sigs])
 
-_MEMBERS = pa.schema([("doc_id", pa.int64()), ("print_id", pa.int64()), ("sig", pa.list_(pa.int64()))])
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, marks binary")
 
 
-@prepared
-def members(docs: DataFrame) -> DataFrame:
-    """doc_id, print_id and signatures of each document."""
+def _listed(prints: DataFrame, least: float) -> DataFrame:
+    """node, key: each fingerprint under its rarest signatures with the bucket of its length and the next one."""
 
     def run(batches):
         for batch in batches:
-            sigs = [spots(t or "") for t in batch.column("text").to_pylist()]
-            ids = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sigs], np.uint64).view(np.int64)
-            yield record(_MEMBERS, doc_id=batch.column("doc_id"), print_id=ids, sig=[s.astype(np.int64) for s in sigs])
+            for node, marks in zip(batch.column("node").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+                s = np.frombuffer(marks, np.int64)
+                yield record(_ITEMS, node=[node] * len(s), n=np.full(len(s), len(s), np.int32), s=s)
+
+    items = written(prints.sparkSession, prints.mapInArrow(run, "node binary, n int, s long"), "items")  # so that a common signature can be split in the join
+    frequency = items.groupBy("s").agg(F.count("*").alias("f"))
+    ordered = items.join(frequency, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("o"))  # of one text
+    # Of a set of n, any set of likeness t shares one of the first n - ceil(t n) + 1 in a common order.
+    prefix = F.expr(f"slice(o, 1, cast(n - ceil({least} * n) + 1 as int))")
+    own = ordered.select("node", _bucket(F.col("n"), least).alias("bucket"), F.explode(prefix).alias("p"))
+    return own.select("node", F.explode(F.array(*(F.xxhash64("p.s", F.col("bucket") + i) for i in (0, 1)))).alias("key"))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, print_id long, sig array<long>")
+@prepared
+def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, class_id of every row: the least doc_id of the class of what links of at least that likeness connect (null
+    only if all are null). Equal fingerprints are in one class."""
+    spark = docs.sparkSession
+    rows = written(spark, members(docs), "members")
+    prints = written(spark, rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("marks").alias("marks")), "prints")
+    sets = prints.select("node", "marks")
+    labels = linked(_listed(sets, least), lambda wanted: sets.join(wanted, "node", "left_semi"), least)
+    by_node = written(spark, classed(prints.select("node", "rep"), labels), "classes")
+    return rows.select("doc_id", "node").join(by_node.select("node", "class_id"), "node").select("doc_id", "class_id")
 
 
 def op9_spots(spark: SparkSession, sf_dir: str) -> DataFrame:

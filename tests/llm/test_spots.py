@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from prefixory.llm import spots
+from prefixory.llm import minhash, spots
 
 
 def jaccard(a, b):
@@ -55,7 +55,7 @@ def test_equal_texts_have_equal_fingerprints(spark):
 
 
 @pytest.mark.parametrize("least", [0.5, 0.8])
-def test_pairs_equal_all_pairs(make, least):
+def test_classes_are_those_of_all_pairs(make, least):
     r = random.Random(8)
     docs = []
     for i in range(12):
@@ -66,11 +66,56 @@ def test_pairs_equal_all_pairs(make, least):
                 own[r.randrange(60)] = f"x{i}{j}"
             docs.append((i * 3 + j, " ".join(own)))
     docs.append((99, docs[0][1]))
-    df = make(docs)
-    own = {x.doc_id: x for x in spots.members(df).collect()}
-    sets = {x.print_id: set(x.sig) for x in own.values()}
-    ids = sorted(sets)
-    expected = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in ids for b in ids if a < b}
-    got = {(x.a, x.b): x.likeness for x in spots.near_pairs(df, least).collect()}
-    assert got == pytest.approx({k: v for k, v in expected.items() if v >= least})
-    assert len(got) >= 5
+    assert _check_classes(make, docs, least) >= 5
+
+
+def test_classes_of_a_large_group_and_a_chain(make, monkeypatch):
+    """A group of near copies that share their signatures, and a chain whose ends are unlike, found in cells of few rows."""
+    monkeypatch.setattr(minhash, "CELL_ROWS", 16)
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**6)}"
+    base = [x for _ in range(60) for x in ("the", word(), word())]
+    docs = []
+    for i in range(80):  # each differs in one place of its own
+        own = list(base)
+        own[3 * (i % 60) + 1] = f"own{i}"
+        docs.append((i, " ".join(own)))
+    chain = [x for _ in range(60) for x in ("of", word(), word())]
+    for i in range(25):
+        docs.append((200 + i, " ".join(chain)))
+        for k in (3 * i + 1, 3 * i + 91):
+            chain[k] = f"turn{i}k{k}"
+    assert _check_classes(make, docs, 0.8) > 500
+
+
+def test_classes_of_hard_rows(make):
+    from .conftest import HARD
+
+    assert spots.near_classes(make([], extra=True)).count() == 0
+    _check_classes(make, HARD, 0.8, extra=True)
+
+
+def _check_classes(make, docs, least, extra=False):
+    """Compares with the components of all pairs; gives the number of linked pairs."""
+    sets = [set(spots.spots(t or "").tolist()) for _, t in docs]
+    label = list(range(len(docs)))
+    links = 0
+    for a in range(len(docs)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                links += 1
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    lowest = {x: min((docs[i][0] for i, y in enumerate(label) if y == x and docs[i][0] is not None), default=None) for x in label}
+    expected = sorted((str(i), str(lowest[x])) for (i, _), x in zip(docs, label, strict=True))
+    got = sorted((str(x.doc_id), str(x.class_id)) for x in spots.near_classes(make(docs, extra=extra), least).collect())
+    assert got == expected
+    return links
+
+
+def test_runs_are_bounded(make, monkeypatch):
+    monkeypatch.setattr(spots.with_next, "__defaults__", (2,))
+    monkeypatch.setattr(spots, "MOST_RUNS", 3)
+    docs = [(i, f"the big cat number {i}") for i in range(40)]
+    assert spots.with_next(make(docs)).select("part").distinct().count() <= 3
+    assert [(r.doc_id, r.n_chars) for r in spots.compared(make(docs)).orderBy("doc_id").collect()] == [(i, len(t)) for i, t in docs]
