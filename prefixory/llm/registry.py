@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audit import OP12_SQL, op12_filter_audit
+from .automaton import op13_word_pieces
+from .fim import OP11_SQL, op11_fill_in_middle
 from .language_model import op2_language_model
 from .lines import OP8_SQL, op8_lines
 from .minhash import op10_near_duplicates
@@ -30,8 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lines": op8_lines,
         "op9_spots": op9_spots,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_word_pieces": op13_word_pieces,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_lines": OP8_SQL}
+    return {"op8_lines": OP8_SQL, "op11_fill_in_middle": OP11_SQL, "op12_filter_audit": OP12_SQL}
