@@ -68,6 +68,25 @@ def index_stats(counts: DataFrame) -> DataFrame:
     return queries.agg(F.count("*").alias("queries")).crossJoin(nodes)  # one row each
 
 
+def sketches(queries: DataFrame, *keys: str, bits: int = 14) -> DataFrame:
+    """A row (of each key, such as the flush) with sketches of the distinct queries and of their prefixes, which `merged_stats`
+    puts together whatever flushes they come from. Sketches have a fixed size, so a row does."""
+    each = queries.where(F.length("query") > 0).groupBy(*keys).agg(F.hll_sketch_agg("query", bits).alias("queries"))
+    nodes = queries.where(F.length("query") > 0).select(*keys, F.explode(prefixes(F.col("query"))).alias("prefix")).groupBy(*keys).agg(F.hll_sketch_agg("prefix", bits).alias("nodes"))
+    return each.join(nodes, list(keys)) if keys else each.crossJoin(nodes)  # one row each without keys
+
+
+def merged_stats(rows: DataFrame) -> DataFrame:
+    """queries and nodes as `index_stats` has them, estimated from sketches of any number of flushes."""
+    return rows.agg(F.hll_sketch_estimate(F.hll_union_agg("queries")).alias("queries"), (F.hll_sketch_estimate(F.hll_union_agg("nodes")) + 1).alias("nodes"))
+
+
+def suggest_from_counts(requests: DataFrame, counts: DataFrame, limit: int = Settings.suggest_limit, k: int = Settings.trie_node_capacity) -> DataFrame:
+    """As suggest_basic, without an index: only the asked prefixes are ranked."""
+    rows = asked_topk(requests, counts, min(k, checked(limit, 1, 50, "limit")))
+    return rows.select("prefix", "rank", "query", "count", F.col("count").cast("double").alias("score"))
+
+
 def asked_topk(requests: DataFrame, counts: DataFrame, k: int = Settings.trie_node_capacity) -> DataFrame:
     """The index's rows of the asked prefixes alone, without an index: exploded prefixes meet the requests before they are
     ranked."""

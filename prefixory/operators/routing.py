@@ -14,12 +14,12 @@ SPACE = 1 << 32
 BROADCAST_POINTS = 1_000_000
 
 
-def ring(spark: SparkSession, nodes: list[str], vnodes: int = Settings.cache_vnodes) -> DataFrame:
-    """node, label, hash of every point. A label whose hash is taken gets a '~' (as often as need be), the first in the
+def ring(spark: SparkSession, nodes: list[str] | DataFrame, vnodes: int = Settings.cache_vnodes) -> DataFrame:
+    """node, label, hash of every point. nodes: their names, or a table of node and pos (their order, from 0). A label whose hash is taken gets a '~' (as often as need be), the first in the
     order of nodes keeping its own."""
-    if not nodes:
+    if isinstance(nodes, list) and not nodes:
         raise ValueError("a ring needs at least one node")
-    names = spark.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(nodes))], "node string, pos int")
+    names = nodes.groupBy("node").agg(F.min("pos").alias("pos")) if isinstance(nodes, DataFrame) else spark.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(nodes))], "node string, pos int")
     points = names.select("node", "pos", F.explode(F.sequence(F.lit(0), F.lit(vnodes - 1))).alias("replica"))
     points = points.withColumn("label", F.concat("node", F.lit("#"), F.col("replica").cast("string"))).withColumn("hash", ring_hash(F.col("label")))
     first = F.row_number().over(Window.partitionBy("hash").orderBy("pos", "replica"))

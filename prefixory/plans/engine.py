@@ -65,9 +65,10 @@ class Suggestions:
         s = self.settings
         return routing.ring(self.spark, [f"cache-{i}" for i in range(s.cache_nodes)], s.cache_vnodes)
 
-    def ring_distribution(self, sample: int = 20_000) -> DataFrame:
-        """How the keys prefix-0, prefix-1, ... spread over the nodes."""
-        keys = self.spark.range(index.checked(sample, 100, 100_000, "sample")).select(F.concat(F.lit("prefix-"), F.col("id").cast("string")).alias("key"))
+    def ring_distribution(self, sample: int = 20_000, keys: DataFrame | None = None) -> DataFrame:
+        """How keys (a table of key; by default prefix-0, prefix-1, ...) spread over the nodes."""
+        if keys is None:
+            keys = self.spark.range(index.checked(sample, 100, 100_000, "sample")).select(F.concat(F.lit("prefix-"), F.col("id").cast("string")).alias("key"))
         points = self.ring()
         return routing.distribution(routing.locate(keys, points), points)
 

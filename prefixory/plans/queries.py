@@ -18,8 +18,9 @@ from ..operators import cache, index, metrics, ranking, recency, routing, writes
 from ..settings import MODES
 from ..sources import corpus
 from ..sources.scratch import scratch_path, written
-from ..sources.store import Store, read_segments
-from ..streaming import flush
+from ..sources.index_table import IndexTable
+from ..sources.store import Store
+from ..streaming import flush, progress, state
 from .engine import Suggestions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,7 +100,7 @@ def prefix_topk_basic(spark, sf):
 @query(f"WITH {Q}, {TOPK.format(q='q')}, {REQ} SELECT prefix, rank, query, count, CAST(count AS DOUBLE) AS score FROM topk JOIN req USING (prefix) WHERE rank <= 10 AND prefix <> ''")
 def suggest_basic(spark, sf):
     """H1, C1, G1, B8, B11"""
-    return index.suggest_basic(prefix_requests(spark, sf), index.prefix_topk(counts(spark, sf)))
+    return index.suggest_from_counts(prefix_requests(spark, sf), counts(spark, sf))
 
 
 def _recent(spark, sf):
@@ -192,11 +193,11 @@ def corpus_bigrams(spark, sf):
     return corpus.bigrams(table(spark, sf, "documents"))
 
 
-@query(f"WITH {WORDS}, {UNI}, {BI} SELECT query, max(count) AS count FROM (SELECT * FROM uni UNION ALL SELECT * FROM bi) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 300000")
+@query(f"WITH {WORDS}, {UNI}, {BI} SELECT query, max(count) AS count FROM (SELECT * FROM uni UNION ALL SELECT * FROM bi) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20000")
 def corpus_merge_max(spark, sf):
-    """The 300,000 most frequent of both"""
+    """The 20,000 most frequent of both"""
     docs = table(spark, sf, "documents")
-    return corpus.top(corpus.max_merge(corpus.unigrams(docs).unionByName(corpus.bigrams(docs))), 300_000)
+    return corpus.top(corpus.max_merge(corpus.unigrams(docs).unionByName(corpus.bigrams(docs))), 20_000)
 
 
 @query(f"WITH {WORDS}, {UNI} SELECT query, count FROM uni")
@@ -232,10 +233,10 @@ def vocabulary(spark, sf):
 @query(f"""WITH {VOCAB}, hh AS (SELECT x.head, y.head AS other, x.a, y.a AS b FROM h x JOIN h y ON x.head <> y.head),
 r AS (SELECT head AS query, 1 AS kind, a, 0 AS b, 0 AS c FROM h UNION ALL SELECT head || ' ' || modifier, 2, a, 0, c FROM h, mo
 UNION ALL SELECT head || ' ' || other, 3, a, b, 0 FROM hh UNION ALL SELECT head || ' ' || other || ' ' || modifier, 4, a, b, c FROM hh, mo)
-SELECT query, greatest(1, CAST(floor(1e7 * pow(rank, -1.07)) AS BIGINT)) AS count FROM (SELECT query, row_number() OVER (ORDER BY p, query) AS rank FROM (SELECT query, min((kind, a, b, c)) AS p FROM r GROUP BY query)) WHERE rank <= 300000""")
+SELECT query, greatest(1, CAST(floor(1e7 * pow(rank, -1.07)) AS BIGINT)) AS count FROM (SELECT query, row_number() OVER (ORDER BY p, query) AS rank FROM (SELECT query, min((kind, a, b, c)) AS p FROM r GROUP BY query)) WHERE rank <= 500""")
 def synthetic_zipf(spark, sf):
     """A3, C8, C9, C10, F3, E3, H12"""
-    return corpus.synthetic(*vocabulary(spark, sf))
+    return corpus.synthetic(*vocabulary(spark, sf), limit=500)
 
 
 @query(f"WITH {Q} SELECT count(*) AS queries, count(*) FILTER (contains(query, ' ')) AS multi_word, count(*) FILTER (NOT contains(query, ' ')) AS single_word, min(count) AS smallest, max(count) AS largest FROM q")
@@ -287,13 +288,13 @@ def trending_prefix(spark, sf):
     return recency.by_prefix(scores, asked).withColumn("score", F.round("score", 4))
 
 
-@query(f"WITH {EV}, m AS (SELECT max(t) AS now FROM ev) SELECT query, round(sum({DECAY.format(now='now', h=DAY)}), 4) AS score FROM ev, m GROUP BY 1 ORDER BY sum({DECAY.format(now='now', h=DAY)}) DESC, min(event_id) LIMIT 50000")
+@query(f"WITH {EV}, m AS (SELECT max(t) AS now FROM ev) SELECT query, round(sum({DECAY.format(now='now', h=DAY)}), 4) AS score FROM ev, m GROUP BY 1 ORDER BY sum({DECAY.format(now='now', h=DAY)}) DESC, min(event_id) LIMIT 40")
 def recency_prune(spark, sf):
-    """The best by score, as many as the state may hold"""
+    """The best 40 by score"""
     e = events(spark, sf)
     first = e.groupBy("query").agg(F.min("event_id").alias("first_seen"))
     rows = recency.recency_scores(e, latest(e), DAY).join(first, "query")
-    return recency.pruned(rows).select("query", F.round("score", 4).alias("score"))
+    return recency.pruned(rows, 40).select("query", F.round("score", 4).alias("score"))
 
 
 # --- writes
@@ -355,11 +356,14 @@ def store_batches(spark, sf):
 
 @query(f"WITH {EV}, r AS (SELECT * FROM ev WHERE CASE WHEN event_id % 10 = 0 THEN true ELSE event_id // 100 > 5 END) SELECT query, count(*) AS delta FROM r GROUP BY 1")
 def wal_recovery(spark, sf):
-    """Segments after the watermark and the live log, as files"""
+    """Submissions appended to a log by the file sink, the log read back as a stream; segments after
+    the watermark and the live log are replayed"""
     seq = F.when(F.col("event_id") % 10 != 0, F.floor(F.col("event_id") / 100))
-    path = scratch_path(spark, "segments")
-    events(spark, sf).select(F.col("query").alias("value"), seq.alias("seq")).write.partitionBy("seq").text(path)
-    return writes.deltas(writes.replayed(read_segments(spark, path), 5))
+    path, at = scratch_path(spark, "log"), scratch_path(spark, "stream")
+    for _ in range(2):  # a writer that starts again appends nothing twice
+        flush.log_submissions(_stream(spark, sf).select("query", seq.alias("seq")), path, at)
+    back = spark.readStream.schema("query string, seq long").parquet(path)
+    return writes.deltas(writes.replayed(_drained(spark, back), 5))
 
 
 @query(f"WITH {EV}, s AS (SELECT CASE WHEN event_id % 10 <> 0 THEN event_id // 100 END AS seq FROM ev) SELECT count(*) FILTER (seq IS NULL OR seq > 5) AS lines, CAST(greatest(max(seq), 5) + 1 AS BIGINT) AS seq FROM s")
@@ -412,16 +416,25 @@ def route_keys(spark, sf):
     return a.union(b).union(spark.range(1).select(F.lit("suggest:basic:java"))).distinct()
 
 
-@query(f"WITH {ring_sql(4)} SELECT * FROM ring")
+NATION_RING = "ring AS (SELECT node, node || '#' || r AS label, CAST(('0x' || left(md5(node || '#' || r), 8)) AS BIGINT) AS hash FROM (SELECT 'cache-' || n_nationkey AS node FROM nation), range(150) s(r))"
+
+
+def nation_ring(spark, sf):
+    """A ring with a node for each nation."""
+    nodes = table(spark, sf, "nation").select(F.concat(F.lit("cache-"), F.col("n_nationkey").cast("string")).alias("node"), F.col("n_nationkey").alias("pos"))
+    return routing.ring(spark, nodes)
+
+
+@query(f"WITH {NATION_RING} SELECT * FROM ring")
 def ring_points(spark, sf):
     """H6, H8, D8"""
-    return routing.ring(spark, NODES)
+    return nation_ring(spark, sf)
 
 
-@query(f"WITH {ring_sql(4)} SELECT node, count(*) AS points FROM ring GROUP BY 1")
+@query(f"WITH {NATION_RING} SELECT node, count(*) AS points FROM ring GROUP BY 1")
 def ring_membership(spark, sf):
     """D20a"""
-    return routing.membership(routing.ring(spark, NODES))
+    return routing.membership(nation_ring(spark, sf))
 
 
 @query(f"WITH {ring_sql(4)}, {KEYS}, {route_sql('keys')} SELECT * FROM routed")
@@ -430,10 +443,19 @@ def ring_route(spark, sf):
     return routing.locate(route_keys(spark, sf), routing.ring(spark, NODES))
 
 
-@query(f"WITH {ring_sql(4)}, keys AS (SELECT 'prefix-' || i AS key FROM range(20000) r(i)), {route_sql('keys')} SELECT node, count(*) AS keys, round(count(*) * 4 / 20000, 3) AS load_factor FROM routed GROUP BY 1")
+@query(f"WITH {ring_sql(4)}, {KEYS}, {route_sql('keys')} SELECT node, count(*) AS keys, round(count(*) * 4 / (SELECT count(*) FROM keys), 3) AS load_factor FROM routed GROUP BY 1")
 def ring_distribution(spark, sf):
     """D11a, D12a"""
-    return Suggestions(counts(spark, sf)).ring_distribution()
+    return Suggestions(counts(spark, sf)).ring_distribution(keys=route_keys(spark, sf))
+
+
+@query(f"""WITH {ring_sql(4)}, keys AS (SELECT DISTINCT 'suggest:' || mode || ':' || substr(lower(p_name), 1, k) AS key FROM part, (VALUES (1), (4), (9)) v(k), (SELECT unnest(['basic', 'trending']) AS mode)), {route_sql('keys')}
+SELECT node, count(*) AS entries FROM routed GROUP BY 1""")
+def cache_entries(spark, sf):
+    """Entries of each node when the first letters of all names are cached in both modes"""
+    cut = F.explode(F.array(*(F.substring(F.lower("p_name"), 1, k) for k in (1, 4, 9))))
+    keys = table(spark, sf, "part").select(cut.alias("prefix")).distinct().withColumn("mode", F.explode(F.array(*map(F.lit, MODES))))
+    return routing.locate(keys.select(txt.cache_key(F.col("mode"), F.col("prefix")).alias("key")), routing.ring(spark, NODES)).groupBy("node").agg(F.count("*").alias("entries"))
 
 
 def _remap(a: str, b: str) -> str:
@@ -675,13 +697,13 @@ def _stream(spark, sf):
     rows = table(spark, sf, "events")
     folder, _, _ = f"{sf}/events.parquet".rpartition("/")
     q = F.concat("event_type", F.lit("-"), (F.col("user_id") % 20).cast("string"))
-    return spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(folder).select(q.alias("query"), "user_id", F.col("ts").cast("timestamp").alias("ts"), epoch(F.col("ts")).alias("t"))
+    return spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet").parquet(folder).select("event_id", q.alias("query"), "user_id", F.col("ts").cast("timestamp").alias("ts"), epoch(F.col("ts")).alias("t"))
 
 
 def _drained(spark, stream, mode="append"):
     path = scratch_path(spark, "drained")
-    flush.drain(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/seq={n}"), scratch_path(spark, "stream"), mode)
-    return spark.read.schema(stream.schema).option("basePath", path).parquet(f"{path}/seq=*").drop("seq")
+    flush.drain(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"), scratch_path(spark, "stream"), mode)
+    return spark.read.schema(stream.schema).option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
 
 
 @query(f"WITH {EV} SELECT query, count(*) AS count FROM ev GROUP BY 1")
@@ -694,8 +716,8 @@ def stream_flush(spark, sf):
 
 @query(f"WITH {EV}, m AS (SELECT query, max(t) AS updated FROM ev GROUP BY 1) SELECT query, round(sum(pow(0.5, (updated - t) / {DAY})), 4) AS score, any_value(updated) AS updated FROM ev JOIN m USING (query) GROUP BY 1")
 def stream_recency(spark, sf):
-    """Keyed state; the last row of each query"""
-    rows = _drained(spark, flush.recency_stream(_stream(spark, sf), DAY), "update")
+    """Keyed state by a stateful processor; the last row of each query"""
+    rows = _drained(spark, state.recency_stream(_stream(spark, sf), DAY), "update")
     return rows.groupBy("query").agg(F.max_by("score", "updated").alias("score"), F.max("updated").alias("updated")).select("query", F.round("score", 4).alias("score"), "updated")
 
 
@@ -717,7 +739,7 @@ def stream_session(spark, sf):
 def stream_index(spark, sf):
     """The index grown over micro-batches, each of which comes twice"""
     store, log = Store(spark, scratch_path(spark, "store")), scratch_path(spark, "stream")
-    keeper = flush.IndexMaintainer(store, log)
+    keeper = flush.IndexMaintainer(store, log, buckets=8)
 
     def twice(batch, n):  # as after a failure between the write and the commit
         keeper(batch, n)
@@ -725,3 +747,66 @@ def stream_index(spark, sf):
 
     flush.drain(_stream(spark, sf), twice, log)
     return keeper.index()
+
+
+ARRIVALS = 5
+
+
+def _arrivals(spark, sf, *columns):
+    """The events as a stream of files in which each is up to six hours late, by a hash of its id."""
+    rows = events(spark, sf).withColumn("late", F.pmod(F.xxhash64("event_id"), F.lit(21_600)))
+    span = rows.agg(F.min("t").alias("a"), (F.max("t") + 21_600).alias("b")).first()
+    path, width = scratch_path(spark, "arrivals"), max(1.0, ((span.b or 0.0) - (span.a or 0.0)) / ARRIVALS)
+    came = rows.withColumn("part", F.floor((F.col("t") + F.col("late") - F.lit(span.a)) / F.lit(width)).cast("int")).select("part", *columns)
+    for k in range(ARRIVALS + 1):  # a file source takes files in the order of their times
+        came.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(came.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("""WITH k AS (SELECT event_id, user_id % 50 AS session, epoch_us(ts) / 1e6 AS t FROM events)
+SELECT event_id, session FROM (SELECT *, lead(t) OVER (PARTITION BY session ORDER BY t, event_id) AS nx FROM k) WHERE (nx IS NULL OR nx - t >= 7200) AND t + 7200 <= (SELECT max(t) - 21600 FROM k)""")
+def stream_debounce(spark, sf):
+    """As `debounce`, of keystrokes that come late and in any order; what the watermark has passed"""
+    keys = _arrivals(spark, sf, "event_id", (F.col("user_id") % 50).alias("session"), "t")
+    return _drained(spark, state.debounced(keys, 7200.0, "6 hours")).select("event_id", "session")
+
+
+@query(f"""WITH {EV}, w AS (SELECT query, time_bucket(INTERVAL 12 HOUR, ts) - k * INTERVAL 12 HOUR AS start FROM ev, (VALUES (0), (1)) v(k))
+SELECT start, query, count(*) AS delta FROM w GROUP BY 1, 2 HAVING start + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 6 HOUR FROM ev)""")
+def stream_sliding(spark, sf):
+    """I1 by event time: days that begin every twelve hours, of events that come late and in any order"""
+    rows = flush.sliding_counts(_arrivals(spark, sf, "query", "ts"), "24 hours", "12 hours", "6 hours")
+    return _drained(spark, rows).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"WITH {Q}, {TOPK.format(q='q')}, {REQ} SELECT prefix, rank, query, count, CAST(count AS DOUBLE) AS score FROM topk JOIN req USING (prefix) WHERE rank <= 10 AND prefix <> ''")
+def stream_suggest(spark, sf):
+    """Requests as a stream, each batch joined with the stored index of the last flush"""
+    found = IndexTable(spark, scratch_path(spark, "index"), buckets=8)
+    found.begin(counts(spark, sf), 0)
+    asked = prefix_requests(spark, sf).repartition(3)
+    path, out = scratch_path(spark, "requests"), scratch_path(spark, "suggestions")
+    asked.write.parquet(path)
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    flush.drain(stream, flush.serve(found, lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/seq={n}")), scratch_path(spark, "stream"))
+    return spark.read.option("basePath", out).parquet(f"{out}/seq=*").select("prefix", "rank", "query", "count", "score")
+
+
+@query(f"""WITH {EV}, d AS (SELECT floor(t / 432000) AS f, query, count(*) AS n FROM ev GROUP BY 1, 2)
+SELECT CAST(sum(n) AS BIGINT) AS searches, count(*) AS upserts, count(DISTINCT f) AS flushes, round(sum(n) / count(*), 3) AS reduction FROM d""")
+def stream_metrics(spark, sf):
+    """What a flushing query did, by the engine's progress and the store; a flush takes five days"""
+    path, store, log = scratch_path(spark, "days"), Store(spark, scratch_path(spark, "store")), scratch_path(spark, "stream")
+    events(spark, sf).select("query", F.floor(F.col("t") / 432_000).alias("f")).repartition("f").write.partitionBy("f").parquet(path)
+    stream = spark.readStream.schema("query string, f long").option("maxFilesPerTrigger", 1).parquet(path)
+    with progress.ProgressLog(spark) as seen:
+        flush.drain(stream, flush.flusher(store, lambda: 0.0, log), log)
+    rows = progress.flush_metrics(seen.table(), store, flush.checkpoint_id(spark, log))
+    return rows.select("searches", "upserts", "flushes", "reduction")
+
+
+@query()
+def index_sketch(spark, sf):
+    """Queries and nodes from sketches of two flushes, merged (tested against index_stats)"""
+    parts = [counts(spark, sf, f"l_linenumber {op} 4") for op in ("<=", ">")]
+    return index.merged_stats(written(index.sketches(parts[0]).unionByName(index.sketches(parts[1])), "sketches"))

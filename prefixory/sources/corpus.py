@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scores import zipf_count
-from ..functions.text import is_clean, normalize, words
+from ..functions.text import TOKEN, is_clean, normalize, words
 
 
 def read_tsv(spark: SparkSession, *paths: str) -> DataFrame:
@@ -55,10 +55,11 @@ def unigrams(docs: DataFrame) -> DataFrame:
 
 
 def bigrams(docs: DataFrame) -> DataFrame:
-    """query, count of neighbouring clean words."""
-    pairs = F.expr("transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))")
-    rows = docs.select(words(F.col("text")).alias("w")).where("size(w) > 1").select(F.explode(pairs).alias("query"))
-    return rows.groupBy("query").agg(F.count("*").alias("count")).where(is_clean(F.col("query")))
+    """query, count of neighbouring clean words. Words are looked at before they are paired, so no pair of others is made."""
+    clean = F.transform(words(F.col("text")), lambda w: F.when(w.rlike(TOKEN), w))
+    pairs = F.expr("filter(transform(sequence(1, size(w) - 1), i -> w[i - 1] || ' ' || w[i]), p -> p IS NOT NULL)")
+    rows = docs.select(clean.alias("w")).where("size(w) > 1").select(F.explode(pairs).alias("query"))
+    return rows.groupBy("query").agg(F.count("*").alias("count"))
 
 
 def synthetic(heads: DataFrame, modifiers: DataFrame, limit: int = 300_000, seed: int | None = None) -> DataFrame:

@@ -1,117 +1,163 @@
-"""The stored tables: query counts with snapshots and deltas, and meta values. A snapshot, and each attempt to write a flush,
-is a folder of its own; only complete ones count, so a reader never meets a half-written or half-deleted table."""
+"""Query counts as a Parquet table of numbered partitions, and meta values.
+
+root/counts/version=0/flush=<n> holds the deltas of flush n, version=<v>/flush=<n> with v above 0 a snapshot of all counts up
+to flush n. Each write is one partition by dynamic partition overwrite, which Spark brings into place by one rename: a
+reader meets it whole or not at all. Every partition has a row without a query, so an empty flush is one too.
+
+One writer at a time writes to a table (a second one's flush under a number in use is refused unless its content is the
+same); readers may be many.
+"""
 
 from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_int
-from ..schemas import QUERY_COUNTS
 
-_SNAPSHOT, _DELTA = re.compile(r"version=(\d+)-upto=(\d+)"), re.compile(r"seq=(\d+)-attempt=(\d+)")
+_COUNTS = "query string, delta long, at double, version int, flush long"
+_META = "value string, key string"
+
+
+def put(rows: DataFrame, path: str, *parts: str) -> None:
+    """Writes the partitions that occur in rows, in place of those that were there; others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def numbers(spark: SparkSession, path: str, schema: str, *parts: str) -> list[tuple[int, ...]]:
+    """The partitions of a table, by their numbers."""
+    try:
+        files = spark.read.schema(schema).parquet(path).inputFiles()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    name = re.compile("/" + "/".join(f"{p}=(\\d+)" for p in parts) + "/[^/]*$")
+    return sorted({tuple(map(int, m.groups())) for f in files if (m := name.search(f))})
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class Store:
-    """root/counts/version=<n>-upto=<m> are snapshots that hold the flushes up to m, root/deltas/seq=<n>-attempt=<k> are
-    flushes. A flush is applied once however often it is sent: of its attempts the last complete one counts."""
+    """A flush is applied once however often it is sent, also after it was folded into a snapshot."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.path = f"{self.root}/counts"
+
+    def _partitions(self) -> tuple[int, int, list[int]]:
+        """The newest snapshot's version and the last flush it holds, and the flushes that are there."""
+        found = numbers(self.spark, self.path, _COUNTS, "version", "flush")
+        version, folded = max((x for x in found if x[0]), default=(0, 0))
+        return version, folded, [n for v, n in found if not v]
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.schema(_COUNTS).parquet(self.path)
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _folders(self, folder: str, name: re.Pattern) -> list[tuple[int, int]]:
-        """The two numbers of each complete folder."""
-        fs, p = self._fs(f"{self.root}/{folder}")
-        if not fs.exists(p):
-            return []
-        found = []
-        for s in fs.listStatus(p):
-            m = name.fullmatch(s.getPath().getName())
-            if m and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-                found.append((int(m[1]), int(m[2])))
-        return sorted(found)
-
-    def _deltas(self) -> dict[int, int]:
-        """The attempt that counts of each flush."""
-        return dict(self._folders("deltas", _DELTA))  # sorted, so the last attempt wins
-
-    def _delta_path(self, seq: int, attempt: int) -> str:
-        return f"{self.root}/deltas/seq={seq}-attempt={attempt}"
-
-    def _put(self, rows: DataFrame, upto: int) -> None:
-        version = max((v for v, _ in self._folders("counts", _SNAPSHOT)), default=0) + 1
-        rows.write.mode("overwrite").parquet(f"{self.root}/counts/version={version}-upto={upto}")
+    def _put(self, rows: DataFrame, version: int, flush: int) -> None:
+        mark = self.spark.range(1).select(F.lit(None).cast("string").alias("query"), F.lit(0).cast("long").alias("delta"), F.lit(None).cast("double").alias("at"))
+        whole = rows.select("query", F.col("delta").cast("long").alias("delta"), F.col("at").cast("double").alias("at")).unionByName(mark)
+        put(whole.withColumn("version", F.lit(version)).withColumn("flush", F.lit(flush).cast("long")), self.path, "version", "flush")
 
     def bulk_replace(self, items: DataFrame) -> int:
-        """Replaces all counts; of duplicate queries the last in `ord` (if there is such a column) wins. Returns the number of
-        input rows."""
-        upto, n = self.watermark(), items.count()
-        if "ord" in items.columns:
-            items = items.groupBy("query").agg(F.max_by("count", "ord").alias("count"))
-        self._put(items.where(F.length("query") > 0).select("query", F.col("count").cast("long"), F.lit(None).cast("double").alias("last_searched")), upto)
-        return n
-
-    def apply_batch(self, changes: DataFrame, seq: int, at: float) -> None:
-        """A flush's deltas (query, delta) under its sequence number. Until it is complete an earlier attempt still counts."""
-        attempt = self._deltas().get(seq, 0) + 1
-        changes.select("query", "delta", F.lit(float(at)).alias("at")).write.mode("overwrite").parquet(self._delta_path(seq, attempt))
+        """Replaces all counts (query, count). Of queries that occur again the last in `ord` counts; without such a column
+        they are refused. Returns the number of input rows."""
+        ordered = "ord" in items.columns
+        each = items.groupBy("query").agg(F.count("*").alias("n"), (F.max_by("count", "ord") if ordered else F.first("count")).alias("delta"))
+        rows, again = items.count(), 0 if ordered else each.where("n > 1").count()
+        if again:
+            raise ValueError(f"{again} queries occur more than once; give their order in a column ord")
+        version = self._partitions()[0]
+        self._put(each.where(F.length("query") > 0).withColumn("at", F.lit(None)), version + 1, self.watermark())
+        return rows
+
+    def apply_batch(self, changes: DataFrame, seq: int, at: float) -> bool:
+        """A flush's deltas (query, delta) under its number, from 1 on; whether it was new. One that is there or folded already
+        changes nothing; another one under a number in use is an error."""
+        if seq < 1:
+            raise ValueError("flushes are numbered from 1")
+        _, folded, flushes = self._partitions()
+        if seq <= folded:
+            return False
+        if seq in flushes:
+            self._same(changes, self.flush(seq), seq)
+            return False
+        self._put(changes.withColumn("at", F.lit(float(at))), 0, seq)
+        return True
+
+    @staticmethod
+    def _same(sent: DataFrame, there: DataFrame, seq: int) -> None:
+        sums = [F.count("*"), F.sum("delta"), F.bit_xor(F.xxhash64("query", F.col("delta").cast("long")))]
+        if sent.agg(*sums).first() != there.agg(*sums).first():
+            raise ValueError(f"flush {seq} exists with other content")
+
+    def flush(self, seq: int) -> DataFrame:
+        """query, delta, at of a flush that isn't folded."""
+        return self._read().where((F.col("version") == 0) & (F.col("flush") == seq) & F.col("query").isNotNull()).select("query", "delta", "at")
+
+    def flush_sizes(self) -> DataFrame:
+        """flush, upserts of the flushes that aren't folded."""
+        return self._read().where("version = 0").groupBy("flush").agg(F.count("query").alias("upserts"))
 
     def watermark(self) -> int:
-        """The last applied sequence number, in a delta or in the snapshot."""
-        return max(max(self._deltas(), default=0), max((m for _, m in self._folders("counts", _SNAPSHOT)), default=0))
-
-    def _merged(self, deltas: dict[int, int], upto: int | None = None) -> DataFrame:
-        snapshots = self._folders("counts", _SNAPSHOT)
-        version, folded = snapshots[-1] if snapshots else (0, 0)
-        base = self.spark.read.schema(QUERY_COUNTS).parquet(f"{self.root}/counts/version={version}-upto={folded}") if snapshots else self.spark.createDataFrame([], QUERY_COUNTS)
-        later = [self._delta_path(n, k) for n, k in deltas.items() if n > folded and (upto is None or n <= upto)]
-        if not later:
-            return base
-        rows = self.spark.read.schema("query string, delta long, at double").parquet(*later)
-        sums = rows.groupBy("query").agg(F.sum("delta").alias("delta"), F.max("at").alias("at"))
-        both = base.join(sums, "query", "full_outer")  # carries all columns, so each side shuffles once
-        return both.select("query", (F.coalesce("count", F.lit(0)) + F.coalesce("delta", F.lit(0))).alias("count"), F.greatest("last_searched", "at").alias("last_searched"))
-
-    def load_all(self, upto: int | None = None) -> DataFrame:
-        """query, count, last_searched: the newest snapshot and all deltas after it (up to a sequence number)."""
-        return self._merged(self._deltas(), upto)
+        """The last applied number, in a delta or in a snapshot."""
+        _, folded, flushes = self._partitions()
+        return max([folded, *flushes])
+
+    def load_all(self, upto: int | None = None, among: DataFrame | None = None) -> DataFrame:
+        """query, count, last_searched: the newest snapshot and all flushes after it (up to a number, which a snapshot must not
+        have passed), of all queries or those of `among`. One exchange, of partial sums."""
+        version, folded, flushes = self._partitions()
+        if upto is not None and upto < folded:
+            raise ValueError(f"flushes up to {folded} are folded")
+        if not version and not flushes:
+            return self.spark.createDataFrame([], "query string, count long, last_searched double")
+        last = max([folded, *flushes]) if upto is None else upto
+        rows = self._read().where((F.col("version") == version) & (F.col("flush") == folded) if version else F.lit(False))
+        rows = rows.unionByName(self._read().where((F.col("version") == 0) & (F.col("flush") > folded) & (F.col("flush") <= last))).where("query IS NOT NULL")
+        if among is not None:
+            rows = rows.join(among.select("query"), "query", "left_semi")
+        return rows.groupBy("query").agg(F.sum("delta").alias("count"), F.max("at").alias("last_searched"))
 
     def compact(self) -> None:
-        """Folds the deltas that are there now into a new snapshot; one that comes meanwhile stays a delta."""
-        deltas, done = self._deltas(), self.watermark()
-        self._put(self._merged(deltas, max(deltas, default=0)), max(deltas, default=done))
+        """Folds the flushes that are there now into a new snapshot; one that comes meanwhile stays."""
+        version, folded, flushes = self._partitions()
+        done = max([folded, *flushes])
+        if done > folded:
+            self._put(self.load_all(done).select("query", F.col("count").alias("delta"), F.col("last_searched").alias("at")), version + 1, done)
 
     def vacuum(self) -> None:
-        """Deletes folded deltas, attempts that no longer count and all snapshots but the newest. For times without readers."""
-        snapshots, deltas = self._folders("counts", _SNAPSHOT), self._deltas()
-        folded = snapshots[-1][1] if snapshots else 0
-        gone = [f"{self.root}/counts/version={v}-upto={m}" for v, m in snapshots[:-1]]
-        gone += [self._delta_path(n, k) for n, k in self._folders("deltas", _DELTA) if n <= folded or deltas[n] != k]
-        for path in gone:
-            fs, p = self._fs(path)
-            fs.delete(p, True)
+        """Deletes folded flushes and all snapshots but the newest. For times without readers."""
+        version, folded, _ = self._partitions()
+        for v, n in numbers(self.spark, self.path, _COUNTS, "version", "flush"):
+            if 0 < v < version or (v == 0 and n <= folded):
+                remove(self.spark, f"{self.path}/version={v}/flush={n}")
 
     def get_count(self, query: str) -> int | None:
-        row = self.load_all().where(F.col("query") == query).select("count").first()
+        """Snapshot and flushes are filtered before they meet."""
+        one = self.spark.range(1).select(F.lit(query).alias("query"))
+        row = self.load_all(among=one).select("count").first()
         return row[0] if row else None
 
     def count_rows(self) -> int:
         return self.load_all().count()
 
     def set_meta(self, key: str, value: str) -> None:
-        self.spark.createDataFrame([(key, value)], "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/meta/{key}")
+        put(self.spark.range(1).select(F.lit(value).alias("value"), F.lit(key).alias("key")), f"{self.root}/meta", "key")
 
     def get_meta_int(self, key: str, default: int) -> int:
-        fs, p = self._fs(f"{self.root}/meta/{key}/_SUCCESS")
-        if not fs.exists(p):
+        try:
+            rows = self.spark.read.schema(_META).parquet(f"{self.root}/meta")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return default
-        rows = self.spark.read.schema("key string, value string").parquet(f"{self.root}/meta/{key}")
         row = rows.where(F.col("key") == key).select(safe_int(F.col("value"), default)).first()
         return row[0] if row else default
 

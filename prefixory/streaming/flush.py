@@ -1,27 +1,23 @@
-"""Submissions as a stream: exactly-once flushes, decayed scores, sessions.
+"""Submissions as a stream: exactly-once flushes, windows, sessions, suggestions and a log of the submissions themselves.
 
 A flush is a micro-batch: what came within the interval (the query's trigger) and at most so many files (the size trigger is
-the source's, see `by_size`). A batch that is sent again after a failure is applied under its own number again, so counts
-never double; a stream with a new checkpoint goes on after what the store has.
+the source's, see `by_size`; `state.buffered` counts distinct queries). A batch that is sent again after a failure is known by
+its number, so counts never double; a new checkpoint goes on after what the store has.
 """
 
 from __future__ import annotations
 
-import hashlib
 import logging
-import math
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import normalize
-from ..operators.index import prefix_topk, updated
-from ..operators.writes import deltas, read_back
-from ..settings import MIN_RECENCY, Settings
+from ..operators.writes import deltas
+from ..settings import Settings
+from ..sources.index_table import IndexTable
 from ..sources.store import Store
 
 log = logging.getLogger(__name__)
@@ -46,28 +42,38 @@ def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
 
 
 def keep_flushing(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, stopped: Callable[[], bool], seconds: float = Settings.batch_flush_interval) -> int:
-    """Flushes until stopped() says so, over failures: each is logged, and after the interval its batch is tried again.
-    Returns the number of failures."""
+    """Flushes until stopped() says so, over failures: each is logged, and after the interval its batch is tried again. A query
+    that can't start counts as a failure too, and one that ended by itself is started again after the interval. Returns the
+    number of failures."""
     failures = 0
     while not stopped():
-        query = start(stream, each, checkpoint, seconds)
+        query = None
         try:
+            query = start(stream, each, checkpoint, seconds)
             while query.isActive and not stopped():
                 query.awaitTermination(max(1, int(seconds)))
             if query.isActive:
                 query.processAllAvailable()
+            elif not stopped():
+                time.sleep(seconds)
         except Exception:  # noqa: BLE001  whatever a batch met, the loop lives on
             failures += 1
             log.exception("a flush failed and is tried again")
             time.sleep(seconds)
         finally:
-            query.stop()
+            if query is not None:
+                query.stop()
     return failures
 
 
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """What Spark has named a checkpoint; one that is begun anew at the same path has another."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first().id
+
+
 def first_number(store: Store, checkpoint: str) -> int:
     """The number before that of the checkpoint's first batch: the store's watermark when the checkpoint was new."""
-    key = "first-" + hashlib.md5(checkpoint.encode()).hexdigest()
+    key = f"first-{checkpoint_id(store.spark, checkpoint)}"
     known = store.get_meta_int(key, -1)
     if known < 0:
         known = store.watermark()
@@ -75,75 +81,42 @@ def first_number(store: Store, checkpoint: str) -> int:
     return known
 
 
+def submitted(batch: DataFrame) -> DataFrame:
+    """query, delta of a batch of submissions."""
+    return deltas(batch.select(normalize(F.col("query")).alias("query")))
+
+
 def flusher(store: Store, at: Callable[[], float], checkpoint: str) -> Callable[[DataFrame, int], None]:
     """Applies each batch's deltas under the batch's number, counted on from what the store had when the checkpoint was new."""
-    first = first_number(store, checkpoint)
+    first = None
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        lines = batch.select(normalize(F.col("query")).alias("query"))
-        store.apply_batch(deltas(lines), first + batch_id + 1, at())
+        nonlocal first
+        if first is None:  # the checkpoint has its id once its query runs
+            first = first_number(store, checkpoint)
+        store.apply_batch(submitted(batch), first + batch_id + 1, at())
 
     return flush
 
 
 class IndexMaintainer:
-    """Keeps counts (in a store) and the prefix index current over flushes. root/index/seq=<n> is the index after flush n,
-    so a batch that comes again changes nothing, and a new driver goes on from what is stored."""
-
-    def __init__(self, store: Store, checkpoint: str, k: int = Settings.trie_node_capacity, at: Callable[[], float] = time.time):
-        self.store, self.k, self.at, self.first = store, k, at, first_number(store, checkpoint)
+    """Keeps counts (in a store) and the prefix index current over flushes. A batch that comes again changes nothing, and a new
+    driver goes on from what is stored."""
 
-    def _path(self, seq: int) -> str:
-        return f"{self.store.root}/index/seq={seq}"
-
-    def index(self, seq: int | None = None) -> DataFrame:
-        """The index after flush seq (by default the store's last); built from the counts where it isn't stored."""
-        seq = self.store.watermark() if seq is None else seq
-        fs, done = self.store._fs(self._path(seq) + "/_SUCCESS")
-        if fs.exists(done):
-            return self.store.spark.read.parquet(self._path(seq))
-        return prefix_topk(self.store.load_all(seq).select("query", "count"), self.k)
+    def __init__(self, store: Store, checkpoint: str, k: int = Settings.trie_node_capacity, at: Callable[[], float] = time.time, buckets: int = 64):
+        self.store, self.checkpoint, self.at, self.first = store, checkpoint, at, None
+        self.table = IndexTable(store.spark, f"{store.root}/index", k, buckets)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        seq = self.first + batch_id + 1
-        fs, done = self.store._fs(self._path(seq) + "/_SUCCESS")
-        if fs.exists(done):
-            return
-        self.store.apply_batch(deltas(batch.select(normalize(F.col("query")).alias("query"))), seq, self.at())
-        changes = self.store.spark.read.parquet(self.store._delta_path(seq, self.store._deltas()[seq]))
-        grown = read_back(self.store.load_all(seq).select("query", "count"), changes)
-        updated(self.index(seq - 1), grown, self.k).write.mode("overwrite").parquet(self._path(seq))
-
-
-RECENCY = "query string, score double, updated double"
-
-
-def recency_stream(events: DataFrame, half_life: float = Settings.recency_half_life, least: float = MIN_RECENCY) -> DataFrame:
-    """events (query, t): after each batch the query's score decayed to its last event, from a state of two numbers. In event
-    time, a query's state goes when its score has decayed below `least`, so the states held are those of queries that still
-    count; an event that is so late that it counts less than `least`, or is not after 1970 began, may be left out."""
-    wait = half_life * math.log2(1 / least) if half_life > 0 else 0.0
-
-    def fold(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        score, updated_at = state.get if state.exists else (0.0, None)
-        times = pd.concat(list(frames))["t"].sort_values()
-        for t in times:
-            if updated_at is not None and t > updated_at:
-                score *= 0.5 ** ((t - updated_at) / half_life) if half_life > 0 else 0.0
-            elif updated_at is not None:  # late: it has decayed since, the state's time stays
-                score += 0.5 ** ((updated_at - t) / half_life) if half_life > 0 else float(t == updated_at)
-                continue
-            score, updated_at = score + 1.0, t
-        state.update((score, updated_at))
-        lives = half_life * math.log2(max(2.0, score / least)) if half_life > 0 else 0.0
-        state.setTimeoutTimestamp(max(int((updated_at + lives) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"query": [key[0]], "score": [score], "updated": [updated_at]})
-
-    timed = events.select("query", "t", F.timestamp_seconds("t").alias("ts")).withWatermark("ts", f"{int(wait * 1000)} milliseconds")
-    return timed.groupBy("query").applyInPandasWithState(fold, RECENCY, "score double, updated double", "update", GroupStateTimeout.EventTimeTimeout)
+        if self.first is None:
+            self.first = first_number(self.store, self.checkpoint)
+            self.table.begin(self.store.load_all(), self.store.watermark())
+        seq, changes = self.first + batch_id + 1, submitted(batch)
+        self.store.apply_batch(changes, seq, self.at())
+        self.table.grow(self.store.load_all(among=changes).select("query", "count"), seq)
+
+    def index(self) -> DataFrame:
+        return self.table.index()
 
 
 def flush_windows(events: DataFrame, interval: str, delay: str) -> DataFrame:
@@ -155,3 +128,34 @@ def sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
     """Bursts of a user: sessions that end with a gap."""
     own = F.session_window("ts", gap).alias("s")
     return events.withWatermark("ts", delay).groupBy(own, "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), "n")
+
+
+def sliding_counts(events: DataFrame, length: str, step: str, delay: str) -> DataFrame:
+    """start, query, delta of overlapping windows of event time. An event later than the delay is dropped, which the
+    progress of the query tells (`dropped`)."""
+    return events.withWatermark("ts", delay).groupBy(F.window("ts", length, step).alias("w"), "query").agg(F.count("*").alias("delta")).select(F.col("w.start").alias("start"), "query", "delta")
+
+
+def dropped(progresses: list) -> int:
+    """What a query's operators dropped as too late, by its progress: of a batch's rows, summed before they meet the state,
+    each window and key counts once."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progresses for op in p["stateOperators"])
+
+
+def log_submissions(stream: DataFrame, path: str, checkpoint: str):
+    """Appends submissions (query, and further columns) to a log, as Parquet by Spark's own file sink: its metadata log tells
+    which files count, so a batch that is sent again, or died half-written, is there once. Runs over what is there."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def suggestions(requests: DataFrame, table: IndexTable, limit: int = Settings.suggest_limit) -> DataFrame:
+    """Suggestions for a stream of requests (prefix and any further columns): a join of each batch with the stored index as
+    it is when the query starts; `serve` reads it anew for each batch."""
+    return table.suggest(requests, limit)
+
+
+def serve(table: IndexTable, each: Callable[[DataFrame, int], None], limit: int = Settings.suggest_limit) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over requests: each batch meets the index of the last flush, and `each` gets its suggestions."""
+    return lambda batch, n: each(table.suggest(batch, limit), n)

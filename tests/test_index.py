@@ -65,3 +65,23 @@ def test_partial_limit_before_the_exchange(spark):
 def test_limits_are_checked():
     with pytest.raises(ValueError):
         index.checked(51, 1, 50, "limit")
+
+
+def test_sketches_merge(spark):
+    from prefixory.operators.index import index_stats, merged_stats, sketches
+
+    counts = spark.range(30_000).select(F.concat(F.lit("q"), F.hex(F.xxhash64("id"))).alias("query"), F.lit(1).cast("long").alias("count"), (F.col("id") % 3).alias("flush"))
+    again = counts.unionByName(counts.where("flush = 1").withColumn("flush", F.lit(7).cast("long")))
+    exact, own = index_stats(counts).first(), merged_stats(sketches(again, "flush")).first()
+    for name in ("queries", "nodes"):
+        assert abs(own[name] / exact[name] - 1) < 0.03
+    assert merged_stats(sketches(again)).first().queries == own.queries
+    assert sketches(counts.limit(0), "flush").count() == 0
+
+
+def test_suggestions_from_counts_are_those_of_the_index(spark):
+    from prefixory.operators.index import prefix_topk, suggest_basic, suggest_from_counts
+
+    counts = spark.createDataFrame([(f"{a}{b}", i % 5 + 1) for i, (a, b) in enumerate((a, b) for a in "abc" for b in "wxyzäöü")], "query string, count long")
+    asked = spark.createDataFrame([(" A",), ("bx",), ("",), ("zz",)], "prefix string")
+    assert sorted(map(tuple, suggest_from_counts(asked, counts, 4).collect())) == sorted(map(tuple, suggest_basic(asked, prefix_topk(counts), 4).collect()))

@@ -1,0 +1,40 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from prefixory.operators import metrics
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_rank_selection(spark, ranges):
+    """Over any number of ranges, with ties over their borders, hot values, nulls and groups of one row."""
+    r = random.Random(ranges)
+    rows = [(g, r.choice([1.0, 2.5, r.random() * 50])) for g in ("a", "b", None) for _ in range(400)] + [("one", 7.0), ("none", None), ("two", 1.0), ("two", 2.0), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    try:
+        got = {x.g: x for x in metrics.latency_summary(df, "g", value="v").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 6
+    for g, x in got.items():
+        v = [b for a, b in rows if a == g and b is not None]
+        want = [len(v), min(v), max(v), np.mean(v), *np.percentile(v, [50, 95, 99])] if v else [0] * 7
+        assert [x["count"], x["min"], x["max"], x["mean"], x.p50, x.p95, x.p99] == pytest.approx(want, abs=6e-5)
+
+
+def test_no_rows(spark):
+    none = spark.createDataFrame([], "g string, v double")
+    assert metrics.latency_summary(none, "g", value="v").count() == 0
+    x = metrics.latency_summary(none, value="v").first()
+    assert (x["count"], x.p50, x.p99) == (0, 0.0, 0.0)
+
+
+def test_no_task_holds_a_group(spark):
+    """The plan sorts ranges, not groups, and has no aggregate of all values."""
+    df = spark.range(1000).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"))
+    plan = metrics.ranked_percentiles(df, "g", value="v")._jdf.queryExecution().toString()
+    assert "percentile(" not in plan

@@ -69,28 +69,72 @@ def test_flush_during_compaction_is_not_lost(spark, tmp_path, monkeypatch):
     store.apply_batch(change(1), 1, 1.0)
     put = store._put
 
-    def late(rows, upto):
-        store.apply_batch(change(10), 2, 1.0)
-        put(rows, upto)
+    def late(rows, version, flush):
+        if version:
+            store.apply_batch(change(10), 2, 1.0)
+        put(rows, version, flush)
 
     monkeypatch.setattr(store, "_put", late)
     store.compact()
     assert as_dict(store.load_all()) == {"q": 11}
 
 
-def test_attempts_and_vacuum(spark, tmp_path):
+def test_repeated_flushes_and_vacuum(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     change = lambda n: spark.createDataFrame([("q", n)], "query string, delta long")
-    store.apply_batch(change(1), 1, 1.0)
-    store.apply_batch(change(1), 1, 1.0)  # sent again
+    assert store.apply_batch(change(1), 1, 1.0)
+    assert not store.apply_batch(change(1), 1, 1.0)  # sent again
+    with pytest.raises(ValueError):
+        store.apply_batch(change(2), 1, 1.0)  # another flush
     store.apply_batch(change(4), 2, 1.0)
     assert as_dict(store.load_all()) == {"q": 5} and as_dict(store.load_all(1)) == {"q": 1}
-    (tmp_path / "store/deltas/seq=2-attempt=2").mkdir()  # an attempt that died
+    (tmp_path / "store/counts/.spark-staging-x/version=0/flush=3").mkdir(parents=True)  # a writer that died
     assert as_dict(store.load_all()) == {"q": 5}
     store.compact()
     store.apply_batch(change(7), 3, 1.0)
     store.vacuum()
-    assert as_dict(store.load_all()) == {"q": 12} and list(store._deltas()) == [3]
+    assert as_dict(store.load_all()) == {"q": 12} and store._partitions() == (1, 2, [3])
+    with pytest.raises(ValueError):
+        store.load_all(1)
+    with pytest.raises(ValueError):
+        store.apply_batch(change(1), 0, 1.0)
+
+
+def test_late_replays_after_compaction_change_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    change = spark.createDataFrame([("apple", 1)], "query string, delta long")
+    for n in (1, 2, 3):
+        store.apply_batch(change, n, 1.0)
+    for n in (1, 2):
+        store.compact()
+        store.vacuum()
+        assert not store.apply_batch(change, n, 1.0)
+        assert store.watermark() == 3 and as_dict(store.load_all()) == {"apple": 3}
+    store.compact()
+    store.vacuum()
+    assert store.watermark() == 3 and as_dict(store.load_all()) == {"apple": 3}
+
+
+def test_an_empty_flush_is_one(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.apply_batch(spark.createDataFrame([], "query string, delta long"), 1, 1.0)
+    assert store.watermark() == 1 and store.count_rows() == 0
+
+
+def test_duplicates_without_an_order_are_refused(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError):
+        store.bulk_replace(spark.createDataFrame([("a", 1), ("a", 2)], "query string, count long"))
+    assert store.count_rows() == 0
+
+
+def test_lookup_filters_before_it_merges(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.bulk_replace(spark.createDataFrame([("a", 1), ("b", 2)], "query string, count long"))
+    store.apply_batch(spark.createDataFrame([("b", 4), ("c", 1)], "query string, delta long"), 1, 1.0)
+    assert [store.get_count(q) for q in ("a", "b", "c", "d")] == [1, 6, 1, None]
+    asked = spark.createDataFrame([("b",), ("c",), ("x",)], "query string")
+    assert as_dict(store.load_all(among=asked)) == {"b": 6, "c": 1}
 
 
 def test_segments_in_folders(spark, tmp_path):
