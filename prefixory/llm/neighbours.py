@@ -3,9 +3,9 @@
 A vector is its norm times a direction, and a direction is approximated by the sum of one word from each of several
 full-dimensional codebooks. Codebooks are fitted by k-means on the residuals of a bounded sample (`SAMPLE` vectors, those of
 least hash); every vector is encoded by beam search over the codebooks and stored as its codes, its norm and the squared norm
-of its approximated direction. With s a vector's norm, u the approximation and q a query, their squared distance is about
-|q|^2 - 2 s (sum of looked-up products of q with the words) + s^2 |u|^2, in double precision, so scoring needs one table a
-query, and vectors of any finite size are encoded equally well.
+of its approximated direction. With s a vector's norm, u the approximation, q a query and m the larger of s and |q|, their
+distance is about m sqrt((|q|/m)^2 - 2 (s/m) (looked-up products of q/|q| with the words) (|q|/m) + (s/m)^2 |u|^2), in double
+precision, so scoring needs one table a query, and vectors of any finite size are encoded and compared equally well.
 
 Queries are a stated hundredth of the rows and meet all of them, in blocks: queries are cut into chunks of at most
 `CHUNK_BYTES`, each broadcast in blocks; codes come in blocks of packed rows, and a task keeps the `KEPT` best of each query
@@ -13,16 +13,14 @@ over all its blocks, ties to the smaller vec_id. The best of all tasks are ranke
 vectors. So a task sends a bounded number of rows for a query, whatever number of blocks it reads.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, neither do rows
-without vec_id; a query meets only vectors of its own dimension, the commonest of the sample (others take no part); rows of
+without vec_id; vectors of each dimension are searched among themselves, as there is no distance between others; rows of
 one vec_id are candidates each, but never of their own vec_id's query, and one of them (the least vector) is the query;
-equal distances are ranked by vec_id; with fewer than ten candidates all are returned; an empty table gives no rows; other
+equal distances are ranked by vec_id; a distance above the largest double is infinite; with fewer than ten candidates all are returned; an empty table gives no rows; other
 columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +32,8 @@ from .common import prepared, record, table, written
 BOOKS, WORDS, BEAM = 32, 256, 3
 SAMPLE, KEPT, TOP = 8192, 200, 10
 CODE_BLOCK, QUERY_BLOCK = 8192, 256
+#: Binary exponent of the unit of norms.
+SCALE = 20
 #: Of the queries' vectors that are broadcast at once, and the code blocks that a task reads in a row.
 CHUNK_BYTES, TASK_BLOCKS = 16 << 20, 64
 
@@ -119,10 +119,23 @@ def _vectors(column: pa.Array, d: int) -> np.ndarray:
 
 
 def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Norms and unit vectors of rows that aren't zero."""
+    """Norms, in units of 2^SCALE so that none overflows, and unit vectors of rows that aren't zero."""
     top = np.abs(x).max(1, keepdims=True)  # first, so that no square under- or overflows
     size = np.sqrt(((x / top) ** 2).sum(1, keepdims=True))
-    return (top * size)[:, 0], (x / top / size).astype(np.float32)
+    return (top * np.ldexp(size, -SCALE))[:, 0], (x / top / size).astype(np.float32)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows; where squares over- or underflow, of scaled rows."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.sqrt(((a - b) ** 2).sum(1))
+        odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-140))
+        part = np.where(out[odd] > 1, 0.5, 1.0)[:, None]  # a difference of two large numbers may overflow too
+        rest = a[odd] * part - b[odd] * part
+        top = np.abs(rest).max(1, keepdims=True, initial=0.0)
+        unit = rest / np.where(top > 0, top, 1.0)
+        out[odd] = ((top * np.sqrt((unit**2).sum(1, keepdims=True))) / part)[:, 0]
+    return out
 
 
 def _best(ids: np.ndarray, near: np.ndarray, kept: int) -> np.ndarray:
@@ -145,11 +158,13 @@ class Nearest:
     def add(self, row: dict[str, bytes]) -> None:
         ids, sizes, norms = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.float64), np.frombuffer(row["norms"], np.float32)
         words = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(self.step)) + self.step
-        own = sizes * sizes * norms
         queries, vectors = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, self.flat.shape[1])
         for q, v in zip(queries.tolist(), vectors, strict=True):
-            products = (self.flat @ v).take(words).sum(1)
-            near = own - 2 * sizes * products + v @ v
+            (size,), (unit,) = directions(v[None])
+            most = np.maximum(sizes, size)
+            s, t = sizes / most, size / most
+            products = (self.flat @ unit.astype(np.float64)).take(words).sum(1)
+            near = most * np.sqrt(np.maximum(t * t - 2 * s * t * products + s * s * norms, 0.0))
             near[ids == q] = np.inf
             if q in self.held:  # only what is better than the worst kept can come in
                 old_ids, old = self.held[q]
@@ -168,14 +183,20 @@ class Nearest:
 
 @prepared
 def search(rows: DataFrame, every: int = 100, top: int = TOP, kept: int = KEPT) -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest rows of each query (vec_id divisible by `every`) by Euclidean distance."""
-    spark = rows.sparkSession
+    """query_id, rank, vec_id, score: the nearest rows of each query (vec_id divisible by `every`) by Euclidean distance, each
+    dimension searched by itself."""
     rows = usable(rows)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()["embedding"]  # at most SAMPLE vectors
-    sizes = Counter(map(len, sample))
-    d = max(sizes, key=lambda k: (sizes[k], k), default=1)
-    rows = rows.where(F.size("embedding") == d)
-    learned = [v for v in sample if len(v) == d]
+    sizes = sorted(r.d for r in rows.select(F.size("embedding").alias("d")).distinct().collect())  # a number for each dimension
+    found = [_search(rows.where(F.size("embedding") == d), d, every, top, kept) for d in sizes or [1]]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _search(rows: DataFrame, d: int, every: int, top: int, kept: int) -> DataFrame:
+    spark = rows.sparkSession
+    learned = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()["embedding"].tolist()  # at most SAMPLE vectors
     books = fit(directions(np.array(learned, np.float64))[1]) if learned else np.zeros((BOOKS, 1, d), np.float32)
     shared = spark.sparkContext.broadcast(books)  # BOOKS * WORDS vectors
 
@@ -204,7 +225,7 @@ def search(rows: DataFrame, every: int = 100, top: int = TOP, kept: int = KEPT)
     def exact(batches):
         for batch in batches:
             a, b = (_vectors(batch.column(c), d) for c in ("vector", "embedding"))
-            yield record(_EXACT, query_id=batch.column("query_id"), vec_id=batch.column("vec_id"), score=np.sqrt(((a - b) ** 2).sum(1)))
+            yield record(_EXACT, query_id=batch.column("query_id"), vec_id=batch.column("vec_id"), score=distances(a, b))
 
     coded = written(spark, rows.mapInArrow(code, "vec_id long, code binary, size double, norm float"), "codes")
     asked = written(spark, rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("vector")), "queries")
