@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import text as txt
 from ..functions.scores import epoch
 from ..operators import cache, index, metrics, ranking, recency, routing, writes
-from ..settings import MODES
+from ..settings import MODES, Settings
 from ..sources import corpus
 from ..sources.scratch import scratch_path, written
 from ..sources.index_table import IndexTable
@@ -810,3 +810,48 @@ def index_sketch(spark, sf):
     """Queries and nodes from sketches of two flushes, merged (tested against index_stats)"""
     parts = [counts(spark, sf, f"l_linenumber {op} 4") for op in ("<=", ">")]
     return index.merged_stats(written(index.sketches(parts[0]).unionByName(index.sketches(parts[1])), "sketches"))
+
+
+@query(f"WITH {EV} SELECT query, count(*) AS count FROM ev GROUP BY 1")
+def stream_buffer(spark, sf):
+    """A buffer that flushes at ten distinct queries a lane or after a second; the store of a lane fails once, and its
+    flush goes on with the next"""
+    log, lanes, total = scratch_path(spark, "stream"), 2, table(spark, sf, "events").count()
+    sink = state.LaneSink(spark, scratch_path(spark, "lanes"), lanes, log, lambda: 0.0)
+    apply, failed = sink.stores[1].apply_batch, []
+
+    def fails_once(*args):
+        if not failed:
+            failed.append(args[1])
+            raise OSError("the store is away")
+        return apply(*args)
+
+    sink.stores[1].apply_batch = fails_once
+    stream = state.buffered(_stream(spark, sf).select("query"), sink.acks(), Settings(batch_max_size=20, batch_flush_interval=1.0), lanes)
+    state.run_until(stream, sink, log, lambda: (sink.load_all().agg(F.sum("count")).first()[0] or 0) >= total)
+    assert sink.failures == len(failed)
+    return sink.load_all().select("query", "count")
+
+
+@query(f"WITH {EV} SELECT query, count(*) AS count FROM ev GROUP BY 1")
+def stream_survives(spark, sf):
+    """The loop of flushes lives over a batch that fails after its write"""
+    store, log, done, total = Store(spark, scratch_path(spark, "store")), scratch_path(spark, "stream"), [], table(spark, sf, "events").count()
+    each = flush.flusher(store, lambda: 0.0, log)
+
+    def breaks(batch, n):
+        each(batch, n)
+        done.append(n)
+        if len(done) == 1:
+            raise OSError("after the write, before the commit")
+
+    failures = flush.keep_flushing(_stream(spark, sf), breaks, log, lambda: len(done) > 1 or total == 0, 0.5)
+    assert failures == 1 or total == 0
+    return store.load_all().select("query", "count")
+
+
+@query(f"WITH {Q}, ask AS (SELECT DISTINCT lower(p_brand || ' ' || p_name) AS query FROM part UNION SELECT DISTINCT lower(p_type) FROM part) SELECT query FROM ask WHERE query IN (SELECT query FROM q)")
+def query_present(spark, sf):
+    """Which of the asked queries are known"""
+    ask = names(spark, sf).select("query").union(table(spark, sf, "part").select(txt.normalize(F.col("p_type")))).distinct()
+    return index.contains(ask, counts(spark, sf))

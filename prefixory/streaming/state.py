@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 import math
+import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -250,3 +251,18 @@ class LaneSink:
         for store in self.stores[1:]:
             out = out.unionByName(store.load_all())
         return out
+
+
+def run_until(stream: DataFrame, sink: LaneSink, checkpoint: str, done: Callable[[], bool], seconds: float = 0.2, most: float = 900.0) -> None:
+    """Runs `buffered` into its sink, a batch every so many seconds, until done() says so; then the buffer has been flushed as
+    far as the caller wants. Fails if that takes more than `most` seconds."""
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(sink).start()
+    try:
+        end = time.monotonic() + most
+        while not done():
+            if query.awaitTermination(1):
+                raise RuntimeError("the buffer's query ended by itself")
+            if time.monotonic() > end:
+                raise TimeoutError(f"not flushed after {most} seconds")
+    finally:
+        query.stop()
