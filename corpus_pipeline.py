@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents (the last: packed pieces); it
 works on all that the stage before kept. n_chars follows the text where a stage changes it.
+
+Defined results, each as its operator's module states it: a null or empty text is kept by the first stage (it has no word to
+judge), is one empty line, is a near duplicate of empty texts alone, holds no personal data, and is packed as its end id;
+texts of any length are judged, split, compared, searched and packed whole; of rows with equal texts, repeated rows among
+them, the least doc_id stays, of those with one doc_id any one; rows without doc_id are kept like others, and count as
+smaller than any with one where lines are dropped; an empty table gives none; further columns go through the first four
+stages unchanged, whatever they are called.
 """
 
 from __future__ import annotations
