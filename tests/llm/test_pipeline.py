@@ -64,3 +64,27 @@ def test_empty_table(spark, stage):
     assert corpus_pipeline.STAGES[stage][1](spark, docs, SF).count() == 0
 
 
+def test_hard_rows(spark, make):
+    """Nulls, empty and very long texts, repeated rows, ties, a null id and clashing names through all stages."""
+    from .conftest import HARD
+
+    long = "a line that many of these documents hold, of more than forty code points"
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [*HARD, *((100 + i, f"{long}\nown text number {i} of this document") for i in range(6)), (200, words), (201, words), (202, words + " more"), (300, "write to a.b@example.org now")]
+    docs = make(rows, extra=True)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(spark, stage(spark, docs, SF), name.replace(" ", "-"))
+        assert docs.columns == columns
+        assert all(r.shard == "x" and r.judged == "x" for r in docs.collect())
+        if name == "line dedup":
+            assert {r.doc_id for r in docs.collect() if long in (r.text or "")} == {105}
+            assert docs.count() == len(rows)
+    left = docs.collect()
+    ids = [r.doc_id for r in left]
+    assert {4, 7, None, *range(100, 106), 200, 300} <= set(ids) and len(ids) == len(set(ids))
+    assert not {201, 202, 6} & set(ids) and 5 in ids
+    assert len({1, 2, 3} & set(ids)) >= 1  # empty texts are one class
+    mail = next(r.text for r in left if r.doc_id == 300)
+    assert "example.org" not in mail and mail.startswith("write to ")
+    check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect(), [(r.doc_id, r.text) for r in left])
