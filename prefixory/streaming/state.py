@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import logging
 import math
+import sys
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -31,6 +33,8 @@ MOST_SCORE = 2.0**32
 
 
 def _rocks(df: DataFrame) -> DataFrame:
+    """Sets what the processors need; they are sent whole, so executors need not have this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     return df
 
@@ -175,7 +179,9 @@ class _Buffer(StatefulProcessor):
         elif under_way and due and now >= due:
             yield self._emit(lane, flush, {k[0]: v[0] for k, v in self.sent.iterator()})
             due = 0
-        if (n_open or under_way) and not due:
+        if not n_open and not under_way:
+            due = 0  # what comes next has its whole interval
+        elif not due:
             due = now + self.interval
             self.handle.registerTimer(due)
         self.head.update((flush, under_way, n_open, due))
