@@ -4,11 +4,13 @@ Each element (a shingle of five words) of weight x owns the region [0, x) of a w
 weight-rank plane as a Poisson process that depends on the element alone; those below x hit. A dart bears one of k
 coordinates, and a signature keeps the earliest hit of each coordinate, so two sets agree on a coordinate with the
 probability of their weighted Jaccard similarity. Only ranks up to about (k ln k + 2k) / total weight need be looked at,
-so the work is in proportion to elements + k log k. Each distinct shingle weighs 1, however often a text repeats it: links
-are decided on sets, so the similarity that makes candidates is the one that the check bounds.
+so the work is in proportion to elements + k log k. A shingle weighs as much as a text has it. Two texts are alike as
+their shingles with counts are (weighted Jaccard) or as the sets of them are, whichever is more: a copy that repeats its
+paragraphs has the same set, and two texts of one long refrain nearly the same counts. So a text that repeats a shingle has
+the bands of both signatures, by counts and by ones; for others the two are one.
 
-Equal texts are one node. Nodes that share a band are candidates; a candidate becomes a link if the Jaccard similarity of
-their shingle sets, computed in full, is at least 0.8; classes are the connected components of the links. A bucket is
+Equal texts are one node. Nodes that share a band are candidates; a candidate becomes a link if that likeness, computed in
+full, is at least 0.8; classes are the connected components of the links. A bucket is
 not expanded into pairs: its head, the member that most others resemble, is tested against the others; only groups whose
 members then remain in different components are looked at again, whole, in cells of bounded size, where each member
 outside the largest component is compared with all others through an inverted index. So no link within a bucket is
@@ -37,7 +39,7 @@ K, BANDS, ROWS = 64, 16, 4
 WORDS, THRESHOLD = 5, 0.8
 #: Members, and bytes of their sets, in one part of a group.
 CELL_ROWS, CELL_BYTES = 512, 16 << 20
-GOLD = np.uint64(0x9E3779B97F4A7C15)
+GOLD, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -90,9 +92,37 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> np.ndar
 
 
 def weighted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes, each of weight 1 as in the check of the links."""
-    e = np.unique(hashes)
-    return e, np.ones(len(e))
+    """The distinct hashes, made even, and how often each occurs."""
+    e, n = np.unique(hashes & ~ODD, return_counts=True)
+    return e, n.astype(np.float64)
+
+
+def marks_of(hashes: np.ndarray) -> np.ndarray:
+    """What two texts are compared by: their distinct hashes, even, and an odd mark for each further occurrence of one. So the
+    Jaccard similarity of the even marks is that of the sets, and that of all marks the weighted one."""
+    e, n = np.unique(hashes & ~ODD, return_counts=True)
+    again = n - 1
+    if not again.any():
+        return e
+    nth = np.arange(1, again.sum() + 1) - np.repeat(np.cumsum(again) - again, again)
+    with np.errstate(over="ignore"):
+        more = mix(np.repeat(e, again) + nth.astype(np.uint64) * GOLD) | ODD
+    return np.sort(np.concatenate([e, more]))
+
+
+def alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether two texts' marks are similar enough, with counts or as sets."""
+    if min(len(x), len(y)) == 0:
+        return False
+    odd = [int((m & ODD).sum()) for m in (x, y)]
+    sizes = [(len(x), len(y)), (len(x) - odd[0], len(y) - odd[1])]
+    if all(min(s) < threshold * max(s) for s in sizes):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = both[1:][both[1:] == both[:-1]]
+    shared = (len(common), len(common) - int((common & ODD).sum()))
+    return any(n >= threshold * (a + b - n) for n, (a, b) in zip(shared, sizes, strict=True))
 
 
 def band_keys(marks: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -114,10 +144,11 @@ def banded(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in batches:
             all_texts, nodes, keys = texts(batch), batch.column("node").to_pylist(), [[] for _ in range(batch.num_rows)]
             for i in range(0, len(all_texts), 64):
-                sets = [(j, weighted(s)) for j in range(i, min(i + 64, len(all_texts))) if len(s := shingles(all_texts[j], words))]
+                sets = [(j, *weighted(s)) for j in range(i, min(i + 64, len(all_texts))) if len(s := shingles(all_texts[j], words))]
+                sets += [(j, e, np.ones(len(e))) for j, e, n in sets if n.max() > 1]
                 if sets:
-                    for (j, _), row in zip(sets, band_keys(signatures([s for _, s in sets])).tolist(), strict=True):
-                        keys[j] = row
+                    for (j, *_), row in zip(sets, band_keys(signatures([(e, n) for _, e, n in sets])).tolist(), strict=True):
+                        keys[j] = list(dict.fromkeys(keys[j] + row))
             yield record(_BANDS, doc_id=batch.column("doc_id"), node=nodes, bands=keys)
 
     return with_node(docs).mapInArrow(run, "doc_id long, node binary, bands array<long>")
@@ -132,13 +163,13 @@ _SETS = pa.schema([("node", pa.binary()), ("marks", pa.binary())])
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node and its shingle hashes (sorted, 64 bits each) for the wanted (node, doc_id), one row of each node."""
+    """node and its marks (sorted, 64 bits each) for the wanted (node, doc_id), one row of each node."""
     have = with_node(docs)
     hit = have.join(wanted.select(F.col("node").alias("_n"), F.col("rep").alias("_r")), (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_r")), "left_semi")
 
     def run(batches):
         for batch in batches:
-            yield record(_SETS, node=batch.column("node"), marks=[np.unique(shingles(t, words)).tobytes() for t in texts(batch)])
+            yield record(_SETS, node=batch.column("node"), marks=[marks_of(shingles(t, words)).tobytes() for t in texts(batch)])
 
     return hit.mapInArrow(run, "node binary, marks binary").dropDuplicates(["node"])
 
@@ -147,20 +178,12 @@ _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a: tested member, b: others) whose shingle sets are similar enough."""
+    """The pairs (a: tested member, b: others) whose marks are similar enough."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([x, y])
-                both.sort()
-                n = int((both[1:] == both[:-1]).sum())
-                keep.append(n >= threshold * (len(x) + len(y) - n))
+            pairs_of = zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True)
+            keep = [alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), threshold) for a, b in pairs_of]
             yield record(_LINKS, a=batch.column("a"), b=batch.column("b")).filter(pa.array(keep, pa.bool_()))
 
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b")
@@ -195,17 +218,28 @@ def _cell_links(nodes: list[bytes], labels: list[bytes], marks: list[bytes], thr
     sets = [np.frombuffer(m, np.uint64) for m in marks]
     sizes = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
-    element = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    every = np.concatenate(sets)
+    even = every & ODD == 0
+    plain = np.bincount(owner[even], minlength=len(sets))
+    element = np.unique(every, return_inverse=True)[1]
     order = np.argsort(element, kind="stable")
     posting = owner[order]
     bounds = np.searchsorted(element[order], np.arange(element.max(initial=-1) + 2))
     starts = np.cumsum(sizes) - sizes
     largest = np.bincount(label).argmax()
+
+    def shared(own: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([posting[bounds[e] : bounds[e + 1]] for e in own] or [posting[:0]]), minlength=len(sets))
+
     out = []
     for r in np.flatnonzero(label != largest):
-        own = element[starts[r] : starts[r] + sizes[r]]
-        shared = np.bincount(np.concatenate([posting[bounds[e] : bounds[e + 1]] for e in own] or [posting[:0]]), minlength=len(sets))
-        hit = np.flatnonzero((shared >= threshold * (sizes + sizes[r] - shared)) & (label != label[r]) & (sizes > 0))
+        own, of_set = (v[starts[r] : starts[r] + sizes[r]] for v in (element, even))
+        n = shared(own)
+        near = n >= threshold * (sizes + sizes[r] - n)
+        if plain[r] < sizes[r]:
+            n = shared(own[of_set])
+        near |= n >= threshold * (plain + plain[r] - n)
+        hit = np.flatnonzero(near & (label != label[r]) & (sizes > 0))
         for m in hit[np.unique(label[hit], return_index=True)[1]]:
             out.append((nodes[r], nodes[m]))
     return out
@@ -243,7 +277,7 @@ def _open_links(groups: DataFrame, labels: DataFrame, sets: DataFrame, threshold
 
 def linked(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """node, label of all nodes that are linked to another one: those that share a key and whose sets are similar enough, and
-    what such links connect. members: (node, key); sets_of gives the sets (node, marks) of the nodes of its argument."""
+    what such links connect. members: (node, key); sets_of gives the marks (node, marks) of the nodes of its argument, as `marks_of` makes them."""
     spark = members.sparkSession
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sized = written(spark, members.join(sizes, "key"), "sized")

@@ -159,12 +159,12 @@ _ITEMS = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("s", pa.int64())]
 
 @prepared
 def members(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a 128-bit hash of the fingerprint) and marks (its signatures, sorted, 64 bits each) of each document."""
+    """doc_id, node (a 128-bit hash of the fingerprint) and marks (its signatures, sorted, as even numbers) of each document."""
 
     def run(batches):
         for batch in batches:
             sigs = [spots(t) for t in texts(batch)]
-            yield record(_MEMBERS, doc_id=batch.column("doc_id"), node=[hashlib.md5(s.tobytes()).digest() for s in sigs], marks=[s.astype(np.uint64).tobytes() for s in sigs])
+            yield record(_MEMBERS, doc_id=batch.column("doc_id"), node=[hashlib.md5(s.tobytes()).digest() for s in sigs], marks=[np.unique(s.astype(np.uint64) << np.uint64(1)).tobytes() for s in sigs])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, marks binary")
 

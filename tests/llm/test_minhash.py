@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -79,6 +81,83 @@ def test_repeated_paragraphs(make):
     assert minhash.keep_one(make(rows)).count() == 8
 
 
+def likeness(a, b):
+    """The larger of two texts' Jaccard similarities, of their shingles with counts and as sets, by the definition."""
+    x, y = (Counter((shingles(t) & ~np.uint64(1)).tolist()) for t in (a, b))
+    counts, sets = (x & y).total() / max((x | y).total(), 1), len(x.keys() & y.keys()) / max(len(x.keys() | y.keys()), 1)
+    return max(counts, sets)
+
+
+def refrains(r):
+    """Texts that repeat a refrain, with endings of their own: alike by counts alone where it is repeated often."""
+    rows = []
+    for k in range(4):
+        refrain = " ".join(words(r, 30))
+        for j, times in enumerate((1, 2, 12, 14, 40, 44)):
+            rows.append((100 * k + j, "\n".join([refrain] * times + [" ".join(words(r, 60))])))
+    return rows
+
+
+@pytest.mark.parametrize("cell", [512, 5])
+def test_counts_bear_on_links(make, monkeypatch, cell):
+    """Classes of all pairs whose likeness is at least 0.8, where only counts, or only sets, tell that they are alike."""
+    monkeypatch.setattr(minhash, "CELL_ROWS", cell)
+    r = random.Random(11)
+    rows = refrains(r)
+    parts = [" ".join(words(r, 80)) for _ in range(3)]
+    rows += [(1000 + n, "\n".join(parts * n)) for n in (1, 2, 5, 9)]
+    parent = {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    by_counts = 0
+    for i, a in rows:
+        for j, b in rows:
+            if j < i and likeness(a, b) >= 0.8:
+                by_counts += len(set(shingles(a)) & set(shingles(b))) < 0.8 * len(set(shingles(a)) | set(shingles(b)))
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    assert by_counts >= 4
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(make(rows)).collect()}
+    assert got == {i: find(i) for i, _ in rows}
+
+
+def test_marks_tell_both_similarities():
+    r = random.Random(3)
+    for _ in range(300):
+        a, b = (" ".join(r.choices("abc", k=r.randint(1, 40))) for _ in range(2))
+        x, y = (minhash.marks_of(shingles(t)) for t in (a, b))
+        assert len(x) == len(shingles(a)) and (np.diff(x.astype(object)) > 0).all()
+        for t in (0.1, 0.3, 0.5, 0.8):
+            assert minhash.alike(x, y, t) == (likeness(a, b) >= t)
+
+
+def test_no_link_of_a_table_is_lost(spark):
+    """Recall against all pairs at sf0.1: an exact prefix-filtered join in plain Python, by counts and by sets."""
+    rows = {r.doc_id: r.text or "" for r in table(spark, "/root/testdata/sf0.1", "documents").collect()}
+    marks = {i: minhash.marks_of(shingles(t)) for i, t in rows.items()}
+    distinct = {m.tobytes(): i for i, m in marks.items() if len(m)}
+    pairs = set()
+    for kind in (0, 1):
+        sets = {i: (m if kind else m[m & minhash.ODD == 0]) for i, m in ((i, marks[i]) for i in distinct.values())}
+        every, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        posting = {}
+        for i in sorted(sets, key=lambda i: len(sets[i])):
+            own = sets[i]
+            order = own[np.lexsort((own, n[np.searchsorted(every, own)]))]
+            prefix = order[: len(own) - math.ceil(0.8 * len(own)) + 1].tolist()
+            pairs |= {(j, i) for e in prefix for j in posting.get(e, ()) if len(sets[j]) >= 0.8 * len(own)}
+            for e in prefix:
+                posting.setdefault(e, []).append(i)
+    true = [(a, b) for a, b in pairs if minhash.alike(marks[a], marks[b], 0.8)]
+    assert len(true) > 30
+    got = {r.doc_id: r.class_id for r in minhash.op10_near_duplicates(spark, "/root/testdata/sf0.1").collect()}
+    assert sum(got[a] == got[b] for a, b in true) >= 0.9 * len(true)
+
+
 def test_keep_one(make):
     from .conftest import HARD
 
