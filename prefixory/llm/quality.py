@@ -4,7 +4,8 @@ The model of each language is trained on trusted text: half of the documents lab
 `PER_LANGUAGE` of a language (those of least hash; the bound of the sample). Symbols are the words that the sample has at
 least `LEAST` times; other words are their shape (kinds of letters, digits, signs), so text of unusual make is improbable.
 Trigrams, continuation counts, the discounts for counts of one, two and more, and the interpolated probabilities are all
-worked out in Spark, by aggregates and joins on hashed keys, to one table (key, probability, back-off weight).
+worked out in Spark, by aggregates and joins on hashed keys, to one table (key, probability, back-off weight; the two in
+single precision, whichever way they are read; what is made of them is in double).
 
 The table is sharded by the hash of the key. Scoring joins the n-grams of each document with the shards: through hash
 tables broadcast to the workers while the table is within `BROADCAST_BYTES` (its rows are counted first; the sample bounds
@@ -50,7 +51,7 @@ def _kind(c: str) -> str:
 
 def shape(word: str) -> str:
     """Its kinds of characters, runs as one: 'Haus7%%' is 'Aa0%'."""
-    return "".join(k for k, _ in groupby(map(_kind, word[:64])))[:12]
+    return "".join(k for k, _ in groupby(map(_kind, word)))
 
 
 def _hash(symbol: str) -> int:
@@ -118,7 +119,7 @@ def kneser_ney(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = p3.select(F.col("k3").alias("key"), "p", none.alias("g"))
     rows = rows.union(p2.select("k2", "p2", none)).union(p1.select("k1", "p1", none))
     rows = rows.union(context2.select("c2", none, "g")).union(context1.select("c1", none, "g"))
-    return rows.groupBy("key").agg(F.max("p").alias("p"), F.coalesce(F.max("g"), F.lit(1.0)).alias("g")), unseen
+    return rows.groupBy("key").agg(F.max("p").cast("float").alias("p"), F.coalesce(F.max("g"), F.lit(1.0)).cast("float").alias("g")), unseen
 
 
 class Shards:
@@ -131,8 +132,8 @@ class Shards:
             self.shards.append((HashTable(keys[own]), p[own].astype(np.float32), g[own].astype(np.float32)))
 
     def join(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability (nan where there is none) and back-off weight of each key."""
-        p, g = np.full(len(keys), np.nan, np.float32), np.ones(len(keys), np.float32)
+        """Probability (nan where there is none) and back-off weight of each key: single as in the table, for double sums."""
+        p, g = np.full(len(keys), np.nan), np.ones(len(keys))
         shard = keys % np.uint64(SHARDS)
         for s, (find, ps, gs) in enumerate(self.shards):
             at = np.flatnonzero(shard == s)
@@ -189,7 +190,7 @@ class Model:
         miss = np.flatnonzero(np.isnan(p))
         one = self.shards.join(k["k1"][at[miss]])[0]
         g1 = self.shards.join(k["c1"][at[miss]])[1]
-        p[miss] = g1 * np.where(np.isnan(one), np.float32(unseen), one)
+        p[miss] = g1 * np.where(np.isnan(one), unseen, one)
         return p, g1
 
 
@@ -208,7 +209,7 @@ def _collected(table: DataFrame, size: int) -> list[np.ndarray]:
     columns = [np.empty(size, np.uint64), np.empty(size, np.float32), np.empty(size, np.float32)]
     at = 0
     for k in range(PARTS):
-        own = table.where(F.col("part") == k).select("key", F.col("p").cast("float").alias("p"), F.col("g").cast("float").alias("g")).toArrow()
+        own = table.where(F.col("part") == k).select("key", "p", "g").toArrow()
         to = at + own.num_rows
         columns[0][at:to] = own["key"].to_numpy().view(np.uint64)
         columns[1][at:to], columns[2][at:to] = own["p"].to_numpy(), own["g"].to_numpy()
@@ -274,7 +275,7 @@ def perplexity_by_join(docs: DataFrame, model: Model) -> DataFrame:
 
     grams = docs.select("rid", F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text").mapInArrow(run, "rid long, k3 long, k2 long, k1 long, c2 long, c1 long, unseen double")
     for c, value in (("k3", "p"), ("k2", "p"), ("k1", "p"), ("c2", "g"), ("c1", "g")):
-        grams = grams.join(rows.select(F.col("key").alias(c), F.col(value).alias("v" + c)), c, "left")
+        grams = grams.join(rows.select(F.col("key").alias(c), F.col(value).cast("double").alias("v" + c)), c, "left")
     low = F.coalesce("vk2", F.coalesce("vc1", F.lit(1.0)) * F.coalesce("vk1", "unseen"))
     return grams.withColumn("p", F.coalesce("vk3", F.coalesce("vc2", F.lit(1.0)) * low)).groupBy("rid").agg(F.exp(-F.avg(F.log("p"))).alias("perplexity"))
 

@@ -51,6 +51,22 @@ def test_join_equals_broadcast(make, spark):
     assert joined == pytest.approx({r.doc_id: r["_ppl"] for r in scores.collect()}, rel=1e-4)
 
 
+def test_both_ways_have_one_precision(make, spark):
+    """What a table is read through bears on no decision: perplexities differ by the order of their sums alone."""
+    docs, labels = corpus(make, spark)
+    model = quality.train(docs, labels)
+    numbered = written(spark, docs.withColumn("rid", F.col("doc_id")), "numbered")
+    joined = {r.rid: r.perplexity for r in quality.perplexity_by_join(numbered, model).collect()}
+    scores = quality._with_perplexity(quality._prepared(docs.select("doc_id", "lang", "text")), model, ["doc_id"])
+    assert joined == pytest.approx({r.doc_id: r["_ppl"] for r in scores.collect()}, rel=1e-12)
+
+
+def test_shapes_are_of_whole_words():
+    assert quality.shape("Haus7%%") == "Aa0%"
+    assert quality.shape("a" * 100 + "7") == "a0"
+    assert quality.shape("a1" * 10) == "a0" * 10
+
+
 def plain_perplexities(sample, judged):
     """Interpolated modified Kneser-Ney by the definition, on symbols as strings, in dictionaries."""
     words = Counter(w for t in sample for w in t.split())
