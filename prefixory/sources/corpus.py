@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scores import zipf_count
 from ..functions.text import TOKEN, is_clean, normalize, words
+from .scratch import written
 
 
 def read_tsv(spark: SparkSession, *paths: str) -> DataFrame:
@@ -44,8 +45,31 @@ def last_wins(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
+#: Up to so many rows each task may send its own best ones to one task.
+FEW = 1000
+
+
 def top(counts: DataFrame, n: int) -> DataFrame:
-    return counts.orderBy(F.col("count").desc(), "query").limit(n)
+    """The n most frequent, ties by query. Beyond a FEW no task gets more than its share: rows are written and the different
+    counts numbered (m of them stand for m^2 / 2 words at least) to find the count at which the n-th row lies; what is not
+    below it is dealt to ranges in order, and only the range in which the n-th row lies is numbered."""
+    order = [F.col("count").desc(), F.col("query")]
+    if n <= FEW:
+        return counts.orderBy(*order).limit(n)
+    rows = written(counts, "counted")
+    by_count = Window.partitionBy(F.lit(0)).orderBy(F.col("count").desc())
+    sizes = rows.groupBy("count").agg(F.count("*").alias("held")).withColumn("upto", F.sum("held").over(by_count))
+    least = sizes.where(F.col("upto") >= n).agg(F.max("count")).first()[0]
+    if least is None:  # there are fewer
+        return rows.orderBy(*order)
+    ranges = written(rows.where(F.col("count") >= least).repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = ranges.groupBy("range").agg(F.count("*").alias("held")).withColumn("base", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    room = sums.where(F.col("base") < n).select("range", (F.col("base") + F.col("held") <= n).alias("whole"), (F.lit(n) - F.col("base")).alias("room"))
+    full, cut = room.where("whole").select("range"), room.where("NOT whole").select("range", "room")
+    last = ranges.join(F.broadcast(cut), "range").withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy(*order)))
+    kept = ranges.join(F.broadcast(full), "range").unionByName(last.where(F.col("place") <= F.col("room")), allowMissingColumns=True)
+    return kept.select(*counts.columns).orderBy(*order)
 
 
 def unigrams(docs: DataFrame) -> DataFrame:
