@@ -21,3 +21,9 @@ def test_top_by_ranges_equals_sorting(spark, monkeypatch, n, kinds):
     rows = spark.range(3000).select(F.concat(F.lit("q"), F.pmod(F.col("id") * 7919, F.lit(3000))).alias("query"), F.pmod("id", F.lit(kinds)).alias("count"))
     expected = sorted(map(tuple, rows.collect()), key=lambda r: (-r[1], r[0]))[:n]
     assert list(map(tuple, corpus.top(rows, n).collect())) == expected
+
+
+def test_synthetic_corpus_is_whole_up_to_the_limit(spark):
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    h, m = part.select(F.split("p_name", " ")[0]).distinct().count(), part.select("p_brand").distinct().count()
+    assert QUERIES["synthetic_zipf"](spark, SF).count() == min(h + h * m + h * (h - 1) + h * (h - 1) * m, 300_000)
