@@ -56,3 +56,11 @@ def test_blend(spark, recent, first):
 def test_prune_keeps_first_seen(spark):
     df = spark.createDataFrame([("a", 1.0, 3), ("b", 1.0, 1), ("c", 2.0, 9)], "query string, score double, first_seen long")
     assert [r.query for r in recency.pruned(df, 2).collect()] == ["c", "b"]
+
+
+def test_prune_query_is_whole_up_to_the_capacity(spark):
+    from prefixory.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    queries = spark.read.parquet(f"{sf}/events.parquet").select("event_type", F.col("user_id") % 20).distinct().count()
+    assert QUERIES["recency_prune"](spark, sf).count() == min(queries, 50_000) > 40
