@@ -1,12 +1,17 @@
 """LRU and TTL result caching, replayed over a request log.
 
-A cache node is a sequence by nature: what a request finds depends on all before it. `replay` sends each node's
-operations to one task in order and folds them as a stream; a task holds only the node's live entries (its capacity at
-most), never the node's log. Nodes run in parallel.
+A cache node is a sequence: what a request finds depends on all before it. Yet a part of its log can be told without what
+came before: requests and sets bring their key to the front whether it is live or not, so the keys that a part has touched lie
+before all others, and only the others leave while there are any. `replay` deals each node's log to parts of about `PART`
+operations, in order. Each part is told in parallel from an empty cache, as a few rows (`_told`); one pass over these rows,
+not over the log, finds what each part begins with (`_begun`); and each part is replayed in parallel from there. A task holds a
+part's share of the log and a node's live entries. A bare get moves its key only if that is live, so a part is told up to its
+first get; what follows there is passed on operation by operation.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import OrderedDict
 
 import pandas as pd
@@ -14,8 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import Settings
+from ..sources.scratch import written
 
 SCHEMA = "node string, seq long, op string, key string, t double, hit boolean, evicted boolean, expired boolean, size int"
+TOLD = "node string, part int, pos long, op string, key string, t double, limits array<double>, untils array<double>"
+COLUMNS = ["node", "part", "pos", "op", "key", "t", "limits", "untils"]
+#: Operations in a part.
+PART = 1 << 15
 
 
 class Node:
@@ -36,44 +46,207 @@ class Node:
         self.entries.move_to_end(key)
         return True, False
 
-    def put(self, key: str, now: float) -> bool:
-        """Whether an entry had to go."""
+    def put(self, key: str, now: float) -> tuple[str, float] | None:
+        """The entry that had to go."""
         self.entries[key] = now + self.ttl
         self.entries.move_to_end(key)
-        if len(self.entries) > self.capacity:
-            self.entries.popitem(last=False)
-            return True
-        return False
+        return self.entries.popitem(last=False) if len(self.entries) > self.capacity else None
 
     def invalidate(self, key: str) -> bool:
         return self.entries.pop(key, None) is not None
 
+    def apply(self, op: str, key: str, t: float) -> tuple[bool, bool, bool]:
+        """(hit, evicted, expired)"""
+        hit = expired = False
+        evicted = None
+        if op in ("request", "get"):
+            hit, expired = self.get(key, t)
+        if op == "set" or op == "request" and not hit:
+            evicted = self.put(key, t)
+        if op == "invalidate":
+            hit = self.invalidate(key)
+        if op == "clear":
+            self.entries.clear()
+        return hit, evicted is not None, expired
+
+
+def expiries(times: list[float], ttl: float) -> tuple[list[float], list[float]]:
+    """(limits, untils): after requests at these times an entry that came with an expiry up to a limit, and above the limit
+    before, has the until beside it; one above all limits keeps its own."""
+    ahead, later = [], []  # times that none between here and them reaches, negated, the nearest last; their untils
+    for t in reversed(times):
+        if t != t:
+            continue  # expires nothing
+        i = bisect_right(ahead, -(t + ttl)) - 1
+        until = later[i] if i >= 0 else t + ttl
+        while ahead and -ahead[-1] <= t:
+            ahead.pop()
+            later.pop()
+        ahead.append(-t)
+        later.append(until)
+    limits, untils = [], []
+    for t, until in zip(reversed(ahead), reversed(later), strict=True):
+        if untils and untils[-1] == until:
+            limits[-1] = -t
+        else:
+            limits.append(-t)
+            untils.append(until)
+    return limits, untils
+
+
+class Told:
+    """A part's operations from an empty cache. Its rows, by pos:
+
+    touch, drop: the first request or set of a key, the first invalidation of one not touched, while entries from before may
+      be left; all: a clear. t of each is the most entries that the part had at once since the row before.
+    end: t likewise.
+    entry: an entry of the part in the end, least recently used first; t is its expiry if the key was not there before, and
+      limits and untils tell it from the expiry before, if that matters.
+    """
+
+    def __init__(self, capacity: int, ttl: float):
+        self.node, self.rows = Node(capacity, ttl), []
+        self.seen, self.times = set(), {}  # times: requests of keys whose expiry may come from before
+        self.most, self.closed, self.cleared = 0, capacity <= 0, False
+
+    def _row(self, op: str, key: str | None) -> None:
+        self.rows.append((op, key, float(self.most), None, None))
+        self.most = len(self.node.entries)
+
+    def add(self, op: str, key: str, t: float) -> None:
+        if op not in ("request", "set", "invalidate", "clear"):
+            return
+        entries = self.node.entries
+        if op == "clear":
+            entries.clear()
+            if not self.cleared:
+                self._row("all", None)
+            self.closed = self.cleared = True
+            self.times.clear()
+            return
+        if not self.closed and key not in self.seen:
+            self.seen.add(key)
+            self._row("drop" if op == "invalidate" else "touch", key)
+            if op == "request":
+                self.times[key] = []
+        if op == "invalidate" or op == "set":
+            self.times.pop(key, None)
+        elif key in self.times:
+            self.times[key].append(t)
+        if op == "invalidate":
+            entries.pop(key, None)
+            return
+        if op == "set" or not self.node.get(key, t)[0]:
+            if gone := self.node.put(key, t):
+                self.times.pop(gone[0], None)
+        self.most = max(self.most, len(entries))
+        self.closed = self.closed or len(entries) >= self.node.capacity
+
+    def told(self) -> list[tuple]:
+        self._row("end", None)
+        for key, until in self.node.entries.items():
+            known = key not in self.times
+            self.rows.append(("entry", key, until, *((None, None) if known else expiries(self.times[key], self.node.ttl))))
+        return self.rows
+
+
+def _told(rows: DataFrame, capacity: int, ttl: float) -> DataFrame:
+    def fold(frames):
+        at, part, pos, out = None, None, 0, []
+
+        def put(found):
+            nonlocal pos
+            for row in found:
+                out.append((*at, pos, *row))
+                pos += 1
+
+        for frame in frames:
+            for node, number, op, key, t in zip(frame["node"], frame["part"], frame["op"], frame["key"], frame["t"], strict=True):
+                if (node, number) != at:
+                    if part:
+                        put(part.told())
+                    at, part, pos = (node, number), Told(capacity, ttl), 0
+                if op == "get" and part:
+                    put(part.told())
+                    part = None
+                if part:
+                    part.add(op, key, t)
+                else:
+                    put([(op, key, t, None, None)])
+            yield pd.DataFrame(out, columns=COLUMNS)
+            out.clear()
+        if part:
+            put(part.told())
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+    return rows.mapInPandas(fold, TOLD)
+
+
+def _begun(told: DataFrame, capacity: int, ttl: float) -> DataFrame:
+    """The entries with which each part begins, least recently used first."""
+
+    def fold(frames):
+        at, node, out = (None, None), None, []
+        before, touched = OrderedDict(), {}  # entries that came into the part and are left; those that it has touched
+
+        def leave(most):
+            while before and len(before) + most > capacity:
+                before.popitem(last=False)
+
+        for frame in frames:
+            for name, part, op, key, t, limits, untils in zip(*(frame[c] for c in ("node", "part", "op", "key", "t", "limits", "untils")), strict=True):
+                if (name, part) != at:
+                    if node is None or name != at[0]:
+                        node = Node(capacity, ttl)
+                    at, before, touched = (name, part), node.entries, {}
+                    out.extend((name, part, i, *entry) for i, entry in enumerate(before.items()))
+                if op in ("touch", "drop", "all", "end"):
+                    leave(int(t))
+                    if op == "all":
+                        before.clear()
+                    elif op != "end" and key in before:
+                        touched[key] = before.pop(key)
+                elif op == "entry":
+                    if limits is not None and key in touched:
+                        i = bisect_left(limits, touched[key]) if touched[key] == touched[key] else len(limits)
+                        t = untils[i] if i < len(limits) else touched[key]
+                    before[key] = t
+                else:
+                    node.apply(op, key, t)
+            yield pd.DataFrame(out, columns=["node", "part", "seq", "key", "t"])
+            out.clear()
+
+    rows = told.repartition("node").sortWithinPartitions("node", "part", "pos")
+    return rows.mapInPandas(fold, "node string, part int, seq long, key string, t double")
+
 
 def replay(operations: DataFrame, capacity: int = Settings.cache_capacity_per_node, ttl: float = Settings.cache_ttl_seconds) -> DataFrame:
     """operations: node, seq, op ('request': get, and set on a miss; 'get', 'set', 'invalidate', 'clear'), key, t. Each
     row comes back with what it met: hit, evicted, expired and the number of entries after it."""
 
     def fold(frames):
-        node, name = Node(capacity, ttl), None
+        node, at = Node(capacity, ttl), None
         for frame in frames:
             out = []
-            for own, op, key, t in zip(frame["node"], frame["op"], frame["key"], frame["t"], strict=True):
-                if own != name:
-                    node, name = Node(capacity, ttl), own
-                hit = evicted = expired = False
-                if op in ("request", "get"):
-                    hit, expired = node.get(key, t)
-                if op == "set" or op == "request" and not hit:
-                    evicted = node.put(key, t)
-                if op == "invalidate":
-                    hit = node.invalidate(key)
-                if op == "clear":
-                    node.entries.clear()
-                out.append((hit, evicted, expired, len(node.entries)))
-            yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(out, columns=["hit", "evicted", "expired", "size"])], axis=1)
-
-    rows = operations.select("node", "seq", "op", "key", "t").repartition("node").sortWithinPartitions("node", "seq")
-    return rows.mapInPandas(fold, SCHEMA)
+            for name, part, op, key, t in zip(frame["node"], frame["part"], frame["op"], frame["key"], frame["t"], strict=True):
+                if (name, part) != at:
+                    node, at = Node(capacity, ttl), (name, part)
+                if op == "entry":
+                    node.entries[key] = t
+                    out.append((False, False, False, 0))
+                else:
+                    out.append((*node.apply(op, key, t), len(node.entries)))
+            met = pd.concat([frame.reset_index(drop=True), pd.DataFrame(out, columns=["hit", "evicted", "expired", "size"])], axis=1)
+            yield met[met["op"] != "entry"].drop(columns=["part", "log"])
+
+    operations = operations.select("node", "seq", "op", "key", "t")
+    parts = operations.count() // PART + 1
+    dealt = operations.repartitionByRange(parts, "node", "seq")
+    rows = written(dealt.withColumn("part", F.spark_partition_id()), "log")
+    told = _told(rows.repartition(parts, "node", "part").sortWithinPartitions("node", "part", "seq"), capacity, ttl)
+    begun = _begun(told, capacity, ttl).withColumn("op", F.lit("entry")).withColumn("log", F.lit(False))
+    both = rows.withColumn("log", F.lit(True)).unionByName(begun).repartition(parts, "node", "part").sortWithinPartitions("node", "part", "log", "seq")
+    return both.select("node", "seq", "op", "key", "t", "part", "log").mapInPandas(fold, SCHEMA)
 
 
 def stats(replayed: DataFrame) -> DataFrame:

@@ -1,3 +1,9 @@
+import random
+from bisect import bisect_left
+
+import pytest
+from pyspark.sql import functions as F
+
 from prefixory.operators import cache
 
 
@@ -41,3 +47,57 @@ def test_invalidate_clear_and_stats(spark):
 def test_live_entries(spark):
     df = run(spark, [("set", "a", 0), ("set", "b", 10), ("invalidate", "b", 11), ("request", "c", 20)])
     assert {r.key: r.ttl_remaining for r in cache.live_entries(df, 35.0).collect()} == {"a": 0.0, "c": 15.0}
+
+
+def plainly(rows, capacity, ttl):
+    """The rows by node and seq, each node's operations one after the other."""
+    out, node, name = [], None, None
+    for own, seq, op, key, t in sorted(rows):
+        if own != name:
+            node, name = cache.Node(capacity, ttl), own
+        out.append((own, seq, op, key, t, *node.apply(op, key, t), len(node.entries)))
+    return out
+
+
+def drawn(seed, n, ops, keys, back):
+    """n operations on two nodes; times go on, now and then back."""
+    r, t, rows = random.Random(seed), 0.0, []
+    for i in range(n):
+        t = t + r.random() * 4 if r.random() > back else t - 30 * r.random()
+        rows.append((r.choice("aab"), i, r.choice(ops), f"k{int(keys * r.random() ** 2)}", t))
+    return rows
+
+
+REQUESTS, ALL_BUT_GET = ["request"], ["request"] * 6 + ["set", "invalidate"]
+
+
+@pytest.mark.parametrize("ops", [REQUESTS, ALL_BUT_GET, ALL_BUT_GET * 20 + ["clear"], ALL_BUT_GET * 8 + ["get"]])
+@pytest.mark.parametrize("capacity, ttl", [(4, 30.0), (8, 1e12), (10**9, 25.0)])
+def test_parts_equal_one_sequence(spark, monkeypatch, ops, capacity, ttl):
+    monkeypatch.setattr(cache, "PART", 40)
+    rows = drawn(len(ops), 1200, ops, 12, 0.02)
+    df = spark.createDataFrame(rows, "node string, seq long, op string, key string, t double")
+    got = sorted(map(tuple, cache.replay(df, capacity, ttl).collect()))
+    assert got == plainly(rows, capacity, ttl)
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_expiries_equal_replay(seed):
+    r = random.Random(seed)
+    times = [float(r.randrange(40)) for _ in range(r.randrange(1, 12))]
+    times = sorted(times) if seed % 2 else times
+    limits, untils = cache.expiries(times, 9.0)
+    for first in range(-5, 60):
+        node = cache.Node(1, 9.0)
+        node.entries["k"] = float(first)
+        for t in times:
+            node.apply("request", "k", t)
+        i = bisect_left(limits, first)
+        assert node.entries["k"] == (untils[i] if i < len(untils) else first)
+
+
+def test_no_task_holds_a_whole_node(spark, monkeypatch):
+    monkeypatch.setattr(cache, "PART", 100, raising=False)
+    df = spark.range(1000).select(F.lit("n").alias("node"), F.col("id").alias("seq"), F.lit("request").alias("op"), (F.col("id") % 7).cast("string").alias("key"), F.col("id").cast("double").alias("t"))
+    met = cache.replay(df, 5, 30.0).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert max(r.n for r in met) < 600
