@@ -101,3 +101,16 @@ def test_no_task_holds_a_whole_node(spark, monkeypatch):
     df = spark.range(1000).select(F.lit("n").alias("node"), F.col("id").alias("seq"), F.lit("request").alias("op"), (F.col("id") % 7).cast("string").alias("key"), F.col("id").cast("double").alias("t"))
     met = cache.replay(df, 5, 30.0).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
     assert max(r.n for r in met) < 600
+
+
+def test_lru_ttl_query_in_parts_equals_sql(spark, monkeypatch):
+    from prefixory.plans.queries import QUERIES, SQL
+
+    from .oracle import differing
+
+    monkeypatch.setattr(cache, "PART", 200, raising=False)
+    sf = "/root/testdata/sf0.001"
+    met = QUERIES["cache_lru_ttl"](spark, sf)
+    shares = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(shares) < sum(shares)
+    assert differing(met, SQL["cache_lru_ttl"], sf) == []
