@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scores import zipf_count
-from ..functions.text import TOKEN, is_clean, normalize, words
+from ..functions.text import TOKEN, is_clean, normalize
 from .scratch import written
 
 
@@ -72,18 +76,53 @@ def top(counts: DataFrame, n: int) -> DataFrame:
     return kept.select(*counts.columns).orderBy(*order)
 
 
+#: Different queries and words that a task holds before it sends them on.
+HELD = 1 << 17
+CLEAN_WORD = re.compile(TOKEN[1:-1]).fullmatch
+
+
+def word_counts(docs: DataFrame, *sizes: int) -> DataFrame:
+    """query, count of the runs of `sizes` clean words in the texts. Texts are read once: tasks count the runs of some texts
+    at a time, Spark sums them by query."""
+
+    def count(batches):
+        schema = pa.schema([("query", pa.string()), ("count", pa.int64())])
+        clean, found = Clean(), Counter()
+
+        def held():
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], schema=schema)
+
+        for batch in batches:
+            for text in batch.column(0):
+                w = [clean[x] for x in (text.as_py() or "").lower().split()]
+                for n in sizes:
+                    found.update(filter(None, w) if n == 1 else [" ".join(run) for run in zip(*(w[i:] for i in range(n)), strict=False) if None not in run])
+                if len(found) > HELD:
+                    yield held()
+                    found.clear()
+        yield held()
+
+    return docs.select(F.make_valid_utf8("text").alias("text")).mapInArrow(count, "query string, count long").groupBy("query").agg(F.sum("count").alias("count"))
+
+
+class Clean(dict):
+    """word: itself if it is clean, else None. Words are looked at once while they are held."""
+
+    def __missing__(self, word: str) -> str | None:
+        if len(self) > HELD:
+            self.clear()
+        self[word] = found = word if CLEAN_WORD(word) else None
+        return found
+
+
 def unigrams(docs: DataFrame) -> DataFrame:
-    """query, count of the clean words of the texts. Words are counted first, so each distinct one is looked at once."""
-    counted = docs.select(F.explode(words(F.col("text"))).alias("query")).groupBy("query").agg(F.count("*").alias("count"))
-    return counted.where(is_clean(F.col("query")))
+    """query, count of the clean words of the texts."""
+    return word_counts(docs, 1)
 
 
 def bigrams(docs: DataFrame) -> DataFrame:
-    """query, count of neighbouring clean words. Words are looked at before they are paired, so no pair of others is made."""
-    clean = F.transform(words(F.col("text")), lambda w: F.when(w.rlike(TOKEN), w))
-    pairs = F.expr("filter(transform(sequence(1, size(w) - 1), i -> w[i - 1] || ' ' || w[i]), p -> p IS NOT NULL)")
-    rows = docs.select(clean.alias("w")).where("size(w) > 1").select(F.explode(pairs).alias("query"))
-    return rows.groupBy("query").agg(F.count("*").alias("count"))
+    """query, count of neighbouring clean words."""
+    return word_counts(docs, 2)
 
 
 def synthetic(heads: DataFrame, modifiers: DataFrame, limit: int = 300_000, seed: int | None = None) -> DataFrame:

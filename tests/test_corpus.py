@@ -27,3 +27,12 @@ def test_synthetic_corpus_is_whole_up_to_the_limit(spark):
     part = spark.read.parquet(f"{SF}/part.parquet")
     h, m = part.select(F.split("p_name", " ")[0]).distinct().count(), part.select("p_brand").distinct().count()
     assert QUERIES["synthetic_zipf"](spark, SF).count() == min(h + h * m + h * (h - 1) + h * (h - 1) * m, 300_000)
+
+
+def test_words_and_pairs_are_counted_in_one_reading(spark, monkeypatch):
+    docs = spark.createDataFrame([("A b  b a\x1ca1 7 a _a aİ K\n",), (None,), ("",), (" ",), ("b a",)], "text string")
+    got = {r.query: r["count"] for r in corpus.word_counts(docs, 1, 2).collect()}
+    assert got == {"a": 4, "b": 3, "a1": 1, "k": 1, "a b": 1, "b b": 1, "b a": 2, "a a1": 1}
+    plan = corpus.word_counts(spark.read.parquet(f"{SF}/documents.parquet"), 1, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert {r.query: r["count"] for r in corpus.unigrams(docs).unionByName(corpus.bigrams(docs)).collect()} == got
