@@ -5,8 +5,10 @@ came before: requests and sets bring their key to the front whether it is live o
 before all others, and only the others leave while there are any. `replay` deals each node's log to parts of about `PART`
 operations, in order. Each part is told in parallel from an empty cache, as a few rows (`_told`); one pass over these rows,
 not over the log, finds what each part begins with (`_begun`); and each part is replayed in parallel from there. A task holds a
-part's share of the log and a node's live entries. A bare get moves its key only if that is live, so a part is told up to its
-first get; what follows there is passed on operation by operation.
+part's share of the log and a node's live entries. A key that is asked for in part after part, many times within its time to
+live, is told by nearly all its times; so the pass goes in turns of `TURN` parts, and no task sorts more than a turn's rows.
+A bare get moves its key only if that is live, so a part is told up to its first get; what follows there is passed on operation
+by operation.
 """
 
 from __future__ import annotations
@@ -19,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import Settings
-from ..sources.scratch import written
+from ..sources.scratch import delete_on_exit, scratch_path, written
 
 SCHEMA = "node string, seq long, op string, key string, t double, hit boolean, evicted boolean, expired boolean, size int"
 TOLD = "node string, part int, pos long, op string, key string, t double, limits array<double>, untils array<double>"
+BEGUN = "node string, part int, seq long, key string, t double"
 COLUMNS = ["node", "part", "pos", "op", "key", "t", "limits", "untils"]
 #: Operations in a part.
 PART = 1 << 15
+#: Parts in a turn.
+TURN = 128
 
 
 class Node:
@@ -182,8 +187,9 @@ def _told(rows: DataFrame, capacity: int, ttl: float) -> DataFrame:
     return rows.mapInPandas(fold, TOLD)
 
 
-def _begun(told: DataFrame, capacity: int, ttl: float) -> DataFrame:
-    """The entries with which each part begins, least recently used first."""
+def _begun(told: DataFrame, parts: int, capacity: int, ttl: float) -> DataFrame:
+    """The entries with which each part begins, least recently used first. A turn leaves its nodes' entries, as of part -1, to
+    the next one."""
 
     def fold(frames):
         at, node, out = (None, None), None, []
@@ -193,19 +199,27 @@ def _begun(told: DataFrame, capacity: int, ttl: float) -> DataFrame:
             while before and len(before) + most > capacity:
                 before.popitem(last=False)
 
+        def begin(name, part):
+            out.extend((name, part, i, *entry) for i, entry in enumerate(node.entries.items()))
+
         for frame in frames:
             for name, part, op, key, t, limits, untils in zip(*(frame[c] for c in ("node", "part", "op", "key", "t", "limits", "untils")), strict=True):
                 if (name, part) != at:
                     if node is None or name != at[0]:
+                        if node and at[1] >= 0:
+                            begin(at[0], -1)
                         node = Node(capacity, ttl)
                     at, before, touched = (name, part), node.entries, {}
-                    out.extend((name, part, i, *entry) for i, entry in enumerate(before.items()))
+                    if part >= 0:
+                        begin(name, part)
                 if op in ("touch", "drop", "all", "end"):
                     leave(int(t))
                     if op == "all":
                         before.clear()
                     elif op != "end" and key in before:
                         touched[key] = before.pop(key)
+                elif op == "left":
+                    before[key] = t
                 elif op == "entry":
                     if limits is not None and key in touched:
                         i = bisect_left(limits, touched[key]) if touched[key] == touched[key] else len(limits)
@@ -215,9 +229,20 @@ def _begun(told: DataFrame, capacity: int, ttl: float) -> DataFrame:
                     node.apply(op, key, t)
             yield pd.DataFrame(out, columns=["node", "part", "seq", "key", "t"])
             out.clear()
-
-    rows = told.repartition("node").sortWithinPartitions("node", "part", "pos")
-    return rows.mapInPandas(fold, "node string, part int, seq long, key string, t double")
+        if node and at[1] >= 0:
+            begin(at[0], -1)
+        yield pd.DataFrame(out, columns=["node", "part", "seq", "key", "t"])
+
+    spark, path = told.sparkSession, scratch_path(told.sparkSession, "begun")
+    told = written(told.withColumn("turn", F.floor(F.col("part") / TURN).cast("int")), "told", "turn")
+    for turn in range((parts - 1) // TURN + 1):
+        rows = told.where(F.col("turn") == turn).drop("turn")
+        if turn:
+            left = spark.read.schema(BEGUN).parquet(f"{path}/turn={turn - 1}").where("part = -1")
+            rows = rows.unionByName(left.withColumnRenamed("seq", "pos").withColumn("op", F.lit("left")), allowMissingColumns=True)
+        rows.repartition("node").sortWithinPartitions("node", "part", "pos").mapInPandas(fold, BEGUN).write.parquet(f"{path}/turn={turn}")
+    delete_on_exit(spark, path)
+    return spark.read.schema(BEGUN).parquet(path).drop("turn").where("part >= 0")
 
 
 def replay(operations: DataFrame, capacity: int = Settings.cache_capacity_per_node, ttl: float = Settings.cache_ttl_seconds) -> DataFrame:
@@ -244,7 +269,7 @@ def replay(operations: DataFrame, capacity: int = Settings.cache_capacity_per_no
     dealt = operations.repartitionByRange(parts, "node", "seq")
     rows = written(dealt.withColumn("part", F.spark_partition_id()), "log")
     told = _told(rows.repartition(parts, "node", "part").sortWithinPartitions("node", "part", "seq"), capacity, ttl)
-    begun = _begun(told, capacity, ttl).withColumn("op", F.lit("entry")).withColumn("log", F.lit(False))
+    begun = _begun(told, parts, capacity, ttl).withColumn("op", F.lit("entry")).withColumn("log", F.lit(False))
     both = rows.withColumn("log", F.lit(True)).unionByName(begun).repartition(parts, "node", "part").sortWithinPartitions("node", "part", "log", "seq")
     return both.select("node", "seq", "op", "key", "t", "part", "log").mapInPandas(fold, SCHEMA)
 

@@ -1,4 +1,5 @@
 import random
+import uuid
 from bisect import bisect_left
 
 import pytest
@@ -114,3 +115,44 @@ def test_lru_ttl_query_in_parts_equals_sql(spark, monkeypatch):
     shares = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
     assert max(shares) < sum(shares)
     assert differing(met, SQL["cache_lru_ttl"], sf) == []
+
+
+@pytest.mark.parametrize("ops", [REQUESTS, ALL_BUT_GET * 20 + ["clear"], ALL_BUT_GET * 8 + ["get"]])
+@pytest.mark.parametrize("capacity, ttl", [(4, 30.0), (8, 400.0), (10**9, 25.0)])
+def test_turns_equal_one_sequence(spark, monkeypatch, ops, capacity, ttl):
+    monkeypatch.setattr(cache, "PART", 60)
+    monkeypatch.setattr(cache, "TURN", 5, raising=False)
+    rows = drawn(capacity, 1200, ops, 12, 0.02)
+    df = spark.createDataFrame(rows, "node string, seq long, op string, key string, t double")
+    got = sorted(map(tuple, cache.replay(df, capacity, ttl).collect()))
+    assert got == plainly(rows, capacity, ttl)
+
+
+def test_no_task_is_told_all_times_of_a_frequent_key(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(cache, "PART", 100)
+    monkeypatch.setattr(cache, "TURN", 2, raising=False)
+    rows = [("n", i, "request", "often" if i % 10 else f"k{i % 7}", float(i)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "node string, seq long, op string, key string, t double")
+    plain = type(df).mapInPandas
+
+    def counted(self, fold, schema):
+        def counting(frames):
+            told = 0
+
+            def seen():
+                nonlocal told
+                for frame in frames:
+                    told += sum(map(len, frame["limits"].dropna())) if "limits" in frame else 0
+                    yield frame
+
+            yield from fold(seen())
+            (tmp_path / uuid.uuid4().hex).write_text(str(told))
+
+        return plain(self, counting, schema)
+
+    monkeypatch.setattr(type(df), "mapInPandas", counted)
+    got = sorted(map(tuple, cache.replay(df, 4, 300.0).collect()))
+    monkeypatch.undo()
+    assert got == plainly(rows, 4, 300.0)
+    told = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert sum(told) > 1000 and max(told) < 500
